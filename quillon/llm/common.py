@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,3 +62,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def ids_and_text(docs: DataFrame) -> DataFrame:
     """doc_id and text only (null text: empty), so that other columns can clash with nothing."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def prefix_sums(values: Column, chunk: int = 64) -> Column:
+    """Running totals (inclusive) of an array of longs, in two levels to stay near linear."""
+    zero = F.lit(0).cast("long")
+
+    def running(xs: Column, start: Column) -> Column:
+        step = lambda s, x: F.struct((s["t"] + x).alias("t"), F.concat(s["a"], F.array(s["t"] + x)).alias("a"))
+        return F.aggregate(xs, F.struct(start.alias("t"), F.array().cast("array<long>").alias("a")), step, lambda s: s["a"])
+
+    def two_levels(xs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / F.lit(chunk)).cast("int")), lambda c: F.slice(xs, c * chunk + 1, F.lit(chunk)))
+        total = lambda ch: F.aggregate(ch, zero, lambda t, x: t + x)
+        return let(chunks, lambda cs: let(running(F.transform(cs, total), zero), lambda ends: F.flatten(F.transform(cs, lambda ch, i: running(ch, F.coalesce(F.get(ends, i - 1), zero))))))
+
+    return let(values, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<long>")).otherwise(two_levels(xs)))

@@ -46,4 +46,20 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op7_mix_sources": OP7, "op10_chat_format": OP10}
+OP1 = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+ig AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[j : j + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS j FROM i WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM ig),
+dg AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[j : j + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, ks WHERE len(w) >= k)),
+n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY item_id)
+SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared, count(*) / n AS containment
+FROM dg JOIN ig USING (k, g) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op7_mix_sources": OP7, "op10_chat_format": OP10}

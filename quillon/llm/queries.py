@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat_format, mixing, token_files
+from pyspark.sql import functions as F
+
+from quillon.llm import chat_format, decontaminate, mixing, quality, secrets, token_files
 from quillon.llm.common import table
 
 #: Vocabulary file of the token-ID output; any tokenizers file can be given instead.
@@ -19,6 +21,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items with at least 0.8 of the item's 5-word shingles in the document."""
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the learned decision list for every document."""
+    return quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern secrets and discovered random strings of every document."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weight for every source, as many copies as documents in the mean, shuffled globally."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -39,6 +58,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op4_quality_rules": op4_quality_rules,
+    "op8_secret_scan": op8_secret_scan,
     "op7_mix_sources": op7_mix_sources,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
