@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, decontaminate, mixing, quality, secrets, token_files
+from quillon.llm import chat_format, decontaminate, mixing, quality, secrets, token_files, toxicity
 from quillon.llm.common import table
 
 #: Vocabulary file of the token-ID output; any tokenizers file can be given instead.
@@ -31,6 +31,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from the labels outside the held-out third."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score_documents(docs, toxicity.learn(docs, labels))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern secrets and discovered random strings of every document."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -60,6 +68,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op7_mix_sources": op7_mix_sources,
     "op9_token_files": op9_token_files,
