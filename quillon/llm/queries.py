@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, decontaminate, mixing, quality, secrets, token_files, toxicity
+from quillon.llm import chat_format, decontaminate, html_text, mixing, near_dedup, quality, secrets, token_files, toxicity
 from quillon.llm.common import table
 
 #: Vocabulary file of the token-ID output; any tokenizers file can be given instead.
@@ -26,6 +26,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 2-word shingle sets of similarity 0.8 or more."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the learned decision list for every document."""
     return quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -39,6 +44,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern secrets and discovered random strings of every document."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -67,8 +77,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_near_dedup": op2_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
+    "op6_html_text": op6_html_text,
     "op8_secret_scan": op8_secret_scan,
     "op7_mix_sources": op7_mix_sources,
     "op9_token_files": op9_token_files,
