@@ -17,13 +17,15 @@ is written under a temporary name and renamed, so a rerun of a lost task replace
 from __future__ import annotations
 
 import os
-import re
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import ids_and_text, shared_folder
 
-#: A space between two visible characters always starts a pre-token, so pieces cut there encode independently.
-PIECE = re.compile(r"(?<=\S)(?= \S)")
+_SPACE = "[\\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Texts where a space touches other white space, or that begin or end with white space, are encoded whole.
+IRREGULAR = f" {_SPACE}|{_SPACE} |^{_SPACE}|{_SPACE}$|^$"
 MANIFEST = "part int, n_docs long, n_tokens long, n_sequences long"
 
 
@@ -42,30 +45,75 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class PieceEncoder:
-    """Whole-text encoding with a bounded memory of pieces already encoded.
+    """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    Equal to ``Tokenizer.encode(text, add_special_tokens=False).ids`` for byte-level BPE
-    without prefix space, where no pre-token spans a piece boundary.
+    Byte-level BPE never joins text across a space between two visible characters: the space
+    always starts a pre-token. So texts are cut there, each distinct piece is encoded once,
+    many in one call (their ids are told apart by the tokens' byte lengths), and remembered
+    up to a bound for as long as the worker process lives.
     """
 
-    def __init__(self, path: str, remember: int = 150_000) -> None:
+    REMEMBER = 900_000
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.remember = Tokenizer.from_file(path), {}, remember
+        state = sys.modules.setdefault("_quillon_pieces", types.ModuleType("_quillon_pieces"))
+        if path not in state.__dict__:
+            tokenizer = Tokenizer.from_file(path)
+            sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+            special = tokenizer.get_added_tokens_decoder()
+            for token, i in tokenizer.get_vocab().items():  # byte-level: a character stands for a byte
+                sizes[i] = len(token.encode()) if i in special else len(token)
+            state.__dict__[path] = (tokenizer, sizes, {})
+        self.tokenizer, self.sizes, self.known = state.__dict__[path]
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str], lengths: np.ndarray) -> list[bytes]:
+        """Ids of these words (of so many bytes) with a space before them, as bytes; remembered."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 4000):
+            some = words[i : i + 4000]
+            (ids,) = self.whole([" " + " ".join(some)])
+            ends = np.cumsum(lengths[i : i + 4000] + 1)
+            at = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *at], at, strict=False)]
+        self.known.update(zip(words, out, strict=True))
+        return out
 
-    def __call__(self, text: str) -> list[int]:
-        if not text:
-            return []
-        pieces = PIECE.split(text)
-        if len(self.known) > self.remember:
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        odd = pc.match_substring_regex(texts, IRREGULAR)
+        out: list = [None] * len(texts)
+        if irregular := pc.indices_nonzero(odd).to_pylist():
+            for i, ids in zip(irregular, self.whole(texts.take(irregular).to_pylist()), strict=True):
+                out[i] = ids
+        regular = pc.indices_nonzero(pc.invert(odd))
+        if not len(regular):
+            return out
+        pieces = pc.split_pattern(texts.take(regular), " ")
+        starts = pieces.offsets.to_numpy()
+        coded = pieces.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > self.REMEMBER:
             self.known.clear()
-        known = self.known
-        if new := [p for p in set(pieces) if p not in known]:
-            known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out: list[int] = []
-        for p in pieces:
-            out += known[p]
+        data = list(map(self.known.get, words))
+        if new := [i for i, d in enumerate(data) if d is None]:
+            learnt = self.learn([words[i] for i in new], pc.binary_length(coded.dictionary).to_numpy()[new])
+            for i, ids in zip(new, learnt, strict=True):
+                data[i] = ids
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        flat = np.frombuffer(b"".join(data), np.uint32)
+        begins = np.cumsum(sizes) - sizes
+        lengths = sizes[codes]
+        ends = np.cumsum(lengths)
+        ids = flat[np.repeat(begins[codes] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        firsts = self.whole(pc.list_element(pieces, 0).to_pylist())  # no space before the first piece
+        for k, i in enumerate(regular.to_pylist()):
+            out[i] = np.concatenate([firsts[k], ids[ends[starts[k]] : ends[starts[k + 1] - 1]]])
         return out
 
 
@@ -127,6 +175,16 @@ class PartWriter:
         return self.part, self.n_docs, self.n_tokens, self.n_sequences
 
 
+def slices(batch: pa.RecordBatch, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``size`` bytes of text (column 1), so that memory follows the longest text only."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, length: int = 1024) -> str:
     """Encode every whole text and write the folder described above; returns the folder.
 
@@ -147,11 +205,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         encode, writer = PieceEncoder(tokenizer_path), None
         store, path = open_store(folder)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for some in slices(batch):
                 writer = writer or PartWriter(store, path, TaskContext.get().partitionId(), length, dtype)
-                ids = encode(text.as_py())
-                ids.append(end_id)
-                writer.add(doc_id, np.array(ids, dtype))
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
+                    writer.add(doc_id, np.append(ids, end_id).astype(dtype))
         if writer:
             yield pa.record_batch([pa.array([x], t) for x, t in zip(writer.close(), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "n_docs", "n_tokens", "n_sequences"])
 
