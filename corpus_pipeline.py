@@ -1,3 +1,60 @@
-ORACLE_SQL=None
-STAGES=[]
-def run(spark, sf_dir): pass
+"""A corpus pipeline over documents: five operators, each on what its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.llm import decontaminate, mixing, near_dedup, token_files, toxicity
+from quillon.llm.common import stage, table
+from quillon.llm.queries import tokenizer_path
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scoring below the toxicity threshold."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 5-word shingle sets of similarity 0.8 or more."""
+    return near_dedup.drop_near_duplicates(docs, width=5)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to equal weights of their sources, in global random order."""
+    others = [c for c in docs.columns if c not in ("doc_id", "source")]
+    return mixing.mix_sources(docs, carry=others).select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of equal-length sequences, read back: one row per (repeated) document."""
+    folder = token_files.write_token_files(docs, token_files.default_folder(spark), tokenizer_path(), end_id=2)
+    return token_files.read_documents(spark, folder)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("mix_sources", mix_sources),
+    ("token_files", write_tokens),
+]
+
+#: Learned scores, components and tokens are beyond SQL; the tests compare with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, f in STAGES[:-1]:
+        docs = stage(f(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, decontaminate, html_text, mixing, near_dedup, quality, secrets, token_files, toxicity
+from quillon.llm import chat_format, decontaminate, html_text, mixing, near_dedup, quality, repeated_bytes, secrets, token_files, toxicity
 from quillon.llm.common import table
 
 #: Vocabulary file of the token-ID output; any tokenizers file can be given instead.
@@ -31,6 +31,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings."""
+    return repeated_bytes.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the learned decision list for every document."""
     return quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -78,6 +83,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_dedup": op2_near_dedup,
+    "op3_repeated_bytes": op3_repeated_bytes,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
