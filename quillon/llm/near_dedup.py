@@ -6,13 +6,14 @@ only the smallest doc_id of each goes on. Its signature holds ROWS * BANDS minim
 universal hash functions; documents that agree on all minima of a band share a bucket.
 
 Candidates. Two documents of similarity 0.8 share no bucket with probability
-``(1 - 0.8^ROWS)^BANDS``, 2e-6. A bucket never gives all its pairs: first every member is
-paired with the bucket's smallest id; components are formed from the verified links; then
-only those members of a bucket that still lie in different components are paired, and in a
-bucket of more than ``SPLIT`` members only where they agree on a second band too (0.8 again
-misses with probability 5e-5, in such buckets only). Pairs are first verified on signatures
-(8 bits of each minimum; the bound lies six standard deviations below the threshold), then
-confirmed on full sets.
+``(1 - 0.8^ROWS)^BANDS``, 2e-6. A bucket never gives all its pairs. First every member is
+paired with the bucket's smallest id, and components are formed from the links. In a bucket
+that still holds several components, the members outside its largest one are queries, held
+against all members in blocks of bounded size by their signatures alone; first only the
+``BEST`` likeliest partners of a query in each foreign component and block become pairs, and,
+after components are formed again, all partners left that the signatures allow. Pairs are
+verified on signatures (8 bits of each minimum; the bound lies four standard deviations
+below the threshold) and confirmed on full sets.
 
 Components come from alternating large-star and small-star.
 """
@@ -32,9 +33,10 @@ from quillon.llm.common import cut, ids_and_text, stage
 from quillon.llm.components import connected_components
 from quillon.llm.token_files import slices
 
-ROWS, BANDS, SPLIT = 7, 56, 64
+ROWS, BANDS = 7, 56
+BLOCK, BEST = 1024, 3
 THRESHOLD = 80  # per cent
-MARGIN = 0.12  # of the signature estimate below the threshold: six standard deviations of 392 minima
+MARGIN = 0.08  # of the signature estimate below the threshold: four standard deviations of 392 minima
 #: Rows of an id table that may be broadcast (8 bytes each); larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -139,21 +141,86 @@ def _near(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimates from short signatures (last axis), corrected for chance agreement of 8 bits."""
+    return ((x == y).mean(axis=-1, dtype=np.float32) - 1 / 256) / (1 - 1 / 256)
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def alike_signatures(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree enough."""
     least = threshold / 100 - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(b), -1) for c in (b.column(2), b.column(3)))
-            share = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256) if len(b) else np.zeros(0)
-            yield b.select(["a", "b"]).filter(pa.array(share >= least))
+            if len(b):
+                share = similarity(_bytes(b.column(2)), _bytes(b.column(3)))
+                yield b.select(["a", "b"]).filter(pa.array(share >= least))
 
     sig = signed.select("doc_id", "sig")
     joined = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def crossing_pairs(members: DataFrame, links: DataFrame, signed: DataFrame, threshold: int, best: int | None) -> DataFrame:
+    """Likely pairs (a, b) within a bucket but across components; with ``best``, only so many for each query, component and block."""
+    least = threshold / 100 - MARGIN
+    reached = connected_components(links).withColumnRenamed("id", "doc_id")
+    placed = members.join(reached, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+    torn = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("top")).filter("parts > 1")
+    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    rest = placed.join(torn.select("key", blocks.alias("blocks"), F.col("top.component").alias("major")), "key").join(signed.select("doc_id", "sig"), "doc_id")
+    targets = rest.select("key", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("query"), "doc_id", "component", "sig")
+    queries = rest.filter("component <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "doc_id", "component", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {0: [], 1: []}
+        out: list[tuple[int, int]] = []
+
+        def compare() -> None:
+            """Queries against the targets of the block; targets stay."""
+            if held[0] and held[1]:
+                (ti, tc, ts), (qi, qc, qs) = (tuple(zip(*held[k], strict=True)) for k in (0, 1))
+                ti, tc, qi, qc = (np.array(x, np.int64) for x in (ti, tc, qi, qc))
+                t, q = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (ts, qs))
+                for i in range(0, len(q), 16):
+                    share = similarity(q[i : i + 16, None], t[None])
+                    share[qc[i : i + 16, None] == tc[None]] = -1.0
+                    for row in range(len(share)):
+                        fit = np.flatnonzero(share[row] >= least)
+                        if best is not None and len(fit) > best:
+                            order = fit[np.lexsort((-share[row][fit], tc[fit]))]
+                            start = np.flatnonzero(np.concatenate([[True], np.diff(tc[order]) != 0]))
+                            rank = np.arange(len(order)) - np.repeat(start, np.diff(np.concatenate([start, [len(order)]])))
+                            fit = order[rank < best]
+                        mine = int(qi[i + row])
+                        out.extend((min(mine, x), max(mine, x)) for x in ti[fit].tolist())
+            held[1] = []
+
+        group = None
+        for b in batches:
+            for key, block, query, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (key, block) != group:
+                    compare()
+                    group, held[0] = (key, block), []
+                held[query].append(rest)
+                if len(held[1]) >= 512:
+                    compare()
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*set(out), strict=True)], names=["a", "b"])
+                out.clear()
+        compare()
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*set(out), strict=True)], names=["a", "b"])
+
+    dealt = targets.union(queries).repartition("key", "block").sortWithinPartitions("key", "block", "query")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def full_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """doc_id and the sorted distinct shingle hashes (binary, 64 bits each) of the documents in ids (column id)."""
 
@@ -183,11 +250,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> D
     return joined.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "u long, v long").distinct()
 
 
-def verified_links(pairs: DataFrame, signed: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    likely = cut(alike_signatures(pairs, signed, threshold).distinct())
-    return cut(confirm(likely, texts, width, threshold))
-
-
 def find_links(signed: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
     """Links (u, v) that connect exactly the documents connected by similarity."""
     known = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -198,22 +260,15 @@ def find_links(signed: DataFrame, texts: DataFrame, width: int, threshold: int)
     buckets = firsts.select(F.explode("bands").alias("key"), "doc_id")
     sizes = buckets.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = stage(sizes, "buckets")
-    members = stage(buckets.join(sizes.filter("n > 2").select("key", "leader", "n"), "key"), "members")
+    members = stage(buckets.join(sizes.filter("n > 2").select("key", "leader"), "key"), "members")
     led = sizes.filter("n = 2").select(F.col("leader").alias("a"), F.col("last").alias("b")).union(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
-    links = verified_links(led.filter("a < b").distinct(), signed, texts, width, threshold)
-
-    reached = connected_components(links)
-    placed = members.join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    torn = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = stage(placed.join(torn, "key").select("key", "leader", "n", "doc_id", "component"), "torn")
-    small = rest.filter(F.col("n") <= SPLIT).select("key", "leader", "doc_id", "component")
-    large = rest.filter(F.col("n") > SPLIT).join(firsts.select("doc_id", "bands"), "doc_id")
-    finer = large.select(F.col("key").alias("own"), "leader", "doc_id", "component", F.explode("bands").alias("band")).filter("band <> own")
-    split = small.union(finer.select(F.xxhash64("own", "band").alias("key"), "leader", "doc_id", "component"))
-    left, right = split.select("key", "leader", F.col("doc_id").alias("a"), F.col("component").alias("c")), split.select("key", F.col("doc_id").alias("b"), F.col("component").alias("d"))
-    crossing = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & (F.col("a") != F.col("leader")))
-    more = verified_links(crossing.select("a", "b").distinct(), signed, texts, width, threshold)
-    return copies.union(links).union(more)
+    likely = cut(alike_signatures(led.filter("a < b").distinct(), signed, threshold).distinct())
+    links = cut(confirm(likely, texts, width, threshold))
+    for best in (BEST, None):
+        pairs = cut(crossing_pairs(members, links, signed, threshold, best).join(likely, ["a", "b"], "left_anti"))
+        likely = likely.union(pairs)
+        links = links.union(cut(confirm(pairs, texts, width, threshold)))
+    return copies.union(links)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
