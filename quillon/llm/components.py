@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import cut
 
+PER_TASK = 100_000  # edges of a state in one file, so that small graphs leave few files
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,10 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     state = cut(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v").distinct())
     seen = None
-    while True:
+    while True:  # a handful of rounds
         now = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == seen:
             break
         seen = now
-        state = cut(_small_star(_large_star(state)))
+        state = cut(_small_star(_large_star(state)).coalesce(max(1, -(-now[0] // PER_TASK))))
     return state.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(state.select("v", "v").distinct())

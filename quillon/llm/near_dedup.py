@@ -9,11 +9,11 @@ Candidates. Two documents of similarity 0.8 share no bucket with probability
 ``(1 - 0.8^ROWS)^BANDS``, 2e-6. A bucket never gives all its pairs. First every member is
 paired with the bucket's smallest id, and components are formed from the links. In a bucket
 that still holds several components, the members outside its largest one are queries, held
-against all members in blocks of bounded size by their signatures alone; first only the
-``BEST`` likeliest partners of a query in each foreign component and block become pairs, and,
-after components are formed again, all partners left that the signatures allow. Pairs are
-verified on signatures (8 bits of each minimum; the bound lies four standard deviations
-below the threshold) and confirmed on full sets.
+against all members in blocks of bounded size by their signatures alone; a pair that these
+allow is taken in the first bucket that it shares. Pairs are verified on signatures and confirmed on full sets. A signature is 8 bits of each minimum
+(the bound lies four standard deviations below the threshold) and a parity bitmap of the set:
+each bit in which two bitmaps differ stands for another shingle that only one set has, so too
+many differing bits rule a link out with certainty.
 
 Components come from alternating large-star and small-star.
 """
@@ -29,14 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, ids_and_text, stage
+from quillon.llm.common import cut, ids_and_text, stage, trimmed
 from quillon.llm.components import connected_components
 from quillon.llm.token_files import slices
 
 ROWS, BANDS = 7, 56
-BLOCK, BEST = 1024, 3
+BLOCK = 1024
 THRESHOLD = 80  # per cent
 MARGIN = 0.08  # of the signature estimate below the threshold: four standard deviations of 392 minima
+BITMAP = 512  # bytes
 #: Rows of an id table that may be broadcast (8 bytes each); larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -49,6 +50,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def parity_bitmap(grams: np.ndarray) -> np.ndarray:
+    """Bit i: whether the set has an odd number of hashes that end in i."""
+    return np.packbits(np.bincount((grams & np.uint64(8 * BITMAP - 1)).astype(np.int64), minlength=8 * BITMAP) & 1)
+
+
+def most_differing(x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
+    """The largest symmetric difference of sets of these sizes whose similarity reaches the threshold (per cent)."""
+    return (x + y) * (100 - threshold) // (100 + threshold)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, and where each text's words begin (one more entry than texts)."""
     words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -120,20 +131,21 @@ def signatures(texts: DataFrame, width: int) -> DataFrame:
                 sizes = np.array([len(s) for s in sets], np.int64)
                 s1, s2 = (np.array([int(_mix(s ^ m).sum(dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64).view(np.int64) for m in (np.uint64(0), _M2))
                 full = np.flatnonzero(sizes)
-                bands, sig = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), ROWS * BANDS), np.uint8)
+                bands, sig = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), ROWS * BANDS + BITMAP), np.uint8)
                 at = 0
                 while at < len(full):  # blocks that stay in the processor's cache
                     end = at + max(1, int(np.searchsorted(np.cumsum(sizes[full[at:]]), 60_000, "right")))
                     minima = hashing([sets[i] for i in full[at:end]])
                     bands[full[at:end]] = hashing.bands(minima).view(np.int64)
-                    sig[full[at:end]] = minima.astype(np.uint8)
+                    sig[full[at:end], : ROWS * BANDS] = minima.astype(np.uint8)
+                    sig[full[at:end], ROWS * BANDS :] = [parity_bitmap(sets[i]) for i in full[at:end]]
                     at = end
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[full].reshape(-1)))
                 short = pa.array([x.tobytes() for x in sig], pa.binary())
                 yield pa.record_batch([some.column(0), pa.array(sizes), pa.array(s1), pa.array(s2), lists, short], names=["doc_id", "n_shingles", "s1", "s2", "bands", "sig"])
 
-    return texts.mapInArrow(run, _SETS)
+    return texts.mapInArrow(trimmed(run), _SETS)
 
 
 def _near(df: DataFrame) -> DataFrame:
@@ -152,52 +164,56 @@ def _bytes(column: pa.Array) -> np.ndarray:
 
 def alike_signatures(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree enough."""
-    least = threshold / 100 - MARGIN
+    least, cut_at = threshold / 100 - MARGIN, ROWS * BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                share = similarity(_bytes(b.column(2)), _bytes(b.column(3)))
-                yield b.select(["a", "b"]).filter(pa.array(share >= least))
+                x, y = _bytes(b.column(2)), _bytes(b.column(3))
+                sizes = (b.column(c).to_numpy() for c in (4, 5))
+                differing = np.bitwise_count(x[:, cut_at:] ^ y[:, cut_at:]).sum(axis=1, dtype=np.int64)
+                fit = (similarity(x[:, :cut_at], y[:, :cut_at]) >= least) & (differing <= most_differing(*sizes, threshold))
+                yield b.select(["a", "b"]).filter(pa.array(fit))
 
-    sig = signed.select("doc_id", "sig")
-    joined = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    one = lambda k: signed.select(F.col("doc_id").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n_shingles").alias(f"n_{k}"))
+    joined = pairs.join(one("a"), "a").join(one("b"), "b")
+    return joined.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(trimmed(run), "a long, b long")
 
 
-def crossing_pairs(members: DataFrame, links: DataFrame, signed: DataFrame, threshold: int, best: int | None) -> DataFrame:
-    """Likely pairs (a, b) within a bucket but across components; with ``best``, only so many for each query, component and block."""
-    least = threshold / 100 - MARGIN
+def crossing_pairs(members: DataFrame, links: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
+    """Likely pairs (a, b) within a bucket but across components."""
+    least, cut_at = threshold / 100 - MARGIN, ROWS * BANDS
     reached = connected_components(links).withColumnRenamed("id", "doc_id")
     placed = members.join(reached, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     torn = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("top")).filter("parts > 1")
     blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
-    rest = placed.join(torn.select("key", blocks.alias("blocks"), F.col("top.component").alias("major")), "key").join(signed.select("doc_id", "sig"), "doc_id")
-    targets = rest.select("key", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("query"), "doc_id", "component", "sig")
-    queries = rest.filter("component <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "doc_id", "component", "sig")
+    rest = placed.join(torn.select("key", blocks.alias("blocks"), F.col("top.component").alias("major")), "key").join(signed.select("doc_id", "n_shingles", "sig", "bands"), "doc_id")
+    targets = rest.select("key", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("query"), "doc_id", "component", "n_shingles", "sig", "bands")
+    queries = rest.filter("component <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "doc_id", "component", "n_shingles", "sig", "bands")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {0: [], 1: []}
         out: list[tuple[int, int]] = []
 
-        def compare() -> None:
+        def compare(key: int) -> None:
             """Queries against the targets of the block; targets stay."""
             if held[0] and held[1]:
-                (ti, tc, ts), (qi, qc, qs) = (tuple(zip(*held[k], strict=True)) for k in (0, 1))
-                ti, tc, qi, qc = (np.array(x, np.int64) for x in (ti, tc, qi, qc))
+                (ti, tc, tn, ts, tb), (qi, qc, qn, qs, qb) = (tuple(zip(*held[k], strict=True)) for k in (0, 1))
+                ti, tc, tn, tb, qc, qn, qb = (np.array(x, np.int64) for x in (ti, tc, tn, tb, qc, qn, qb))
                 t, q = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (ts, qs))
                 for i in range(0, len(q), 16):
-                    share = similarity(q[i : i + 16, None], t[None])
+                    share = similarity(q[i : i + 16, None, :cut_at], t[None, :, :cut_at])
                     share[qc[i : i + 16, None] == tc[None]] = -1.0
+                    sizes = qn[i : i + 16, None], tn[None]
+                    share[100 * np.minimum(*sizes) < threshold * np.maximum(*sizes)] = -1.0
                     for row in range(len(share)):
                         fit = np.flatnonzero(share[row] >= least)
-                        if best is not None and len(fit) > best:
-                            order = fit[np.lexsort((-share[row][fit], tc[fit]))]
-                            start = np.flatnonzero(np.concatenate([[True], np.diff(tc[order]) != 0]))
-                            rank = np.arange(len(order)) - np.repeat(start, np.diff(np.concatenate([start, [len(order)]])))
-                            fit = order[rank < best]
-                        mine = int(qi[i + row])
+                        differing = np.bitwise_count(t[fit, cut_at:] ^ q[i + row, cut_at:]).sum(axis=1, dtype=np.int64)
+                        fit = fit[differing <= most_differing(tn[fit], qn[i + row], threshold)]
+                        if len(fit):  # a pair belongs to the first bucket that it shares
+                            fit = fit[qb[i + row][(tb[fit] == qb[i + row]).argmax(axis=1)] == key]
+                        mine = qi[i + row]
                         out.extend((min(mine, x), max(mine, x)) for x in ti[fit].tolist())
             held[1] = []
 
@@ -205,20 +221,21 @@ def crossing_pairs(members: DataFrame, links: DataFrame, signed: DataFrame, thre
         for b in batches:
             for key, block, query, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, block) != group:
-                    compare()
+                    compare(group[0] if group else 0)
                     group, held[0] = (key, block), []
                 held[query].append(rest)
                 if len(held[1]) >= 512:
-                    compare()
+                    compare(key)
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*set(out), strict=True)], names=["a", "b"])
                 out.clear()
-        compare()
+        if group:
+            compare(group[0])
         if out:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*set(out), strict=True)], names=["a", "b"])
 
     dealt = targets.union(queries).repartition("key", "block").sortWithinPartitions("key", "block", "query")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def full_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -229,7 +246,7 @@ def full_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             for some in slices(batch, 2 << 20):
                 yield pa.record_batch([some.column(0), pa.array([s.tobytes() for s in shingle_sets(some.column(1), width)], pa.binary())], names=["doc_id", "grams"])
 
-    return texts.join(_near(ids), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(run, "doc_id long, grams binary")
+    return texts.join(_near(ids), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(trimmed(run), "doc_id long, grams binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -247,7 +264,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> D
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).rename_columns(["u", "v"])
 
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
-    return joined.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "u long, v long").distinct()
+    return joined.select("a", "b", "grams_a", "grams_b").mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
 def find_links(signed: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -264,11 +281,8 @@ def find_links(signed: DataFrame, texts: DataFrame, width: int, threshold: int)
     led = sizes.filter("n = 2").select(F.col("leader").alias("a"), F.col("last").alias("b")).union(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
     likely = cut(alike_signatures(led.filter("a < b").distinct(), signed, threshold).distinct())
     links = cut(confirm(likely, texts, width, threshold))
-    for best in (BEST, None):
-        pairs = cut(crossing_pairs(members, links, signed, threshold, best).join(likely, ["a", "b"], "left_anti"))
-        likely = likely.union(pairs)
-        links = links.union(cut(confirm(pairs, texts, width, threshold)))
-    return copies.union(links)
+    pairs = cut(crossing_pairs(members, links, signed, threshold).join(likely, ["a", "b"], "left_anti"))
+    return copies.union(links).union(confirm(pairs, texts, width, threshold))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
