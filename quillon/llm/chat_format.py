@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import trimmed
+
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 _ESCAPES = {"\\": "\\\\", "###": "\\h", "</turn>": "\\e", ":": "\\c", "\n": "\\n"}
 _BACK = {v: k for k, v in _ESCAPES.items()}
@@ -98,7 +100,7 @@ def format_conversations(conversations: DataFrame, limit: int = 8 << 20) -> Data
 
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInArrow(run, EXAMPLES)
+    return ordered.mapInArrow(trimmed(run), EXAMPLES)
 
 
 def _batch(held: list[tuple]) -> pa.RecordBatch:
@@ -133,4 +135,4 @@ def digest(examples: DataFrame) -> DataFrame:
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return examples.mapInArrow(run, schema)
+    return examples.mapInArrow(trimmed(run), schema)

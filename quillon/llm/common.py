@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +85,25 @@ def prefix_sums(values: Column, chunk: int = 64) -> Column:
         return let(chunks, lambda cs: let(running(F.transform(cs, total), zero), lambda ends: F.flatten(F.transform(cs, lambda ch, i: running(ch, F.coalesce(F.get(ends, i - 1), zero))))))
 
     return let(values, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<long>")).otherwise(two_levels(xs)))
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same batch function; its worker gives freed memory back to the system when a task ends.
+
+    Workers are reused, so what a task leaves allocated would otherwise stay for later stages.
+    """
+
+    def with_release(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass
+
+    return with_release

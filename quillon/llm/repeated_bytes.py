@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ids_and_text, stage
+from quillon.llm.common import ids_and_text, stage, trimmed
 
 LENGTH = 200
 K = 48
@@ -157,7 +157,7 @@ def contexts(texts: DataFrame) -> DataFrame:
                 place = ((first + offset[piece]) << 16) | ((last - first) << 8) | (anchor - first)
                 yield pa.record_batch([pa.array(x) for x in (t1, t2, place, gram, context)], names=[x.split()[0] for x in _CONTEXTS.split(", ")])
 
-    return texts.select("text").mapInArrow(run, _CONTEXTS)
+    return texts.select("text").mapInArrow(trimmed(run), _CONTEXTS)
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def compressed(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(map(len, data), pa.int64()), pa.array(map(pack, data), pa.binary())]
             yield pa.record_batch(columns, names=["doc_id", "t1", "t2", "n_bytes", "packed"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 class SuffixOrder:
@@ -335,7 +335,7 @@ def _fetch(joined: DataFrame) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return joined.select("t1", "t2", "packed", "wanted").mapInArrow(run, _FETCHED)
+    return joined.select("t1", "t2", "packed", "wanted").mapInArrow(trimmed(run), _FETCHED)
 
 
 _RANGES = "t1 long, t2 long, first long, last long"
@@ -367,7 +367,7 @@ def _sort_groups(fetched: DataFrame) -> DataFrame:
         if held:
             yield solve()
 
-    return fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _RANGES)
+    return fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(run), _RANGES)
 
 
 def _count_windows(fetched: DataFrame) -> DataFrame:
@@ -382,7 +382,7 @@ def _count_windows(fetched: DataFrame) -> DataFrame:
                     rows += [(*text_key(data[i : i + LENGTH]), n, t1, t2, first + i) for i in range(len(data) - LENGTH + 1)]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    windows = fetched.dropDuplicates(["anchor", "context"]).mapInArrow(run, schema)
+    windows = fetched.dropDuplicates(["anchor", "context"]).mapInArrow(trimmed(run), schema)
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("w1", "w2")
     return windows.filter("n = 1").join(twice, ["w1", "w2"]).select("t1", "t2", "first", (F.col("first") + LENGTH).alias("last"))
 
@@ -451,4 +451,4 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = packed.join(by_text, ["t1", "t2"], "left")
-    return joined.select("doc_id", "n_bytes", "packed", "ranges").mapInArrow(run, _CLEANED)
+    return joined.select("doc_id", "n_bytes", "packed", "ranges").mapInArrow(trimmed(run), _CLEANED)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ids_and_text, shared_folder
+from quillon.llm.common import ids_and_text, shared_folder, trimmed
 
 _SPACE = "[\\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Texts where a space touches other white space, or that begin or end with white space, are encoded whole.
@@ -214,7 +214,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     keyed = ids_and_text(docs).withColumn("tie", F.xxhash64("text"))
     ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
-    parts = sorted(tuple(r) for r in ordered.mapInArrow(write, MANIFEST).collect())
+    parts = sorted(tuple(r) for r in ordered.mapInArrow(trimmed(write), MANIFEST).collect())
     columns = list(zip(*parts, strict=True)) or [(), (), (), ()]
     schema = pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())])
     with fs.open_output_stream(f"{place}/manifest.arrow") as sink, pa.ipc.new_file(sink, schema) as out:
@@ -282,7 +282,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     if not rows:
         return spark.createDataFrame([], schema)
     parts = spark.createDataFrame(rows, "part int, before long").repartition(len(rows))
-    return parts.mapInArrow(read, schema)
+    return parts.mapInArrow(trimmed(read), schema)
 
 
 def default_folder(spark: SparkSession) -> str:

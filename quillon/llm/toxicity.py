@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, ids_and_text
+from quillon.llm.common import cut, ids_and_text, trimmed
 
 SAMPLE = 50_000
 LEXICON = 20_000
@@ -189,7 +189,7 @@ def training_ids(texts: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
     # bounded by ``sample`` rows of 12 bytes, so the broadcast is too
     labelled = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("l_id")).select("doc_id", "toxic", "text")
-    grouped = labelled.mapInArrow(families, "doc_id long, toxic int, family long").groupBy("family", "toxic").agg(F.min("doc_id").alias("l_id"))
+    grouped = labelled.mapInArrow(trimmed(families), "doc_id long, toxic int, family long").groupBy("family", "toxic").agg(F.min("doc_id").alias("l_id"))
     return cut(grouped.select("l_id", "toxic").distinct())
 
 
@@ -215,7 +215,7 @@ def word_counts(texts: DataFrame, training: DataFrame) -> DataFrame:
         if any(counts.values()):
             yield out()
 
-    rows = marked.mapInArrow(count, "word string, n long, toxic int")
+    rows = marked.mapInArrow(trimmed(count), "word string, n long, toxic int")
     of = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(F.lit(0)))
     return rows.groupBy("word").agg(F.sum("n").alias("n"), of(1).alias("y1"), of(0).alias("y0"))
 
