@@ -200,7 +200,7 @@ def test_toxicity(spark):
         bad = i % 6 == 0
         if bad:
             for _ in range(3):
-                w[rng.randrange(len(w))] = rng.choice(["vilefoo", "grimbar", "nastybaz" + rng.choice(WORDS)])
+                w[rng.randrange(len(w))] = rng.choice(["vilefoo", "grimbar", "zulybaz" + rng.choice(WORDS)])
         rows.append((i, " ".join(w)))
         labels.append((i, 1, int(bad)))
     rows += [(901, None), (902, ""), (None, "vilefoo grimbar"), (1, rows[1][1])]
@@ -214,7 +214,7 @@ def test_toxicity(spark):
     assert sum(right) / len(right) > 0.97
     texts = dict(rows)
     found = [texts[r["doc_id"]][p["start"] : p["end"]] for r in scored for p in r["passages"]]
-    named = [any(x in f for x in ("vilefoo", "grimbar", "nastybaz")) for f in found]
+    named = [any(x in f for x in ("vilefoo", "grimbar", "zulybaz")) for f in found]
     assert len(named) > 150 and sum(named) / len(named) > 0.9  # a word may look toxic by chance
     assert all(0 <= r["score"] <= 1 for r in scored)
     assert all(r["score"] < 0.7 for r in scored if r["doc_id"] in (901, 902))
