@@ -9,6 +9,8 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +21,74 @@ from quillon.plans.iteration import cut, small
 
 PASSES = 30
 TOLERANCE = 1e-4
+#: A group of at most this many feature cells, times the number of parts, is refined inside one task.
+LOCAL_CELLS = 4_000_000
+
+
+def refine_one(pdf: pd.DataFrame, k: int, passes: int, seed: int) -> pd.DataFrame:
+    """A group's rows (ord, grp, child, f, w) refined document by document: every gaining move is made at once."""
+    grp = int(pdf["grp"].iloc[0])
+    pdf = pdf.sort_values(["ord", "f"], kind="stable")
+    ords, starts = np.unique(pdf["ord"].to_numpy(), return_index=True)
+    ends = np.append(starts[1:], len(pdf))
+    _, codes = np.unique(pdf["f"].to_numpy(), return_inverse=True)
+    w, child = pdf["w"].to_numpy(), pdf["child"].to_numpy()[starts].copy()
+    sums = np.zeros((k, int(codes.max(initial=-1)) + 1))
+    np.add.at(sums, (np.repeat(child, ends - starts), codes), w)
+    squares = (sums**2).sum(axis=1)
+    for turn in range(passes):
+        moved = False
+        for d in np.random.default_rng([seed & 0xFFFFFFFF, grp & 0xFFFFFFFF, turn]).permutation(len(ords)):
+            at, x, c = codes[starts[d] : ends[d]], w[starts[d] : ends[d]], child[d]
+            dots, n = sums[:, at] @ x, x @ x
+            gains = np.sqrt(np.maximum(0.0, squares + n + 2 * dots)) - np.sqrt(squares)
+            gains[c] = -np.inf
+            j = int(np.argmax(gains))
+            if gains[j] + np.sqrt(max(0.0, squares[c] + n - 2 * dots[c])) - np.sqrt(squares[c]) > EPSILON:
+                sums[c, at] -= x
+                sums[j, at] += x
+                squares[c], squares[j] = max(0.0, squares[c] + n - 2 * dots[c]), squares[j] + n + 2 * dots[j]
+                child[d], moved = j, True
+        if not moved:
+            break
+    return pd.DataFrame({"ord": ords, "to": child.astype("int32")})
 
 
-def refine(u: DataFrame, state: DataFrame, k: int, passes: int = PASSES, tolerance: float = TOLERANCE) -> DataFrame:
+def refine(u: DataFrame, state: DataFrame, k: int, passes: int = PASSES, tolerance: float = TOLERANCE, seed: int = DEFAULT_SEED, local_cells: int | None = None) -> DataFrame:
     """State (ord, grp, child) after at most ``passes`` passes of moves.
 
+    Groups whose counted size fits a task (``LOCAL_CELLS``) are refined there, all of them in
+    one job and each move seen by the next; larger ones go through distributed batch passes.
+    Documents without features never move.
+    """
+    state = cut(state)
+    most = (LOCAL_CELLS if local_cells is None else local_cells) // k
+    cells = u.join(state, "ord").groupBy("grp").count()
+    fits = cut(cells.filter(F.col("count") <= most).select("grp"))  # a row per group
+    if fits.isEmpty():
+        return refine_batch(u, state, k, passes, tolerance)
+    fitting = state.join(small(fits), "grp")
+    rows = u.join(fitting, "ord").select("ord", "grp", "child", F.xxhash64("feature").alias("f"), "w")
+    moved = rows.groupBy("grp").applyInPandas(lambda pdf: refine_one(pdf, k, passes, seed), "ord long, to int")
+    done = cut(state.join(moved, "ord", "left").select("ord", "grp", F.coalesce("to", F.col("child").cast("int")).alias("child")))
+    if cells.filter(F.col("count") > most).isEmpty():
+        return done
+    large = refine_batch(u, state.join(small(fits), "grp", "left_anti").select("ord", "grp", "child"), k, passes, tolerance)
+    return done.join(small(fits), "grp", "left_semi").select("ord", "grp", "child").union(large.select("ord", "grp", F.col("child").cast("int")))
+
+
+def refine_batch(u: DataFrame, state: DataFrame, k: int, passes: int = PASSES, tolerance: float = TOLERANCE) -> DataFrame:
+    """The distributed form of ``refine``.
+
     A pass moves every document whose best move gains against the composites as they are. A
     group keeps that only if its objective rose; otherwise just its single best move is made,
     which always gains. The search ends when no group's objective rises by more than the
     ``tolerance`` share of it (0: only when no move gains). The driver holds one number per
-    group; a pass is one job for the new state, one for its composites and one for the norms.
+    group; a pass is one job for the new state and one for its composites and norms.
     """
 
     def measured(state: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, float]]:
-        comp = cut(wide_composite(u, state, k))
+        comp = wide_composite(u, state, k).persist()  # one step from the checkpointed state, so losing it is cheap
         norms = wide_norms(comp, k)
         return comp, norms, {r["grp"]: r["total"] for r in norms.select("grp", "total").collect()}
 
@@ -48,13 +104,16 @@ def refine(u: DataFrame, state: DataFrame, k: int, passes: int = PASSES, toleran
             one = moves.join(bad, "grp").groupBy("grp").agg(F.max(F.struct("gain", (-F.col("ord")).alias("o"), "to")).alias("m"))
             single = one.select((-F.col("m.o")).alias("ord"), F.col("m.to").alias("one"))
             both = tried.withColumnRenamed("child", "tried").join(state.select("ord", "child"), "ord").join(bad, "grp", "left").join(single, "ord", "left")
+            new_comp.unpersist()
             tried = cut(both.select("ord", "grp", F.when(F.col("bad").isNull(), F.col("tried")).otherwise(F.coalesce("one", "child")).alias("child")))
             new_comp, new_norms, new_totals = measured(tried)
         rose = any(t > totals.get(g, 0.0) * (1 + tolerance) + EPSILON for g, t in new_totals.items())
         if sum(new_totals.values()) > sum(totals.values()):
+            comp.unpersist()
             state, comp, norms, totals = tried, new_comp, new_norms, new_totals
         if not rose:
             break
+    comp.unpersist()
     return state
 
 
@@ -179,6 +238,7 @@ def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limi
 
 def cluster(u: DataFrame, docs: DataFrame, method: str = "rb", n: int | None = None, limit: float | None = None, seed: int = DEFAULT_SEED, passes: int = PASSES) -> DataFrame:
     """Dispatch by method name."""
+    u = u.repartition("ord").persist()  # every pass joins it with the state on ord
     if method == "rb":
         return repeated_bisection(u, docs, n, limit, seed, passes)
     if method == "kmeans":

@@ -153,5 +153,15 @@ def test_objective_never_falls(spark, genres):
     state = spark.createDataFrame([(i, 0, i % 2) for i in range(6)], "ord long, grp long, child int")
     total = lambda s: sum(math.sqrt(r["q"]) for r in u.join(s, "ord").groupBy("child", "feature").agg(F.sum("w").alias("s")).groupBy("child").agg(F.sum(F.col("s") * F.col("s")).alias("q")).collect())
     before = total(state)
-    after = total(clustering.refine(u, state, 2))
-    assert before <= after <= 4.632181
+    for cells in (0, None):  # in batches, and inside one task
+        after = total(clustering.refine(u, state, 2, local_cells=cells))
+        assert before <= after <= 4.632181
+
+
+def test_refine_in_batches(spark, letters):
+    docs, features = letters
+    u = cs.unit(features)
+    state = spark.createDataFrame([(i, g, i % 2) for i in range(6) for g in [0]], "ord long, grp long, child int")
+    for cells in (0, None):
+        found = {r["ord"]: r["child"] for r in clustering.refine(u, state, 2, local_cells=cells).collect()}
+        assert len({found[i] for i in (0, 1, 2)}) == 1 and len({found[i] for i in (3, 4, 5)}) == 1 and found[0] != found[3]
