@@ -53,7 +53,7 @@ class PieceEncoder:
     up to a bound for as long as the worker process lives.
     """
 
-    REMEMBER = 900_000
+    REMEMBER = 300_000  # in each of two generations
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,8 +66,8 @@ class PieceEncoder:
             special = tokenizer.get_added_tokens_decoder()
             for token, i in tokenizer.get_vocab().items():  # byte-level: a character stands for a byte
                 sizes[i] = len(token.encode()) if i in special else len(token)
-            state.__dict__[path] = (tokenizer, sizes, {})
-        self.tokenizer, self.sizes, self.known = state.__dict__[path]
+            state.__dict__[path] = (tokenizer, sizes, {}, {})
+        self.tokenizer, self.sizes, self.known, self.older = state.__dict__[path]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,22 +98,39 @@ class PieceEncoder:
         starts = pieces.offsets.to_numpy()
         coded = pieces.flatten().dictionary_encode()
         codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > self.REMEMBER:
+        if len(self.known) > self.REMEMBER:  # the older generation goes, what is in use comes back from it
+            self.older.clear()
+            self.older.update(self.known)
             self.known.clear()
         data = list(map(self.known.get, words))
-        if new := [i for i, d in enumerate(data) if d is None]:
+        new = []
+        for i, d in enumerate(data):
+            if d is None:
+                if (d := self.older.get(words[i])) is None:
+                    new.append(i)
+                else:
+                    data[i] = self.known[words[i]] = d
+        if new:
             learnt = self.learn([words[i] for i in new], pc.binary_length(coded.dictionary).to_numpy()[new])
             for i, ids in zip(new, learnt, strict=True):
                 data[i] = ids
-        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        sizes = np.fromiter(map(len, data), np.int32, len(data)) // 4
         flat = np.frombuffer(b"".join(data), np.uint32)
-        begins = np.cumsum(sizes) - sizes
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat(begins[codes] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
         firsts = self.whole(pc.list_element(pieces, 0).to_pylist())  # no space before the first piece
-        for k, i in enumerate(regular.to_pylist()):
-            out[i] = np.concatenate([firsts[k], ids[ends[starts[k]] : ends[starts[k + 1] - 1]]])
+        places = regular.to_pylist()
+        k = 0
+        while k < len(places):  # blocks of texts with about 200,000 pieces, so that the gathered indices stay small
+            end = max(k + 1, int(np.searchsorted(starts, starts[k] + 200_000)))
+            end = min(end, len(places))
+            block = codes[starts[k] : starts[end]]
+            lengths = sizes[block]
+            ends = np.cumsum(lengths, dtype=np.int64)
+            ids = flat[np.repeat(begins[block] - (ends - lengths), lengths) + np.arange(ends[-1])]
+            for j in range(k, end):
+                a, b = starts[j] - starts[k], starts[j + 1] - starts[k]
+                out[places[j]] = np.concatenate([firsts[j], ids[ends[a] : ends[b - 1]]])
+            k = end
         return out
 
 
@@ -175,7 +192,7 @@ class PartWriter:
         return self.part, self.n_docs, self.n_tokens, self.n_sequences
 
 
-def slices(batch: pa.RecordBatch, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``size`` bytes of text (column 1), so that memory follows the longest text only."""
     sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
     at = 0
