@@ -36,7 +36,7 @@ def points(u: DataFrame, assign: DataFrame, docs: DataFrame) -> DataFrame:
 def sorted_points(found: DataFrame) -> DataFrame:
     """Points with pos (1..) by similarity descending, then ord."""
     order = Window.partitionBy("cluster_id").orderBy(F.desc(F.round("point", 9)), "ord")
-    return found.withColumn("pos", F.row_number().over(order))
+    return found.withColumn("pos", F.row_number().over(order).cast("long"))
 
 
 def centroid_top(cents: DataFrame, features: DataFrame, n: int = 50) -> DataFrame:

@@ -44,7 +44,7 @@ def top_features(features: DataFrame, n: int, key: str = "ord", value: str = "va
     ties = [F.desc("first"), F.desc("feature")] if "first" in features.columns else [F.desc("feature")]
     order = Window.partitionBy(key).orderBy(F.desc(F.round(F.abs(value), 9)), *ties)
     name = rank or "__rank"
-    ranked = features.withColumn(name, F.row_number().over(order)).filter(F.col(name) <= n)
+    ranked = features.withColumn(name, F.row_number().over(order).cast("long")).filter(F.col(name) <= n)
     return ranked if rank else ranked.drop(name)
 
 

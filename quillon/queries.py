@@ -93,7 +93,7 @@ def _ranked(features: DataFrame, by: Column) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("ord").orderBy(by.desc(), F.desc("feature"))
-    return features.select("ord", "feature", r6("value").alias("value"), F.row_number().over(order).alias("rank"))
+    return features.select("ord", "feature", r6("value").alias("value"), F.row_number().over(order).cast("long").alias("rank"))
 
 
 @query
