@@ -88,12 +88,15 @@ def _plsi(steps: int) -> str:
     return "WITH " + ", ".join(parts)
 
 
-def _members(normalized: bool) -> str:
+def _members(normalized: bool, digits: int | None = 9) -> str:
     total = " + ".join(f"d{z} * p{z}" for z in range(TOPICS))
-    each = [f"SELECT ord, {z} AS topic, round(d{z} * p{z}{f' / ({total})' if normalized else ''}, 9) AS p FROM d2, z2" for z in range(TOPICS)]
+    value = lambda z: f"d{z} * p{z}" + (f" / ({total})" if normalized else "")
+    each = [f"SELECT ord, {z} AS topic, {value(z) if digits is None else f'round({value(z)}, {digits})'} AS p FROM d2, z2" for z in range(TOPICS)]
     return f"{_plsi(2)} {' UNION ALL '.join(each)}"
 
 
+CLASSIFIED = "d.doc_id || coalesce(chr(9) || string_agg(t.cluster || chr(9) || printf('%.6f', t.point), chr(9) ORDER BY t.rank), '') AS line FROM documents d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY round(point, 9) DESC, cent_ord DESC) AS rank FROM sims QUALIFY rank <= 3) t ON t.ord = d.doc_id GROUP BY d.doc_id"
+
 MEASURES = {
     "inner": "prod",
     "cosine": "CASE WHEN na * nb <> 0 THEN prod / (na * nb) ELSE 0.0 END",
@@ -146,7 +149,10 @@ ORACLES: dict[str, str] = {
     "refine_one_pass": sql('SELECT p.ord, CASE WHEN b.gain > 1e-12 THEN b."to" ELSE p.child END AS child FROM parts p LEFT JOIN best b USING (ord)', "best", "parts"),
     "cluster_text": sql("SELECT cluster_id, cluster_id || chr(9) || string_agg(doc_id || chr(9) || printf('%.6f', point), chr(9) ORDER BY round(point, 9) DESC, ord) AS line FROM pts GROUP BY cluster_id", "pts"),
     "centroid_text": sql(f"SELECT cluster_id, cluster_id || chr(9) || string_agg(feature || chr(9) || {SIX}, chr(9) ORDER BY rank) AS line FROM ctop GROUP BY cluster_id", "ctop"),
-    "classified_text": sql("SELECT d.doc_id AS ord, d.doc_id || coalesce(chr(9) || string_agg(t.cluster || chr(9) || printf('%.6f', t.point), chr(9) ORDER BY t.rank), '') AS line FROM documents d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY round(point, 9) DESC, cent_ord DESC) AS rank FROM sims QUALIFY rank <= 3) t ON t.ord = d.doc_id GROUP BY d.doc_id", "sims"),
+    "classified_text": sql(f"SELECT d.doc_id AS ord, {CLASSIFIED}", "sims"),
+    "stream_batch_lines": sql(f"SELECT {CLASSIFIED}", "sims"),
+    "vector_text": sql("SELECT ord, string_agg(feature || chr(9) || printf('%.4f', x), chr(9) ORDER BY feature) AS line FROM evp WHERE x IS NOT NULL GROUP BY ord", "evp"),
+    "membership_text": f"SELECT ord, ord || chr(9) || string_agg(printf('%.6f', p), chr(9) ORDER BY topic) AS line FROM ({_members(True, None)}) GROUP BY ord",
     "inverted_index": sql("SELECT feature, rank, cent_ord, round(w_raw, 6) + 0.0 AS w_raw FROM inv", "inv"),
     "index_candidates": sql("SELECT ord, cent_ord FROM cands", "cands"),
     "classify_indexed": sql(_top(5, "(SELECT * FROM sims SEMI JOIN cands USING (ord, cent_ord))"), "sims", "cands"),

@@ -14,6 +14,7 @@ from quillon.operators import refine as rf
 from quillon.operators import weights as wt
 from quillon.plans import clustering, topics
 from quillon.sources import tables, tsv
+from quillon.streaming.classify import classify_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -334,6 +335,27 @@ def classified_text(spark: SparkSession, sf: str) -> DataFrame:
     return tsv.classified_lines(tables.document_rows(spark, sf), cl.classify(u, _centroids(spark, sf, u), inv_keys=0, k=3))
 
 
+@query
+def vector_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Event counts of every user as a display line."""
+    return _maps(spark, sf).select("ord", tsv.format_vector(F.col("vec")).alias("line"))
+
+
+@query
+def membership_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalised topic memberships of every document as lines."""
+    return tsv.membership_lines(tables.document_rows(spark, sf), _raw_membership(spark, sf, True))
+
+
+@query
+def stream_batch_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """What a micro-batch of the classification stream gives for the documents as pair lines."""
+    pairs = F.concat_ws("\t", "feature", F.col("value").cast("string"))
+    lines = tables.token_features(spark, sf).groupBy("ord").agg(F.array_join(F.collect_list(pairs), "\t").alias("rest"))
+    texts = tables.document_rows(spark, sf).join(lines, "ord", "left").select(F.concat_ws("\t", "doc_id", "rest").alias("value"))
+    return classify_batch(clustering.cut(texts), _centroids(spark, sf, _unit(spark, sf)), inv_keys=0, k=3).select("line")
+
+
 # --- classification
 
 
@@ -383,9 +405,13 @@ def plsi_em_step(spark: SparkSession, sf: str) -> DataFrame:
     return pwz.select("feature", *[F.round(f"w{z}", 9).alias(f"w{z}") for z in range(TOPICS)])
 
 
-def _membership(spark: SparkSession, sf: str, normalized: bool) -> DataFrame:
+def _raw_membership(spark: SparkSession, sf: str, normalized: bool) -> DataFrame:
     pdz, _, pz = topics.plsi(tables.token_features(spark, sf), TOPICS, 2)
-    return topics.plsi_membership(pdz, pz, normalized).select("ord", "topic", F.round("p", 9).alias("p"))
+    return topics.plsi_membership(pdz, pz, normalized)
+
+
+def _membership(spark: SparkSession, sf: str, normalized: bool) -> DataFrame:
+    return _raw_membership(spark, sf, normalized).select("ord", "topic", F.round("p", 9).alias("p"))
 
 
 @query
