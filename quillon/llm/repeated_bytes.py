@@ -391,7 +391,9 @@ def repeated_ranges(texts: DataFrame, packed: DataFrame) -> DataFrame:
     """t1, t2, first, last: byte ranges that cover exactly the bytes to remove (ranges may overlap)."""
     found = contexts(texts)
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).filter("n > 1")
-    matched = stage(found.join(often.select("anchor", (F.col("lo") < F.col("hi")).alias("mixed")), "anchor"), "matched")
+    # written first: a join of two plain exchanges is one whose hot keys adaptive execution can split
+    often = stage(often.select("anchor", (F.col("lo") < F.col("hi")).alias("mixed")), "often")
+    matched = stage(found.join(often, "anchor"), "matched")
     mixed = matched.filter("mixed")
     groups = mixed.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "place")).alias("one"))
     groups = stage(groups.select("anchor", "context", "n", "one.*"), "groups")
