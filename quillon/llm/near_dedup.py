@@ -267,12 +267,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> D
     return joined.select("a", "b", "grams_a", "grams_b").mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
-def find_links(signed: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Links (u, v) that connect exactly the documents connected by similarity."""
-    known = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    groups = known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first"))
-    copies = cut(known.join(groups, ["s1", "s2", "n_shingles"]).filter(F.col("doc_id") != F.col("first")).select(F.col("first").alias("u"), F.col("doc_id").alias("v")))
-    firsts = known.join(groups.select(F.col("first").alias("id")).distinct(), F.col("doc_id") == F.col("id"), "left_semi")
+def find_links(signed: DataFrame, groups: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links (u, v) that connect exactly the documents connected by similarity, between the first documents of equal sets."""
+    firsts = signed.filter("n_shingles > 0").join(groups.select(F.col("first").alias("id")).distinct(), F.col("doc_id") == F.col("id"), "left_semi")
 
     buckets = firsts.select(F.explode("bands").alias("key"), "doc_id")
     sizes = buckets.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -282,7 +279,7 @@ def find_links(signed: DataFrame, texts: DataFrame, width: int, threshold: int)
     likely = cut(alike_signatures(led.filter("a < b").distinct(), signed, threshold).distinct())
     links = cut(confirm(likely, texts, width, threshold))
     pairs = cut(crossing_pairs(members, links, signed, threshold).join(likely, ["a", "b"], "left_anti"))
-    return copies.union(links).union(confirm(pairs, texts, width, threshold))
+    return links.union(confirm(pairs, texts, width, threshold))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -295,8 +292,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
     """
     texts = ids_and_text(docs)
     signed = stage(signatures(texts, width), "signatures")
-    components = connected_components(find_links(signed, texts, width, threshold))
-    joined = signed.select("doc_id", "n_shingles").join(components, F.col("doc_id") == F.col("id"), "left")
+    known = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select("doc_id", "s1", "s2", "n_shingles")
+    # written first: a join of two plain exchanges is one whose hot keys adaptive execution can split
+    groups = stage(known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first")), "groups")
+    # copies stay out of the graph: they take the component of the first document of their set
+    placed = stage(known.join(groups, ["s1", "s2", "n_shingles"]).select("doc_id", "first"), "placed")
+    several = placed.groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo < hi")
+    same_id = placed.join(several, "doc_id").select(F.col("lo").alias("u"), F.col("first").alias("v"))
+    links = find_links(signed, groups, texts, width, threshold)
+    components = stage(connected_components(links.union(same_id)), "components")
+    reached = placed.join(components, F.col("first") == F.col("id"), "left")
+    by_doc = reached.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce("component", "first")).alias("component"))
+    joined = signed.select("doc_id", "n_shingles").join(by_doc, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
