@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, ids_and_text, trimmed
+from quillon.llm.common import cut, ids_and_text, stage, trimmed
 
 SAMPLE = 50_000
 LEXICON = 20_000
@@ -224,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
     """The model from corpus counts over all documents and a bounded sample of labels."""
     texts = ids_and_text(docs)
     training = training_ids(texts, labels, sample)
-    words = word_counts(texts, training)
+    words = stage(word_counts(texts, training), "words")  # read twice below; counting twice would cost more
     prefixes = [F.when(F.length("word") >= k, F.concat(F.lit("^"), F.substring("word", 1, k))) for k in PREFIXES]
     whole = F.when(F.length("word") <= LONGEST_WORD, F.col("word"))
     by_feature = words.select(F.explode(F.array_compact(F.array(whole, *prefixes))).alias("feature"), "n", "y1", "y0")
