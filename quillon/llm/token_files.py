@@ -75,10 +75,10 @@ class PieceEncoder:
     def learn(self, words: list[str], lengths: np.ndarray) -> list[bytes]:
         """Ids of these words (of so many bytes) with a space before them, as bytes; remembered."""
         out: list[bytes] = []
-        for i in range(0, len(words), 4000):
-            some = words[i : i + 4000]
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
             (ids,) = self.whole([" " + " ".join(some)])
-            ends = np.cumsum(lengths[i : i + 4000] + 1)
+            ends = np.cumsum(lengths[i : i + 500] + 1)
             at = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
             data = ids.tobytes()
             out += [data[a:b] for a, b in zip([0, *at], at, strict=False)]
@@ -111,6 +111,7 @@ class PieceEncoder:
                 else:
                     data[i] = self.known[words[i]] = d
         if new:
+            new.sort(key=words.__getitem__)  # neighbours share merges, which is faster to encode
             learnt = self.learn([words[i] for i in new], pc.binary_length(coded.dictionary).to_numpy()[new])
             for i, ids in zip(new, learnt, strict=True):
                 data[i] = ids
@@ -192,7 +193,7 @@ class PartWriter:
         return self.part, self.n_docs, self.n_tokens, self.n_sequences
 
 
-def slices(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``size`` bytes of text (column 1), so that memory follows the longest text only."""
     sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
     at = 0
