@@ -3,12 +3,16 @@
 Candidates are maximal runs of at least 20 characters of ``[A-Za-z0-9+/_=-]`` that overlap no
 pattern match. For each, the encoding is inferred (hex, base32, base64) and three statistics
 are computed over its alphabet of k symbols: chi-squared uniformity, Wald-Wolfowitz runs
-about the middle of the alphabet, and lag-1 serial correlation. A candidate's p-value is the
-chance that running text of its length would look as uniform as it does (the chi-squared
-statistic against its expectation under the letter coincidence rate of text); Benjamini-
-Hochberg control at rate Q runs within strata of length, because the power of the test
-depends on length. A discovery must also pass the runs and serial tests as a random string
-would. P-values are kept in bins of 1/20 of a decade, rounded towards 1, so the control needs
+about the middle of the alphabet, and lag-1 serial correlation. A candidate's p-value has a
+null per encoding. For base64 it is the chance that running text of its length would look as
+uniform as it does (the chi-squared statistic against its expectation under the letter
+coincidence rate of text). Sixteen or 32 symbols are about as uneven in text as in a key, so
+for hex and base32 the null is an ordinary run with letters as frequent as in text and any
+share of digits: its likelihood over that of uniform symbols bounds the chance of a run that
+keeps as well to the alphabet (Markov's inequality). Benjamini-Hochberg control at rate Q runs
+within strata of length, because the power of the test depends on length. A discovery must
+also pass the runs and serial tests, in hex and base32 the chi-squared test too, as a random
+string would. P-values are kept in bins of 1/20 of a decade, rounded towards 1, so the control needs
 only the counts of a few thousand bins, whatever the number of candidates.
 
 Everything is a DataFrame expression. Positions count code points, ends are exclusive.
@@ -16,6 +20,8 @@ Everything is a DataFrame expression. Positions count code points, ends are excl
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +38,8 @@ STRATA = (23, 31, 47, 95)
 #: Coincidence rate of letters in running text; false-discovery rate; two-sided normal bound of the other tests.
 COINCIDENCE, Q, BOUND = 0.065, 0.01, 3.0
 BINS_PER_DECADE, MOST_BINS = 20, 600
+#: Letters a to z in running text, per 10,000 (mean of English, German, French and Spanish).
+LETTERS = (846, 162, 320, 450, 1400, 141, 191, 308, 682, 43, 57, 447, 277, 758, 615, 191, 59, 664, 738, 677, 404, 120, 109, 21, 93, 50)
 _SPANS = "array<struct<start:long,kind:int,end:long>>"
 
 
@@ -62,8 +70,27 @@ def normal_tail(z: Column) -> Column:
     return F.when(z > 5, density * z / (z * z + 1)).otherwise(density * poly)
 
 
+def ordinary(x: Column, size: Column) -> Column:
+    """log10 of the likelihood of codes as an ordinary run, over that of uniform symbols; null in base64.
+
+    Letters are as frequent as in text, digits alike, and their shares those of the run, which
+    suits it best; so words, numbers and serial numbers all come out above 0.
+    """
+    by_letter = F.array(*[F.lit(math.log10(c / sum(LETTERS))) for c in LETTERS])
+    place = lambda v: F.when(size == 16, v - 10).otherwise(F.when(v < 26, v).otherwise(-1)).cast("int")  # noqa: E731  negative: a digit
+    letters = F.filter(F.transform(x, place), lambda v: v >= 0)
+    share = lambda m: F.when(m > 0, m * F.log10(m / F.size(x))).otherwise(0.0)
+
+    def total(letters: Column) -> Column:
+        digits = F.size(x) - F.size(letters)
+        drawn = F.aggregate(letters, F.lit(0.0), lambda t, v: t + F.get(by_letter, v)) - digits
+        return drawn + share(F.size(letters)) + share(digits) + F.size(x) * F.log10(size.cast("double"))
+
+    return F.when(size < 64, let(letters, total))
+
+
 def battery(token: Column) -> Column:
-    """k (alphabet size), n, chi (chi-squared), runs and serial (normal deviates) of a string.
+    """k (alphabet size), n, chi (chi-squared), runs and serial (normal deviates) and ordinary (log10, hex and base32 only) of a string.
 
     Padding and the separators - and _ are no symbols of hex or base32; in base64 the code of
     a symbol is its place in A-Z a-z 0-9 + /, with - and _ for + and /.
@@ -93,7 +120,7 @@ def battery(token: Column) -> Column:
             variance = (expected - 1) * (expected - 2) / (n - 1)
             runs = F.when(variance > 0, (changes + 1 - expected) / F.sqrt(variance)).otherwise(F.lit(99.0))
             serial = F.when(s > 0, (lagged(m) / s + F.lit(1.0) / n) * F.sqrt(n)).otherwise(F.lit(99.0))
-            return F.struct(size.alias("k"), n.alias("n"), (size / n * squares - n).alias("chi"), runs.alias("runs"), serial.alias("serial"))
+            return F.struct(size.alias("k"), n.alias("n"), (size / n * squares - n).alias("chi"), runs.alias("runs"), serial.alias("serial"), ordinary(x, size).alias("ordinary"))
 
         return let(high, lambda h: let(mean, lambda m: let(spread(m), lambda s: deviates(h, m, s))))
 
@@ -110,7 +137,15 @@ def p_bin(t: Column) -> Column:
     """Bin of -log10 p, rounded down (p towards 1)."""
     z = text_deviate(t)
     p = F.when(z <= 0, F.lit(1.0)).otherwise(F.greatest(normal_tail(z), F.lit(1e-300)))
-    return F.least(F.lit(MOST_BINS), F.floor(-F.log10(p) * BINS_PER_DECADE)).cast("int")
+    tenfold = F.when(t["k"] < 64, F.least(F.lit(0.0), t["ordinary"])).otherwise(F.log10(p))
+    return F.least(F.lit(MOST_BINS), F.floor(-tenfold * BINS_PER_DECADE)).cast("int")
+
+
+def like_random(t: Column) -> Column:
+    """Whether the tests that gave no p-value are passed; chi-squared by its cube root, which is nearly normal."""
+    spread = F.lit(2.0) / (9 * (t["k"] - 1))
+    uneven = (F.pow(t["chi"] / (t["k"] - 1), F.lit(1 / 3)) - 1 + spread) / F.sqrt(spread)
+    return (F.abs(t["runs"]) <= BOUND) & (F.abs(t["serial"]) <= BOUND) & ((t["k"] == 64) | (uneven <= BOUND))
 
 
 def stratum(n: Column) -> Column:
@@ -126,7 +161,7 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     base = texts.select("doc_id", "text", F.array_sort(F.concat(match_spans(text, ASSIGN, 0, 2, 6), match_spans(text, ACCESS, 1), match_spans(text, HEX, 2))).alias("base"), match_spans(text, RUN, 3).alias("runs"))
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    tested = F.transform(free, lambda r: let(battery(F.substr(F.col("text"), (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))), lambda t: F.struct(r["start"].alias("start"), r["end"].alias("end"), stratum(t["n"]).alias("stratum"), p_bin(t).alias("bin"), ((F.abs(t["runs"]) <= BOUND) & (F.abs(t["serial"]) <= BOUND)).alias("like"))))
+    tested = F.transform(free, lambda r: let(battery(F.substr(F.col("text"), (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))), lambda t: F.struct(r["start"].alias("start"), r["end"].alias("end"), stratum(t["n"]).alias("stratum"), p_bin(t).alias("bin"), like_random(t).alias("like"))))
     return base.select("doc_id", "base", F.filter(tested, lambda c: c["bin"].isNotNull()).alias("candidates"))
 
 

@@ -299,6 +299,20 @@ def test_secrets(spark, rows):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
 
 
+def test_secrets_of_every_encoding(spark):
+    rng = random.Random(11)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"HEX": "0123456789ABCDEF", "hex": "0123456789abcdef", "base32": upper + "234567", "base64": upper + upper.lower() + "0123456789+/"}
+    keys = [(name, n, "".join(rng.choices(symbols, k=n))) for name, symbols in alphabets.items() for n in (20, 23, 31, 47, 95, 128) if name != "hex" or n < 24 for _ in range(20)]
+    words = "the house of their father stands near an old river and nobody remembers when it was built there".upper().split()
+    plain = ["".join(rng.choices(words, k=12))[:n] for n in (20, 31, 47) for _ in range(20)] + [w.lower() for w in ("".join(rng.choices(words, k=12))[:30] for _ in range(20))]
+    plain += ["".join(rng.choices("0123456789", k=n)) for n in (20, 22, 23) for _ in range(5)] + ["DE89370400440532013000", "DEADBEEF" * 3, "F" * 30, "0123456789ABCDEF" * 2, "FFFFF0FFFFFFFF0FFF0FFFF"]
+    found = {r["doc_id"] for r in secrets.find_secrets(frame(spark, list(enumerate([f"see {t} there" for *_, t in keys] + [f"see {t} there" for t in plain])))).filter("exists(spans, s -> s.kind = 3)").collect()}
+    hits = {(name, n): sum(i in found for i, key in enumerate(keys) if key[:2] == (name, n)) for name, n, _ in keys}
+    assert min(hits.values()) >= 16, hits
+    assert not [t for i, t in enumerate(plain, len(keys)) if i in found]
+
+
 def test_battery(spark):
     rng = random.Random(2)
     tokens = {"hex": "".join(rng.choices("0123456789abcdef", k=400)), "flat": "A" * 400, "rising": "ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 16}
