@@ -7,6 +7,7 @@ DataFrame joins and aggregations, for all groups of a pass at once.
 from __future__ import annotations
 
 import heapq
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +24,8 @@ PASSES = 30
 TOLERANCE = 1e-4
 #: A group of at most this many feature cells, times the number of parts, is refined inside one task.
 LOCAL_CELLS = 4_000_000
+#: A cluster of the bisection tree has its path as number (children 2p and 2p + 1); those below this have running numbers.
+DEEPEST = 1 << 60
 
 
 def refine_one(pdf: pd.DataFrame, k: int, passes: int, seed: int) -> pd.DataFrame:
@@ -137,6 +140,7 @@ class Node:
 
     path: int
     size: int
+    parent: int | None = None
     gain: float | None = None
     children: list[int] = field(default_factory=list)
 
@@ -163,11 +167,11 @@ def split_groups(u: DataFrame, members: DataFrame, seed: int, passes: int) -> Da
     return refine(u, both.select("ord", "grp", child.alias("child")), 2, passes)
 
 
-def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limit: float | None = None, seed: int = DEFAULT_SEED, passes: int = PASSES, max_clusters: int = 10_000) -> DataFrame:
-    """(ord, cluster_id): best-first bisection until n clusters, or while the best gain reaches the limit.
+def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limit: float | None = None, seed: int = DEFAULT_SEED, passes: int = PASSES) -> DataFrame:
+    """(ord, cluster_id): best-first bisection until n clusters, or while the best gain reaches the limit, however many clusters that makes.
 
     The split of a cluster depends on its members and path only, so each round splits every
-    unsplit cluster of the tree in one job; the driver then replays the best-first search on
+    unsplit cluster of the tree that the search can reach in one job; the driver then replays the best-first search on
     the gains (a heap of at most one entry per cluster). Clusters are numbered from 1 by
     ascending split gain, then path; clusters without documents are not counted. n wins over
     limit; a best gain of at most 1e-12 always stops.
@@ -180,17 +184,18 @@ def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limi
     total = state.count()
     nodes = {1: Node(1, total)}
     trail = state  # the deepest known cluster of every document
-    goal = n if n is not None else max_clusters
+    least = limit if limit is not None and limit > 0 else 0.0
+    deeper = itertools.count(-2, -1)
 
     def replay() -> tuple[list[int], bool]:
         """Leaves of the search so far, and whether an unsplit cluster stopped it."""
         heap = [(-(nodes[1].gain or 0.0), 1)]
-        while len(heap) < goal:
+        while n is None or len(heap) < n:
             top = -heap[0][0]
             node = nodes[heap[0][1]]
             if node.gain is None:
                 return [p for _, p in heap], True
-            if not node.children or top <= EPSILON or (limit is not None and limit > 0 and top < limit):
+            if not node.children or top <= EPSILON or top < least:
                 break
             if any(nodes[c].gain is None for c in node.children):
                 return [p for _, p in heap], True
@@ -199,9 +204,9 @@ def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limi
                 heapq.heappush(heap, (-nodes[c].gain, c))
         return [p for _, p in heap], False
 
-    leaves, blocked = ([1], False) if goal <= 1 or total == 0 else replay()
+    leaves, blocked = ([1], False) if (n is not None and n <= 1) or total == 0 else replay()
     while blocked:
-        todo = [p for p, x in nodes.items() if x.gain is None]
+        todo = [p for p, x in nodes.items() if x.gain is None and (x.parent is None or nodes[x.parent].gain >= least)]
         for p in todo:
             if nodes[p].size < 2:
                 nodes[p].gain = 0.0
@@ -216,17 +221,19 @@ def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limi
             for p in todo:
                 nodes[p].gain = round(gains.get(p, 0.0), 12)
                 for c in (0, 1):
-                    nodes[p].children.append(2 * p + c)
-                    nodes[2 * p + c] = Node(2 * p + c, sizes.get((p, c), 0))
-            down = halves.select("ord", (F.col("grp") * 2 + F.col("child")).cast("long").alias("next"))
+                    path = 2 * p + c if 0 < p < DEEPEST else next(deeper)
+                    nodes[p].children.append(path)
+                    nodes[path] = Node(path, sizes.get((p, c), 0), p)
+            paths = docs.sparkSession.createDataFrame([(p, c, path) for p in todo for c, path in enumerate(nodes[p].children)], "grp long, child int, next long")
+            down = halves.join(small(paths), ["grp", "child"]).select("ord", "next")
             trail = cut(trail.join(down, "ord", "left").select("ord", F.coalesce("next", "grp").alias("grp")))
         leaves, blocked = replay()
     kept = sorted((p for p in leaves if nodes[p].size), key=lambda p: (nodes[p].gain or 0.0, p))
     deepest = {p for p in nodes if not nodes[p].children}
 
     def above(p: int) -> int:
-        while p not in chosen and p > 1:
-            p //= 2
+        while p not in chosen and nodes[p].parent is not None:
+            p = nodes[p].parent
         return p
 
     chosen = set(kept)

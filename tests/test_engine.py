@@ -97,6 +97,23 @@ def test_cluster_edges(spark, letters):
             clustering.cluster(u, docs, **bad)
 
 
+def test_limit_without_a_bound_on_clusters(spark, monkeypatch):
+    docs = spark.range(10_100).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("doc_id"))
+    u = docs.select("ord", F.col("doc_id").alias("feature"), F.lit(1.0).alias("w"))
+    bit = lambda u, members, seed, passes: members.select("ord", "grp", F.expr("cast(shiftright(ord, cast(floor(log2(grp)) AS int)) & 1 AS int)").alias("child"))
+    monkeypatch.setattr(clustering, "split_groups", bit)  # a single split by the document's number, for time
+    assert clustering.repeated_bisection(u, docs, limit=0.5).select("cluster_id").distinct().count() == 10_100  # two unlike documents gain 0.586
+
+
+def test_deep_clusters(spark, letters, monkeypatch):
+    docs, features = letters
+    u = cs.unit(features)
+    peel = lambda u, members, seed, passes: members.join(members.groupBy("grp").agg(F.min("ord").alias("m")), "grp").select("ord", "grp", F.when(F.col("ord") == F.col("m"), 0).otherwise(1).alias("child"))
+    monkeypatch.setattr(clustering, "split_groups", peel)
+    monkeypatch.setattr(clustering, "DEEPEST", 2)  # as if numbers ran out after two splits
+    assert clustering.repeated_bisection(u, docs, limit=1e-9).select("cluster_id").distinct().count() == 6
+
+
 def test_classify(spark, genres):
     docs, features = genres
     u = cs.unit(features)
