@@ -21,7 +21,7 @@ from quillon.operators.refine import EPSILON, best_moves, wide_composite, wide_n
 from quillon.plans.iteration import cut, small
 
 PASSES = 30
-TOLERANCE = 1e-4
+TOLERANCE = 0.0
 #: A group of at most this many feature cells, times the number of parts, is refined inside one task.
 LOCAL_CELLS = 4_000_000
 #: A cluster of the bisection tree has its path as number (children 2p and 2p + 1); those below this have running numbers.
@@ -86,7 +86,7 @@ def refine_batch(u: DataFrame, state: DataFrame, k: int, passes: int = PASSES, t
     A pass moves every document whose best move gains against the composites as they are. A
     group keeps that only if its objective rose; otherwise just its single best move is made,
     which always gains. The search ends when no group's objective rises by more than the
-    ``tolerance`` share of it (0: only when no move gains). The driver holds one number per
+    ``tolerance`` share of it (0, the default: only when no move gains). The driver holds one number per
     group; a pass is one job for the new state and one for its composites and norms.
     """
 

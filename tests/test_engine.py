@@ -1,10 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import classify as cl
 from quillon.operators import cluster as cs
+from quillon.operators import refine as rf
 from quillon.operators import weights as wt
 from quillon.plans import clustering, topics
 from quillon.plans.iteration import number_rows
@@ -175,6 +177,16 @@ def test_objective_never_falls(spark, genres):
         assert before <= after <= 4.632181
 
 
+def test_batches_end_without_gaining_moves(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    u = spark.createDataFrame([(i, str(f), float(x[i, f])) for i in range(300) for f in range(3)], "ord long, feature string, w double")
+    state = clustering.refine(u, spark.createDataFrame([(i, 0, i % 2) for i in range(300)], "ord long, grp long, child int"), 2, local_cells=0)
+    comp = rf.wide_composite(u, state, 2)
+    assert rf.best_moves(u, state, comp, rf.wide_norms(comp, 2), 2).filter(F.col("gain") > rf.EPSILON).count() == 0
+
+
 def test_refine_in_batches(spark, letters):
     docs, features = letters
     u = cs.unit(features)
