@@ -296,23 +296,23 @@ def _pruned(spark: SparkSession, sf: str, n: int = 50) -> DataFrame:
 
 @query
 def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """IDF, 50 features a document, 10 clusters, at most 5 passes."""
+    """IDF, 50 features a document, 10 clusters, at most 30 passes."""
     docs = tables.document_rows(spark, sf)
-    return clustering.cluster(clustering.cut(_pruned(spark, sf)), docs, "kmeans", n=10, passes=5)
+    return clustering.cluster(clustering.cut(_pruned(spark, sf)), docs, "kmeans", n=10, passes=clustering.PASSES)
 
 
 @query
 def rb_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """IDF, 50 features a document, 8 clusters by repeated bisection, at most 5 passes a split."""
-    return clustering.cluster(clustering.cut(_pruned(spark, sf)), tables.document_rows(spark, sf), "rb", n=8, passes=5)
+    """IDF, 50 features a document, 8 clusters by repeated bisection, at most 30 passes a split."""
+    return clustering.cluster(clustering.cut(_pruned(spark, sf)), tables.document_rows(spark, sf), "rb", n=8, passes=clustering.PASSES)
 
 
 @query
 def rb_limit_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings, bisected while the best gain reaches 5, at most 5 passes a split."""
+    """Embeddings, bisected while the best gain reaches 5, at most 30 passes a split."""
     u = clustering.cut(cs.unit(tables.embedding_features(spark, sf)))
     ids = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), F.col("vec_id").cast("string").alias("doc_id"))
-    return clustering.cluster(u, ids, "rb", limit=5.0, passes=5)
+    return clustering.cluster(u, ids, "rb", limit=5.0, passes=clustering.PASSES)
 
 
 # --- text sinks
@@ -430,12 +430,12 @@ def lda_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gibbs(spark: SparkSession, sf: str) -> DataFrame:
-    return topics.gibbs(topics.lda_tokens(tables.user_event_features(spark, sf), TOPICS), TOPICS, 5)
+    return topics.gibbs(topics.lda_tokens(tables.user_event_features(spark, sf), TOPICS), TOPICS, topics.GIBBS_ITERATIONS)
 
 
 @query
 def lda_theta(spark: SparkSession, sf: str) -> DataFrame:
-    """Topic shares of users after 5 sweeps over their events."""
+    """Topic shares of users after 100 sweeps over their events."""
     return topics.theta(_gibbs(spark, sf), TOPICS)
 
 

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+from quillon import queries
 from quillon.operators import classify as cl
 from quillon.operators import cluster as cs
 from quillon.operators import refine as rf
@@ -166,6 +168,15 @@ def test_topics(spark, genres):
     assert len(lines) == 6 and all(len(r["line"].split("\t")) == 4 for r in lines)
 
 
+def test_registered_searches_are_whole(spark, monkeypatch):
+    ran = {}
+    monkeypatch.setattr(clustering, "cluster", lambda u, docs, method, n=None, limit=None, seed=0, passes=clustering.PASSES: ran.setdefault((method, n, limit), passes))
+    monkeypatch.setattr(topics, "gibbs", lambda tokens, k, iterations=topics.GIBBS_ITERATIONS: ran.setdefault("gibbs", iterations) and tokens)
+    for name in ("kmeans_clusters", "rb_clusters", "rb_limit_clusters", "lda_theta", "lda_phi"):
+        queries.QUERIES[name](spark, SMALL)
+    assert ran == {("kmeans", 10, None): 30, ("rb", 8, None): 30, ("rb", None, 5.0): 30, "gibbs": 100}
+
+
 def test_objective_never_falls(spark, genres):
     _, features = genres
     u = cs.unit(features)
