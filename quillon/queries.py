@@ -406,7 +406,7 @@ def plsi_em_step(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _raw_membership(spark: SparkSession, sf: str, normalized: bool) -> DataFrame:
-    pdz, _, pz = topics.plsi(tables.token_features(spark, sf), TOPICS, 2)
+    pdz, _, pz = topics.plsi(tables.token_features(spark, sf), TOPICS, 2, docs=tables.document_rows(spark, sf))
     return topics.plsi_membership(pdz, pz, normalized)
 
 

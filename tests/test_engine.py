@@ -168,6 +168,19 @@ def test_topics(spark, genres):
     assert len(lines) == 6 and all(len(r["line"].split("\t")) == 4 for r in lines)
 
 
+def test_topics_of_documents_without_features(spark, genres):
+    docs, features = genres
+    more = docs.union(spark.createDataFrame([(6, "empty")], "ord long, doc_id string"))
+    pdz, _, pz = topics.plsi(features, 3, 2, docs=more)
+    same, _, same_pz = topics.plsi(features, 3, 2)
+    assert pz == pytest.approx(same_pz)
+    lines = {r["ord"]: r["line"] for r in tsv.membership_lines(more, topics.plsi_membership(pdz, pz, True)).collect()}
+    assert lines.pop(6) == "empty\t0.000000\t0.000000\t0.000000"
+    assert lines == {r["ord"]: r["line"] for r in tsv.membership_lines(docs, topics.plsi_membership(same, same_pz, True)).collect()}
+    shares = topics.theta(topics.lda_tokens(features, 2), 2, docs=more).filter("ord = 6").collect()
+    assert [r["p"] for r in shares] == [0.5, 0.5]
+
+
 def test_registered_searches_are_whole(spark, monkeypatch):
     ran = {}
     monkeypatch.setattr(clustering, "cluster", lambda u, docs, method, n=None, limit=None, seed=0, passes=clustering.PASSES: ran.setdefault((method, n, limit), passes))
