@@ -163,6 +163,40 @@ def test_decontamination_shuffled_joins(spark, rows, monkeypatch):
     assert sorted(map(tuple, decontaminate.find_contaminated(frame(spark, rows), benchmark).collect()), key=repr) == with_broadcast != []
 
 
+def test_clean_rows_survive_contaminated_ids(spark, rows):
+    """Rows without an id, or of one id, are judged by their own texts."""
+    item = rows[2][1]
+    docs = frame(spark, [(None, f"x {item} y"), (None, "clean text"), (7, item), (7, "another clean text"), (8, None)])
+    clean = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(repr, (r["text"] for r in clean.collect()))) == ["'another clean text'", "'clean text'", "None"]
+
+
+def test_size_partitions(spark, rows, monkeypatch):
+    """Partitions have their own signature sizes and thresholds; these change the candidates but not the result."""
+    rng = random.Random(12)
+    items = [(i, prose(rng, n)) for i, n in enumerate((1, 3, 5, 6, 9, 12, 20, 36, 70, 140, 300))]
+    docs = []
+    for i, t in items:
+        for lost in (0, 1, 2, 5):
+            w = t.split()
+            for _ in range(lost):
+                w[rng.randrange(len(w))] = "lost"
+            docs.append((len(docs), f"{prose(rng, 40)} {' '.join(w)} {prose(rng, 40)}"))
+        docs.append((len(docs), " ".join(t.split()[: max(1, len(t.split()) // 3)])))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    index = decontaminate.index_items(benchmark).collect()
+    assert len({r["part"] for r in index}) >= 5 and all(2 ** r["part"] <= r["n"] < 2 ** (r["part"] + 1) for r in index)
+    assert len({(r["part"], r["needed"]) for r in index}) == len({r["part"] for r in index}) and len({r["needed"] for r in index}) > 2
+    seen = {}
+    for extra in (4, 1, 40):
+        monkeypatch.setattr(decontaminate, "EXTRA", extra)
+        texts = frame(spark, docs).select("text", decontaminate.text_key(F.col("text")).alias("key"))
+        n = decontaminate.find_candidates(texts, decontaminate.index_items(benchmark)).count()
+        seen[extra] = n, sorted(map(tuple, decontaminate.find_contaminated(frame(spark, docs), benchmark).collect()))
+    assert seen[4][1] == seen[1][1] == seen[40][1] and len(seen[4][1]) >= 15
+    assert seen[1][0] > seen[40][0]
+
+
 def test_quality_statistics(spark, rows):
     extra = [(400, "a b c a b c a b c"), (401, "x y z x y z q"), (402, "# l\n# l\n\n \nk|&"), (403, "a a a"), (404, "a a a a")]
     found = sorted(tuple(r)[:6] for r in quality.statistics(frame(spark, [*rows, *extra])).collect() if r["doc_id"] is not None)
