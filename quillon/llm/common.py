@@ -71,20 +71,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def prefix_sums(values: Column, chunk: int = 64) -> Column:
-    """Running totals (inclusive) of an array of longs, in two levels to stay near linear."""
-    zero = F.lit(0).cast("long")
+def prefix_scan(values: Column, combine: Callable[[Column, Column], Column] = lambda t, x: t + x, start: int = 0, chunk: int = 64) -> Column:
+    """Running totals (inclusive) of an array of longs under an associative function, in three levels to stay near linear."""
 
-    def running(xs: Column, start: Column) -> Column:
-        step = lambda s, x: F.struct((s["t"] + x).alias("t"), F.concat(s["a"], F.array(s["t"] + x)).alias("a"))
-        return F.aggregate(xs, F.struct(start.alias("t"), F.array().cast("array<long>").alias("a")), step, lambda s: s["a"])
+    def running(xs: Column, begin: Column) -> Column:
+        step = lambda s, x: F.struct(combine(s["t"], x).alias("t"), F.concat(s["a"], F.array(combine(s["t"], x))).alias("a"))
+        return F.aggregate(xs, F.struct(begin.alias("t"), F.array().cast("array<long>").alias("a")), step, lambda s: s["a"])
 
-    def two_levels(xs: Column) -> Column:
+    def level(xs: Column, inner: Callable[[Column], Column]) -> Column:
+        """Totals of chunks, scanned by ``inner``, start the scans inside the chunks."""
         chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / F.lit(chunk)).cast("int")), lambda c: F.slice(xs, c * chunk + 1, F.lit(chunk)))
-        total = lambda ch: F.aggregate(ch, zero, lambda t, x: t + x)
-        return let(chunks, lambda cs: let(running(F.transform(cs, total), zero), lambda ends: F.flatten(F.transform(cs, lambda ch, i: running(ch, F.coalesce(F.get(ends, i - 1), zero))))))
+        total = lambda ch: F.aggregate(ch, zero, combine)
+        return let(chunks, lambda cs: let(inner(F.transform(cs, total)), lambda ends: F.flatten(F.transform(cs, lambda ch, i: running(ch, F.coalesce(F.get(ends, i - 1), zero))))))
 
-    return let(values, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<long>")).otherwise(two_levels(xs)))
+    zero = F.lit(start).cast("long")
+    flat = lambda xs: running(xs, zero)
+    scanned = lambda xs: F.when(F.size(xs) <= chunk, flat(xs)).otherwise(level(xs, lambda ts: F.when(F.size(ts) <= chunk, flat(ts)).otherwise(level(ts, flat))))
+    return let(values, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<long>")).otherwise(scanned(xs)))
 
 
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

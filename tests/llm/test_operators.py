@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import brute
@@ -347,6 +348,35 @@ def test_secrets_of_every_encoding(spark):
     assert not [t for i, t in enumerate(plain, len(keys)) if i in found]
 
 
+def test_added_spans_match_brute_force(spark):
+    """Keys of all encodings among ordinary runs, beside and across pattern matches."""
+    rng = random.Random(21)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = ["0123456789ABCDEF", "0123456789abcdef", upper + "234567", upper + upper.lower() + "0123456789+/", upper.lower() + "-_"]
+    texts = []
+    for i in range(300):
+        key = "".join(rng.choices(rng.choice(alphabets), k=rng.randint(18, 130)))
+        plain = "".join(w.title() if rng.random() < 0.5 else w for w in prose(rng, 14).split())[: rng.randint(18, 80)]
+        texts.append(f"{prose(rng, 5)} é {key} {prose(rng, 3)} {plain}" + rng.choice(["", f" token={key[:30]}", f" {plain}AKIA{upper[:20]}{plain}", f" {key}deadbeef0123456789abcdef{key}", " AAAAAAAAAAAAAAAAAAAAAAAAAAAA", " /a/b/c/d/e/f/g/h/i/j/k/l"]))
+    texts += [None, "", "x" * 9_000, "".join(rng.choices(alphabets[3], k=9_001))]
+    want = brute.random_spans(texts)
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(frame(spark, list(enumerate(texts)))).collect()}
+    got = [[(s["start"], s["end"]) for s in found[i] if s["kind"] == 3] for i in range(len(texts))]
+    assert sum(map(len, want)) > 100
+    assert got == want
+
+
+def test_secrets_in_a_long_text(spark):
+    """10 MB with many runs and spans, and one run of 3 MB: time and memory stay linear in the text."""
+    rng = random.Random(1)
+    key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=40))
+    text = f"see {key} token=abcdef01 internationalizationsandmore " * 100_000 + key * 75_000
+    began = time.time()
+    (row,) = secrets.find_secrets(frame(spark, [(1, text)])).collect()
+    assert sum(s["kind"] == 0 for s in row["spans"]) == 100_000 and sum(s["kind"] == 3 for s in row["spans"]) >= 100_000
+    assert time.time() - began < 120
+
+
 def test_battery(spark):
     rng = random.Random(2)
     tokens = {"hex": "".join(rng.choices("0123456789abcdef", k=400)), "flat": "A" * 400, "rising": "ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 16}
