@@ -66,6 +66,20 @@ def ids_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def draw_labels(labels: DataFrame, name: str, sample: int, seed: int) -> DataFrame:
+    """l_id and the label ``name`` (0 or 1) of at most ``sample`` documents, by hash of their id.
+
+    Repeated labels count once; a document whose labels contradict each other is left out, and so
+    are null ids and labels other than 0 and 1. Only hashes below a threshold for about
+    ``sample`` rows are sorted, so what a task hands on does not grow with the table.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col(name).cast("int").alias(name)).filter(F.col("l_id").isNotNull() & F.col(name).isin(0, 1))
+    single = known.groupBy("l_id").agg(F.min(name).alias("least"), F.max(name).alias(name)).filter(F.col("least") == F.col(name)).select("l_id", name, F.xxhash64("l_id", F.lit(seed)).alias("h"))
+    share = min(1.0, sample / max(1, single.count()))
+    near = single if share == 1.0 else single.filter(F.col("h") < F.lit(int((2 * share - 1) * ((1 << 63) - 1024))))
+    return near.orderBy("h", "l_id").limit(sample).select("l_id", name)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body refers to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -3,9 +3,10 @@
 Statistics of every document are DataFrame expressions. A list of rules, each a conjunction
 of thresholds on statistics, is learned from labelled documents by sequential covering: a
 rule for the low-quality class is grown condition by condition by information gain on two
-thirds of the sample, pruned from its end on the remaining third, and accepted while it is
-precise there; the documents it covers are set aside and the next rule is grown. The list
-becomes one conditional expression over the statistics.
+thirds of the sample until it covers no other class or no condition gains, pruned from its end on the
+remaining third, and accepted while it is precise there; the documents it covers are set aside
+and the next rule is grown, until none is accepted. The list becomes one conditional expression
+over the statistics. Neither the rules nor their conditions are limited in number.
 
 The learner sees a bounded sample of labelled rows (``SAMPLE``, drawn by a hash of the id);
 the statistics and the verdicts cover every document and all of its text.
@@ -19,12 +20,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ids_and_text, let, stage
+from quillon.llm.common import draw_labels, ids_and_text, let, stage
 
 SAMPLE = 20_000
-MAX_RULES, MAX_CONDITIONS = 24, 4
-#: A rule is accepted while its precision (Laplace-corrected) on the pruning part is at least this.
-PRECISION = 0.9
+#: A rule is accepted while it covers at least SUPPORT rows of the pruning part, this share of them low-quality ones.
+PRECISION, SUPPORT = 0.9, 5
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"  # fixed values
 FEATURES = ["n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share", "distinct_share", "words_per_line", "letter_share"]
@@ -126,19 +126,21 @@ def best_condition(rows: list[tuple]) -> Condition | None:
 def learn(rows: list[tuple]) -> list[list[Condition]]:
     """Rules for label 1, in order. rows: the features and the label, in a fixed random order."""
     grow, prune, rules = [r for i, r in enumerate(rows) if i % 3], rows[::3], []
-    while len(rules) < MAX_RULES and any(r[-1] for r in grow):
+    while any(r[-1] for r in grow):
         rule, inside = [], grow
-        while len(rule) < MAX_CONDITIONS and (c := best_condition(inside)):
+        while c := best_condition(inside):
             rule.append(c)
             inside = [r for r in inside if c.holds(r)]
 
-        def precision(conditions: list[Condition]) -> float:
+        def on_pruning(conditions: list[Condition]) -> tuple[float, int]:
+            """Laplace-corrected precision and covered rows."""
             hit = [r[-1] for r in prune if covers(conditions, r)]
-            return (sum(hit) + 1) / (len(hit) + 2) if conditions else 0.0
+            return ((sum(hit) + 1) / (len(hit) + 2) if conditions else 0.0), len(hit)
 
-        while len(rule) > 1 and precision(rule[:-1]) >= precision(rule):
+        while len(rule) > 1 and on_pruning(rule[:-1])[0] >= on_pruning(rule)[0]:
             rule.pop()
-        if not rule or precision(rule) < PRECISION and (len(prune) > 300 or precision(rule) < 0.66):
+        corrected, n = on_pruning(rule)
+        if n < SUPPORT or corrected * (n + 2) - 1 < PRECISION * n:
             break
         rules.append(rule)
         grow, prune = ([r for r in part if not covers(rule, r)] for part in (grow, prune))
@@ -159,12 +161,14 @@ def verdict(rules: list[list[Condition]]) -> Column:
 def learn_rules(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
     """Rules for quality 0, from at most ``sample`` labelled documents that pass the base checks.
 
-    Labels other than 0 and 1 and labels without a document are left out; no labels: no rules.
+    Labels other than 0 and 1, labels without a document and documents whose labels contradict
+    each other are left out; no labels: no rules. The sample is drawn from the labels by hash of
+    the id before the join, so ``sample`` bounds what the join and the driver see.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").alias("quality")).filter(F.col("quality").isin(0, 1)).dropDuplicates(["l_id"])
-    joined = stats.filter(~base_failed()).join(known, F.col("doc_id") == F.col("l_id"))
-    drawn = joined.withColumn("order", F.xxhash64("doc_id", F.lit(11))).orderBy("order", "doc_id").limit(sample)
-    rows = drawn.select("order", *[f"f_{f}" for f in FEATURES], (1 - F.col("quality")).alias("bad")).collect()  # at most ``sample`` small rows
+    drawn = draw_labels(labels, "quality", sample, 11)
+    joined = stats.filter(~base_failed()).join(F.broadcast(drawn), F.col("doc_id") == F.col("l_id"))
+    once = joined.groupBy("doc_id").agg(F.min(F.struct(*[f"f_{f}" for f in FEATURES], (1 - F.col("quality")).alias("bad"))).alias("r"))  # of rows with one id, one
+    rows = once.select(F.xxhash64("doc_id", F.lit(11)).alias("order"), "r.*").collect()  # at most ``sample`` small rows
     return learn([tuple(r)[1:] for r in sorted(rows, key=tuple)])
 
 
