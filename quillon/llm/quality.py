@@ -3,7 +3,7 @@
 Statistics of every document are DataFrame expressions. A list of rules, each a conjunction
 of thresholds on statistics, is learned from labelled documents by sequential covering: a
 rule for the low-quality class is grown condition by condition by information gain on two
-thirds of the sample until it covers no other class or no condition gains, pruned from its end on the
+thirds of the sample until it covers no other class or no condition gains more than it takes to state it, pruned from its end on the
 remaining third, and accepted while it is precise there; the documents it covers are set aside
 and the next rule is grown, until none is accepted. The list becomes one conditional expression
 over the statistics. Neither the rules nor their conditions are limited in number.
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from quillon.llm.common import draw_labels, ids_and_text, let, stage
 
 SAMPLE = 20_000
-#: A rule is accepted while it covers at least SUPPORT rows of the pruning part, this share of them low-quality ones.
-PRECISION, SUPPORT = 0.9, 5
+#: A rule is accepted while this share of the pruning rows that it covers are low-quality ones, more than
+#: chance explains: as many or more among as many rows drawn from the pruning part have at most this probability.
+PRECISION, CHANCE = 0.9, 0.05
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"  # fixed values
 FEATURES = ["n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share", "distinct_share", "words_per_line", "letter_share"]
@@ -103,11 +104,14 @@ def covers(rule: list[Condition], row: tuple) -> bool:
 
 
 def best_condition(rows: list[tuple]) -> Condition | None:
-    """The threshold condition of most information gain for label 1 (the last field of a row)."""
+    """The threshold condition of most information gain for label 1 (the last field of a row).
+
+    None if no condition gains more bits than it takes to state one of these conditions.
+    """
     p0, n0 = sum(r[-1] for r in rows), len(rows)
     if not p0 or p0 == n0:
         return None
-    before, best, found = math.log2(p0 / n0), 1e-9, None
+    before, best, found = math.log2(p0 / n0), math.log2(2 * len(FEATURES) * n0), None
     for f in range(len(FEATURES)):
         order = sorted(rows, key=lambda r: r[f])
         p = 0
@@ -123,6 +127,11 @@ def best_condition(rows: list[tuple]) -> Condition | None:
     return found
 
 
+def chance_of(hits: int, n: int, base: float) -> float:
+    """P(X >= hits) for X binomial over n draws at rate base."""
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(base) + (n - k) * math.log(1 - base)) for k in range(hits, n + 1)) if 0 < base < 1 else 1.0
+
+
 def learn(rows: list[tuple]) -> list[list[Condition]]:
     """Rules for label 1, in order. rows: the features and the label, in a fixed random order."""
     grow, prune, rules = [r for i, r in enumerate(rows) if i % 3], rows[::3], []
@@ -132,15 +141,16 @@ def learn(rows: list[tuple]) -> list[list[Condition]]:
             rule.append(c)
             inside = [r for r in inside if c.holds(r)]
 
-        def on_pruning(conditions: list[Condition]) -> tuple[float, int]:
-            """Laplace-corrected precision and covered rows."""
+        def on_pruning(conditions: list[Condition]) -> tuple[int, int]:
+            """Low-quality and all covered rows."""
             hit = [r[-1] for r in prune if covers(conditions, r)]
-            return ((sum(hit) + 1) / (len(hit) + 2) if conditions else 0.0), len(hit)
+            return sum(hit), len(hit)
 
-        while len(rule) > 1 and on_pruning(rule[:-1])[0] >= on_pruning(rule)[0]:
+        corrected = lambda counts: (counts[0] + 1) / (counts[1] + 2)  # noqa: E731  by Laplace
+        while len(rule) > 1 and corrected(on_pruning(rule[:-1])) >= corrected(on_pruning(rule)):
             rule.pop()
-        corrected, n = on_pruning(rule)
-        if n < SUPPORT or corrected * (n + 2) - 1 < PRECISION * n:
+        hits, n = on_pruning(rule) if rule else (0, 0)
+        if not hits or hits < PRECISION * n or chance_of(hits, n, sum(r[-1] for r in prune) / len(prune)) > CHANCE:
             break
         rules.append(rule)
         grow, prune = ([r for r in part if not covers(rule, r)] for part in (grow, prune))
