@@ -61,6 +61,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of a join count as hot from this many rows on, and from this share of all rows on, so that few are hot.
+HOT_ROWS, HOT_SHARE = 100, 100_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with a frame of one row per key, whose column n (left out) counts the key's rows, ``total`` in all.
+
+    Rows of hot keys are not shuffled: at most ``HOT_SHARE`` keys can have more than a share of
+    1 / HOT_SHARE of the rows, so their side is small enough to broadcast, whatever the input.
+    """
+    bound = max(HOT_ROWS, total // HOT_SHARE)
+    hot = cut(keyed.filter(F.col("n") > bound).drop("n"))
+    if hot.isEmpty():
+        return rows.join(keyed.drop("n"), keys)
+    cold = keyed.filter(F.col("n") <= bound).drop("n")
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def ids_and_text(docs: DataFrame) -> DataFrame:
     """doc_id and text only (null text: empty), so that other columns can clash with nothing."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

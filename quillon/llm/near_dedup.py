@@ -1,8 +1,9 @@
 """MinHash near-duplicate detection.
 
 A document's set is its distinct word n-grams (words: runs without ASCII white space; A-Z
-lower-cased). Documents of equal sets are linked at once through their 128-bit set hash, and
-only the smallest doc_id of each goes on. Its signature holds ROWS * BANDS minima under
+lower-cased). Sets are held as 64-bit hashes of their n-grams; documents of equal sets are
+linked at once through a 128-bit hash of the set and its size, and only the smallest doc_id of
+each goes on. Its signature holds ROWS * BANDS minima under
 universal hash functions; documents that agree on all minima of a band share a bucket.
 
 Candidates. Two documents of similarity 0.8 share no bucket with probability
@@ -10,7 +11,8 @@ Candidates. Two documents of similarity 0.8 share no bucket with probability
 paired with the bucket's smallest id, and components are formed from the links. In a bucket
 that still holds several components, the members outside its largest one are queries, held
 against all members in blocks of bounded size by their signatures alone; a pair that these
-allow is taken in the first bucket that it shares. Pairs are verified on signatures and confirmed on full sets. A signature is 8 bits of each minimum
+allow is taken in the first bucket that it shares. Pairs are verified on signatures and
+confirmed on full sets (of 64-bit hashes, not of words). A signature is 8 bits of each minimum
 (the bound lies four standard deviations below the threshold) and a parity bitmap of the set:
 each bit in which two bitmaps differ stands for another shingle that only one set has, so too
 many differing bits rule a link out with certainty.
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import cut, ids_and_text, stage, trimmed
@@ -41,7 +43,7 @@ BITMAP = 512  # bytes
 #: Rows of an id table that may be broadcast (8 bytes each); larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SETS = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary"
+_SETS = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary, h long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -121,7 +123,7 @@ class Minima:
 
 
 def signatures(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set hash, band keys and short signature of every document; bands are empty for empty sets."""
+    """doc_id, n_shingles, set hash, band keys, short signature and h of every row of (doc_id, text, h); bands are empty for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = Minima()
@@ -143,7 +145,7 @@ def signatures(texts: DataFrame, width: int) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[full].reshape(-1)))
                 short = pa.array([x.tobytes() for x in sig], pa.binary())
-                yield pa.record_batch([some.column(0), pa.array(sizes), pa.array(s1), pa.array(s2), lists, short], names=["doc_id", "n_shingles", "s1", "s2", "bands", "sig"])
+                yield pa.record_batch([some.column(0), pa.array(sizes), pa.array(s1), pa.array(s2), lists, short, some.column(2)], names=["doc_id", "n_shingles", "s1", "s2", "bands", "sig", "h"])
 
     return texts.mapInArrow(trimmed(run), _SETS)
 
@@ -239,20 +241,31 @@ def crossing_pairs(members: DataFrame, links: DataFrame, signed: DataFrame, thre
 
 
 def full_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id and the sorted distinct shingle hashes (binary, 64 bits each) of the documents in ids (column id)."""
+    """vertex and the sorted distinct shingle hashes (binary, 64 bits each) of the rows in ids (r_id, r_h, vertex)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, 2 << 20):
-                yield pa.record_batch([some.column(0), pa.array([s.tobytes() for s in shingle_sets(some.column(1), width)], pa.binary())], names=["doc_id", "grams"])
+                yield pa.record_batch([some.column(0), pa.array([s.tobytes() for s in shingle_sets(some.column(1), width)], pa.binary())], names=["vertex", "grams"])
 
-    return texts.join(_near(ids), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(trimmed(run), "doc_id long, grams binary")
+    return texts.join(_near(ids), same_row(texts)).select("vertex", "text").mapInArrow(trimmed(run), "vertex long, grams binary")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """The pairs (u, v) with 100 * intersection >= threshold * union on full sets."""
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    sets = stage(full_sets(texts, ids, width), "sets")
+def _repeated(signed: DataFrame) -> DataFrame:
+    """(doc_id, h) of the rows with words that occur more than once."""
+    return signed.filter("n_shingles > 0").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "h")
+
+
+def same_row(rows: DataFrame) -> Column:
+    """Whether a row (doc_id, h) is the representative (r_id, r_h) of a vertex."""
+    return rows["doc_id"].eqNullSafe(F.col("r_id")) & (rows["h"] == F.col("r_h"))
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, one: DataFrame, width: int, threshold: int) -> DataFrame:
+    """The pairs (u, v) of vertices with 100 * intersection >= threshold * union on full sets."""
+    ids = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
+    wanted = cut(one.join(_near(cut(ids)), "vertex").select("r_id", "r_h", "vertex"))
+    sets = stage(full_sets(texts, wanted, width).dropDuplicates(["vertex"]), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,64 +276,102 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> D
                 keep.append(shared > 0 and 100 * shared >= threshold * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).rename_columns(["u", "v"])
 
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
+    joined = pairs.join(sets.select(F.col("vertex").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("vertex").alias("b"), F.col("grams").alias("grams_b")), "b")
     return joined.select("a", "b", "grams_a", "grams_b").mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
-def find_links(signed: DataFrame, groups: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Links (u, v) that connect exactly the documents connected by similarity, between the first documents of equal sets."""
-    firsts = signed.filter("n_shingles > 0").join(groups.select(F.col("first").alias("id")).distinct(), F.col("doc_id") == F.col("id"), "left_semi")
+def find_links(signed: DataFrame, placed: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links (u, v) between vertices that connect exactly those connected by similarity.
 
-    buckets = firsts.select(F.explode("bands").alias("key"), "doc_id")
+    Each set is represented by one of its rows, that of the smallest doc_id and text hash.
+    """
+    one = stage(placed.groupBy("vertex").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("m")).select("vertex", F.col("m.doc_id").alias("r_id"), F.col("m.h").alias("r_h")), "representatives")
+    rows = signed.filter("n_shingles > 0")
+    mine = rows.join(_near(one), same_row(rows)).select(F.col("vertex").alias("doc_id"), "n_shingles", "sig", "bands")
+    signed = stage(mine if _repeated(signed).isEmpty() else mine.dropDuplicates(["doc_id"]), "vertices")  # below, doc_id is a vertex
+
+    buckets = signed.select(F.explode("bands").alias("key"), "doc_id")
     sizes = buckets.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = stage(sizes, "buckets")
     members = stage(buckets.join(sizes.filter("n > 2").select("key", "leader"), "key"), "members")
     led = sizes.filter("n = 2").select(F.col("leader").alias("a"), F.col("last").alias("b")).union(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
     likely = cut(alike_signatures(led.filter("a < b").distinct(), signed, threshold).distinct())
-    links = cut(confirm(likely, texts, width, threshold))
+    links = cut(confirm(likely, texts, one, width, threshold))
     pairs = cut(crossing_pairs(members, links, signed, threshold).join(likely, ["a", "b"], "left_anti"))
-    return links.union(confirm(pairs, texts, width, threshold))
+    return links.union(confirm(pairs, texts, one, width, threshold))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, one row per input row.
+def _sets_of(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signed rows; their vertices (doc_id, h, vertex); and the vertices' sets, each with its smallest doc_id.
 
-    Null and empty texts have no set and are linked with nothing; a text of fewer than
-    ``width`` words is one shingle. Rows of one doc_id are one vertex, linked wherever any of
-    their texts is. Rows without doc_id have a null component and are kept. Extra columns are
-    ignored; an empty table gives an empty result.
+    A vertex is a distinct set, numbered by its smallest doc_id; where several sets share that
+    (rows of one id with different texts) or have none, by a hash of the set.
     """
-    texts = ids_and_text(docs)
     signed = stage(signatures(texts, width), "signatures")
-    known = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select("doc_id", "s1", "s2", "n_shingles")
+    known = signed.filter("n_shingles > 0").select("doc_id", "h", "s1", "s2", "n_shingles")
     # written first: a join of two plain exchanges is one whose hot keys adaptive execution can split
     groups = stage(known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first")), "groups")
-    # copies stay out of the graph: they take the component of the first document of their set
-    placed = stage(known.join(groups, ["s1", "s2", "n_shingles"]).select("doc_id", "first"), "placed")
-    several = placed.groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo < hi")
-    same_id = placed.join(several, "doc_id").select(F.col("lo").alias("u"), F.col("first").alias("v"))
-    links = find_links(signed, groups, texts, width, threshold)
-    components = stage(connected_components(links.union(same_id)), "components")
-    reached = placed.join(components, F.col("first") == F.col("id"), "left")
-    by_doc = reached.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce("component", "first")).alias("component"))
+    shared = groups.groupBy("first").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1 OR first IS NULL").select(F.col("first").alias("several"))
+    marked = groups.join(_near(cut(shared.withColumn("odd", F.lit(True)))), F.col("first").eqNullSafe(F.col("several")), "left")
+    vertex = F.when(F.col("odd"), F.xxhash64("s1", "s2", "n_shingles")).otherwise(F.col("first"))
+    sets = stage(marked.select("s1", "s2", "n_shingles", "first", vertex.alias("vertex")), "sets-numbered")
+    placed = stage(known.join(sets, ["s1", "s2", "n_shingles"]).select("doc_id", "h", "vertex"), "placed")
+    return signed, placed, sets
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, one row per input row.
+
+    Null and empty texts have no set and are linked with nothing; a text of fewer than
+    ``width`` words is one shingle; very long texts are hashed whole. Rows of one doc_id are one
+    vertex, linked wherever any of their texts is. Rows without doc_id have a null component
+    and are kept. Extra columns are ignored; an empty table gives an empty result.
+    """
+    texts = ids_and_text(docs).withColumn("h", F.xxhash64("text"))
+    signed, placed, sets = _sets_of(texts.filter("doc_id IS NOT NULL"), width)
+    several = placed.groupBy("doc_id").agg(F.min("vertex").alias("lo"), F.max("vertex").alias("hi")).filter("lo < hi")
+    same_id = placed.join(several, "doc_id").select(F.col("lo").alias("u"), F.col("vertex").alias("v"))
+    links = find_links(signed, placed, texts, width, threshold)
+    reached = stage(connected_components(links.union(same_id)), "components")
+    # copies stay out of the graph: they take the component of their set
+    ids = sets.join(reached, F.col("vertex") == F.col("id"), "left").select("vertex", "first", F.coalesce("component", "vertex").alias("root"))
+    least = ids.groupBy("root").agg(F.min("first").alias("component"))
+    by_set = stage(ids.join(least, "root").select(F.col("vertex").alias("v"), "component"), "by-set")
+    by_doc = placed.join(by_set, F.col("vertex") == F.col("v")).groupBy(F.col("doc_id").alias("id")).agg(F.min("component").alias("component"))
     joined = signed.select("doc_id", "n_shingles").join(by_doc, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    found = joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    nameless = signatures(texts.filter("doc_id IS NULL"), width).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return found.union(nameless)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each group (the smallest doc_id), all columns as they were; of repeated rows of an id, one row.
+    """One row of each group of near-duplicate texts, all columns as they were.
 
-    Rows without doc_id all stay.
+    Groups are made of texts, not of ids: rows of one doc_id with different texts are judged
+    apart, and rows without doc_id take part like others. The row of the smallest doc_id stays
+    (null comes last), of equal ones the smallest text; rows with empty texts all stay.
     """
-    dropped = cut(near_duplicates(docs, width, threshold).filter("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct())
-    kept = docs.join(_near(dropped), docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
-    repeated = cut(kept.select(F.col("doc_id").alias("__id")).groupBy("__id").count().filter("count > 1 AND __id IS NOT NULL").select("__id"))
-    if repeated.isEmpty():
-        return kept
-    side = _near(repeated)
-    single = kept.join(side, kept["doc_id"] == F.col("__id"), "left_anti")
-    again = kept.join(side, kept["doc_id"] == F.col("__id"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text"))
-    rank = "__rank"
-    return single.unionByName(again.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    texts = ids_and_text(docs).withColumn("h", F.xxhash64("text"))
+    signed, placed, sets = _sets_of(texts, width)
+    reached = stage(connected_components(find_links(signed, placed, texts, width, threshold)), "components")
+    rooted = stage(sets.select("vertex").join(reached, F.col("vertex") == F.col("id"), "left").select(F.col("vertex").alias("v"), F.coalesce("component", "vertex").alias("root")), "rooted")
+    rows = stage(placed.distinct().join(rooted, F.col("vertex") == F.col("v")).select("doc_id", "h", "root"), "rooted-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    best = rows.groupBy("root").agg(F.min(order).alias("m")).select("root", F.col("m.doc_id").alias("__id"), F.col("m.h").alias("__h"))
+    kept = stage(best.select("__id", "__h"), "kept")
+    gone = cut(rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "left_anti").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")))
+    identity = lambda side: docs["doc_id"].cast("long").eqNullSafe(side["__id"]) & (F.xxhash64(text) == side["__h"])
+    side = _near(gone)
+    left = docs.join(side, identity(side), "left_anti")
+    again = cut(_repeated(signed).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")))
+    if again.isEmpty():
+        return left
+    side = _near(again)
+    single = left.join(side, identity(side), "left_anti")
+    repeated = left.join(side, identity(side), "left_semi")
+    columns = F.struct(*[repeated[c].alias(c) for c in docs.columns])
+    # the least row of each, combined before the shuffle, so that many repeats cost no more than one
+    one = repeated.groupBy(repeated["doc_id"].alias("__id"), F.xxhash64(repeated["text"]).alias("__h")).agg(F.min_by(columns, F.to_json(columns)).alias("__row"))
+    return single.unionByName(one.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from quillon.llm import chat_format, components, decontaminate, html_text, mixing, near_dedup, quality, queries, repeated_bytes, secrets, token_files, toxicity
+from quillon.llm import chat_format, common, components, decontaminate, html_text, mixing, near_dedup, quality, queries, repeated_bytes, secrets, token_files, toxicity
 from quillon.llm.common import draw_labels, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, sig string, component_id long, rank int, n int"
@@ -63,6 +63,23 @@ def test_near_duplicates(spark, rows):
     assert near_dedup.near_duplicates(frame(spark, []), 2).count() == 0
 
 
+def test_different_texts_of_one_id_all_stay(spark, rows):
+    """Rows are judged by text: ids may repeat, be null, or both."""
+    a, b, c = rows[0][1] + " " + prose(random.Random(1), 30), prose(random.Random(2), 40), prose(random.Random(3), 40)
+    mine = [(1, a), (1, b), (1, a), (None, c), (None, c + " end"), (None, a), (2, b), (5, None), (5, None), (5, ""), (6, " "), (7, a.upper())]
+    docs = frame(spark, mine)
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, a), (1, b), (None, min((c, c + " end"), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])), (5, None), (5, None), (5, ""), (6, " ")], key=repr)
+
+
+def test_components_with_hot_vertices(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 100) for i in range(1, 60, 2)] + [(900, i + 300) for i in range(40)] + [(339, 59)]
+    found = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert set(found.values()) == {0} and len(found) == 60 + 30 + 41
+
+
 def test_near_duplicates_of_one_family(spark):
     rng = random.Random(9)
     base = prose(rng, 120).split()
