@@ -68,15 +68,23 @@ HOT_ROWS, HOT_SHARE = 100, 100_000
 def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
     """rows joined with a frame of one row per key, whose column n (left out) counts the key's rows, ``total`` in all.
 
-    Rows of hot keys are not shuffled: at most ``HOT_SHARE`` keys can have more than a share of
-    1 / HOT_SHARE of the rows, so their side is small enough to broadcast, whatever the input.
+    Rows of hot keys meet their side by broadcast and are spread over the shuffle by a hash of
+    the whole row: at most ``HOT_SHARE`` keys can have more than a share of 1 / HOT_SHARE of the
+    rows, so their side is small, whatever the input. Null keys match nothing.
     """
     bound = max(HOT_ROWS, total // HOT_SHARE)
-    hot = cut(keyed.filter(F.col("n") > bound).drop("n"))
+    others = [c for c in keyed.columns if c not in (*keys, "n")]
+    side = keyed.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(F.lit(True).alias("__met"), *others).alias("__cold"), F.col("n").alias("__n"))
+    hot = cut(side.filter(F.col("__n") > bound).drop("__n").withColumnRenamed("__cold", "__hot"))
     if hot.isEmpty():
-        return rows.join(keyed.drop("n"), keys)
-    cold = keyed.filter(F.col("n") <= bound).drop("n")
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+        joined = rows.join(side.drop("__n"), [rows[k] == F.col(f"__{k}") for k in keys])
+        return joined.select(*rows.columns, *[F.col("__cold")[c].alias(c) for c in others])
+    marked = rows.join(F.broadcast(hot), [rows[k] == F.col(f"__{k}") for k in keys], "left").drop(*[f"__{k}" for k in keys])
+    first = F.when(F.col("__hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.col(keys[0]))
+    cold = side.filter(F.col("__n") <= bound).drop("__n")
+    joined = marked.withColumn("__first", first).join(cold, [F.col("__first") == F.col(f"__{keys[0]}"), *[F.col(k) == F.col(f"__{k}") for k in keys[1:]]], "left")
+    met = F.coalesce("__hot", "__cold")
+    return joined.filter(met.isNotNull()).select(*rows.columns, *[met[c].alias(c) for c in others])
 
 
 def ids_and_text(docs: DataFrame) -> DataFrame:

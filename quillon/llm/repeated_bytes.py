@@ -3,38 +3,45 @@
 Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere else, in the
 same text or another, is removed. Strings never cross texts and are judged on the input.
 
+0. Texts. Each distinct text is worked on once; where it has several rows all of its bytes are
+   repeated. Texts shorter than LENGTH stay whole. Texts travel compressed.
 1. Anchors. A window of LENGTH bytes is assigned to the anchor with the smallest hash among
    the K-byte strings in it (the leftmost of equals). The choice depends on the window's
    bytes alone, so equal windows have equal anchors at equal places, and consecutive windows
    share an anchor: about 1.3 % of all positions stand for all windows. A run of windows with
-   one anchor is a *context*; it travels as two hashes and a place, not as bytes.
+   one anchor is a *context*; it travels as its digest and a place, not as bytes.
 2. Contexts. Anchors that occur once are unique. Where all contexts of an anchor are equal,
-   all of their windows are repeated; likewise a context that occurs twice or more.
+   all of their windows are repeated; likewise a context that occurs twice or more. Texts and
+   contexts count as equal if their 128-bit BLAKE2b digests are (no byte check: no two byte
+   strings with one digest are known).
 3. Suffix sort. Only distinct contexts of one anchor remain. Their suffixes from the anchor
    are sorted by a mergesort whose comparisons find common extensions by binary search over
    prefix polynomial hashes, and so are their reversed prefixes; every common extension of
    neighbours that is used is checked byte by byte, and an anchor where the check fails is
    sorted by its bytes instead. At offset o, windows are equal where suffixes agree on
-   LENGTH - o bytes and prefixes on o: runs in the two sorted orders. An anchor with more
-   than ``SORTED`` distinct contexts is never gathered: its windows are counted by their
-   128-bit hashes in a distributed aggregation.
-4. Removal. Ranges are joined to the texts by the text's 128-bit hash, so rows need no ids,
-   and copies of a text share its ranges. Texts travel compressed.
+   LENGTH - o bytes and prefixes on o: runs in the two sorted orders.
+4. Large groups. A group of more than ``SORTED`` contexts is split before it is sorted: its
+   range of offsets is halved, and within each half contexts are grouped by the digest of the
+   bytes that all windows of that half have in common, so equal windows stay together. This
+   repeats, in distributed rounds, until a group fits or its range is a single offset, where
+   its windows are equal as a whole. No task ever gathers more than ``SORTED`` contexts of a group.
+5. Removal. Ranges are joined to the distinct texts by digest, so rows need no ids.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ids_and_text, stage, trimmed
+from quillon.llm.common import ids_and_text, join_hot, stage, trimmed
 
 LENGTH = 200
 K = 48
@@ -91,11 +98,11 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def find_anchors(hashes: PrefixHashes, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Contexts of the pieces [start, end) of data: piece, first window, last window, anchor, anchor hash, context hash."""
+    """Contexts of the pieces [start, end) of data: piece, first window, last window, anchor, anchor hash, context digest (two columns)."""
     raw = np.frombuffer(data, np.uint8)
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
-        return none, none, none, none, none, none
+        return none, none, none, none, none, none.reshape(0, 2)
     prefix = hashes.prefix(raw)
     grams = mix((prefix[K:] - prefix[:-K]) * hashes.down[: len(raw) - K + 1])
     chosen = sliding_minimum((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), WIDTH) & _PLACE
@@ -105,14 +112,15 @@ def find_anchors(hashes: PrefixHashes, data: bytes, starts: np.ndarray, ends: np
     edge[ends[long] - LENGTH + 1] -= 1  # pieces follow each other, so no entry gets two of a kind
     windows = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
     if not len(windows):
-        return none, none, none, none, none, none
+        return none, none, none, none, none, none.reshape(0, 2)
     anchors = chosen[windows].astype(np.int64)
     new = np.flatnonzero((np.diff(anchors) != 0) | (np.diff(windows) != 1)) + 1
     first, last = windows[np.concatenate([[0], new])], windows[np.concatenate([new - 1, [len(windows) - 1]])]
     anchor = anchors[np.concatenate([[0], new])]
     view = memoryview(data)
-    context = np.fromiter((xxhash.xxh3_64_intdigest(view[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
-    return np.searchsorted(starts, first, "right") - 1, first, last, anchor, grams[anchor].view(np.int64), context.view(np.int64)
+    digests = b"".join([blake2b(view[a : b + LENGTH], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+    context = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return np.searchsorted(starts, first, "right") - 1, first, last, anchor, grams[anchor].view(np.int64), context
 
 
 def pieces(texts: list[bytes], size: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -132,47 +140,55 @@ def pieces(texts: list[bytes], size: int) -> Iterator[list[tuple[int, int, bytes
         yield held
 
 
-def text_key(t: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(t)
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+def digest(t: bytes) -> tuple[int, int]:
+    return struct.unpack("<qq", blake2b(t, digest_size=16).digest())
 
 
-_CONTEXTS = "t1 long, t2 long, place long, anchor long, context long"
+def batch_of(schema: str, columns: list) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.record_batch([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def contexts(texts: DataFrame) -> DataFrame:
-    """One row per context: text key, place (first window, extent and anchor offset packed), anchor and context hash."""
+_ROWS = "doc_id long, t1 long, t2 long, n_bytes long, sha string, packed binary"
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """doc_id, text digest, n_bytes and the compressed bytes of every text; of short texts, which stay whole, the SHA-256 and the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = PrefixHashes()
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            data = [(x.as_py() or "").encode() for x in batch.column(batch.schema.get_field_index("text"))]
-            for group in pieces(data, CHUNK):
-                sizes = np.array([len(p) for *_, p in group])
-                ends = np.cumsum(sizes)
-                piece, first, last, anchor, gram, context = find_anchors(hashes, b"".join(p for *_, p in group), ends - sizes, ends)
-                keys = {i: text_key(data[i]) for i in {i for i, *_ in group}}
-                t1, t2 = (np.array([keys[i][k] for i, *_ in group], np.int64)[piece] for k in (0, 1))
-                offset = np.array([at for _, at, _ in group], np.int64) - (ends - sizes)
-                place = ((first + offset[piece]) << 16) | ((last - first) << 8) | (anchor - first)
-                yield pa.record_batch([pa.array(x) for x in (t1, t2, place, gram, context)], names=[x.split()[0] for x in _CONTEXTS.split(", ")])
+            data = [(x.as_py() or "").encode() for x in batch.column(1)]
+            short = [len(t) < LENGTH for t in data]
+            keys = list(zip(*map(digest, data), strict=True)) or [(), ()]
+            sha = [hashlib.sha256(t).hexdigest() if s else None for t, s in zip(data, short, strict=True)]
+            yield batch_of(_ROWS, [batch.column(0).to_pylist(), *keys, list(map(len, data)), sha, [t if s else pack(t) for t, s in zip(data, short, strict=True)]])
 
-    return texts.select("text").mapInArrow(trimmed(run), _CONTEXTS)
+    return docs.mapInArrow(trimmed(run), _ROWS)
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """doc_id, text key, n_bytes and the compressed bytes of every text."""
-    schema = "doc_id long, t1 long, t2 long, n_bytes long, packed binary"
+_CONTEXTS = "t1 long, t2 long, k long, place long, anchor long, c1 long, c2 long"
+
+
+def contexts(unique: DataFrame) -> DataFrame:
+    """One row per context of distinct texts (t1, t2, k, packed): place (first window, extent and anchor offset packed), anchor and context digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        hashes, unpack = PrefixHashes(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            data = [(x.as_py() or "").encode() for x in batch.column(1)]
-            t1, t2 = zip(*map(text_key, data), strict=True) if data else ((), ())
-            columns = [batch.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(map(len, data), pa.int64()), pa.array(map(pack, data), pa.binary())]
-            yield pa.record_batch(columns, names=["doc_id", "t1", "t2", "n_bytes", "packed"])
+            keys = np.array([c.to_pylist() for c in batch.columns[:3]], np.int64)
+            data = [unpack(x.as_py()) for x in batch.column(3)]
+            for group in pieces(data, CHUNK):
+                sizes = np.array([len(p) for *_, p in group])
+                ends = np.cumsum(sizes)
+                piece, first, last, anchor, gram, context = find_anchors(hashes, b"".join(p for *_, p in group), ends - sizes, ends)
+                t1, t2, k = (column[[i for i, *_ in group]][piece] for column in keys)
+                offset = np.array([at for _, at, _ in group], np.int64) - (ends - sizes)
+                place = ((first + offset[piece]) << 16) | ((last - first) << 8) | (anchor - first)
+                yield pa.record_batch([pa.array(x) for x in (t1, t2, k, place, gram, context[:, 0], context[:, 1])], names=[x.split()[0] for x in _CONTEXTS.split(", ")])
 
-    return docs.mapInArrow(trimmed(run), schema)
+    return unique.select("t1", "t2", "k", "packed").mapInArrow(trimmed(run), _CONTEXTS)
 
 
 class SuffixOrder:
@@ -281,8 +297,8 @@ class SuffixOrder:
         return out
 
 
-def repeated_windows(hashes: PrefixHashes, data: list[bytes], anchor: np.ndarray, group: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For distinct contexts (their bytes, anchor offsets and groups): the ranges of their bytes covered by shared windows."""
+def repeated_windows(hashes: PrefixHashes, data: list[bytes], anchor: np.ndarray, group: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int = WIDTH - 1) -> list[list[tuple[int, int]]]:
+    """For distinct contexts (their bytes, anchor offsets and groups): the ranges of their bytes covered by shared windows with offsets in lo..hi."""
     sizes = np.array([len(x) for x in data], np.int64)
     begins = np.cumsum(sizes) - sizes
     raw = np.frombuffer(b"".join(data), np.uint8)
@@ -293,7 +309,7 @@ def repeated_windows(hashes: PrefixHashes, data: list[bytes], anchor: np.ndarray
     least = anchor - (sizes - LENGTH)  # offsets of a context: from its last window's to its first's
     shared = np.zeros((len(data), WIDTH + 1), bool)
     for o in range(WIDTH):
-        able = np.flatnonzero((least <= o) & (o <= anchor))
+        able = np.flatnonzero((np.maximum(least, lo) <= o) & (o <= np.minimum(anchor, hi)))
         if len(able) < 2:
             continue
         key = right.classes(LENGTH - o)[able] * len(data) + left.classes(o)[able]
@@ -309,105 +325,117 @@ def repeated_windows(hashes: PrefixHashes, data: list[bytes], anchor: np.ndarray
     return out
 
 
-_FETCHED = "anchor long, context long, n long, t1 long, t2 long, first long, offset int, bytes binary"
+_FETCHED = "g1 long, g2 long, lo int, hi int, n long, t1 long, t2 long, first long, anchor int, bytes binary"
 
 
 def _fetch(joined: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts of each text (columns t1, t2, packed, wanted); copies in a row are read once."""
+    """The bytes of the wanted contexts of each text (columns t1, t2, packed, wanted), grouped by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, before = zstandard.ZstdDecompressor().decompress, None
-        names = [x.split()[0] for x in _FETCHED.split(", ")]
-        types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in _FETCHED.split(", ")]
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows, total = [], 0
             for t1, t2, packed, wanted in zip(*batch.columns, strict=True):
-                if before == (key := (t1.as_py(), t2.as_py())):
-                    continue
-                before, text = key, unpack(packed.as_py())
+                text = unpack(packed.as_py())
                 for w in wanted.as_py():
                     first, extent, offset = w["place"] >> 16, w["place"] >> 8 & 255, w["place"] & 255
-                    rows.append((w["anchor"], w["context"], w["n"], *key, first, offset, text[first : first + extent + LENGTH]))
+                    rows.append((w["anchor"], 0, 0, WIDTH - 1, w["n"], t1.as_py(), t2.as_py(), first, offset, text[first : first + extent + LENGTH]))
                     total += extent + LENGTH
-                if total > 8 << 20:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows, total = [], 0
+                    if total > 8 << 20:
+                        yield batch_of(_FETCHED, list(zip(*rows, strict=True)))
+                        rows, total = [], 0
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                yield batch_of(_FETCHED, list(zip(*rows, strict=True)))
 
     return joined.select("t1", "t2", "packed", "wanted").mapInArrow(trimmed(run), _FETCHED)
 
 
 _RANGES = "t1 long, t2 long, first long, last long"
-
-
-def _range_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], names=["t1", "t2", "first", "last"])
+_GROUP = ["g1", "g2", "lo", "hi"]
 
 
 def _sort_groups(fetched: DataFrame) -> DataFrame:
-    """Ranges of contexts that occur once, by suffix sort within each anchor (at most SORTED contexts each)."""
+    """Ranges of contexts that occur once, by suffix sort within each group (at most SORTED contexts each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = PrefixHashes(), []
 
         def solve() -> pa.RecordBatch:
-            distinct = {(r[0], r[1]): r for r in held}
-            rows = list(distinct.values())
-            _, group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
-            found = repeated_windows(hashes, [r[7] for r in rows], np.array([r[6] for r in rows], np.int64), group)
-            return _range_batch([(r[3], r[4], r[5] + a, r[5] + b) for r, ranges in zip(rows, found, strict=True) if r[2] == 1 for a, b in ranges])
+            numbers: dict[tuple, int] = {}
+            group, lo, hi, anchor = np.array([(numbers.setdefault(r[:4], len(numbers)), r[2], r[3], r[8]) for r in held], np.int64).T
+            found = repeated_windows(hashes, [r[9] for r in held], anchor, group, lo, hi)
+            rows = [(r[5], r[6], r[7] + a, r[7] + b) for r, ranges in zip(held, found, strict=True) if r[4] == 1 for a, b in ranges]
+            return batch_of(_RANGES, list(zip(*rows, strict=True)) or [()] * 4)
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) >= 10_000 and r[0] != held[-1][0]:
+                if len(held) >= 10_000 and r[:4] != held[-1][:4]:
                     yield solve()
                     held = []
                 held.append(r)
         if held:
             yield solve()
 
-    return fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(run), _RANGES)
+    return fetched.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(trimmed(run), _RANGES)
 
 
-def _count_windows(fetched: DataFrame) -> DataFrame:
-    """The same ranges for anchors with more contexts: windows counted by their 128-bit hashes, none gathered."""
-    schema = "w1 long, w2 long, n long, t1 long, t2 long, first long"
+def _halve(large: DataFrame) -> DataFrame:
+    """Every context of large groups in the groups of both halves of its offsets that it has windows in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in range(0, len(batch), 2_000):
-                rows = []
-                for _, _, n, t1, t2, first, _, data in zip(*(c.to_pylist() for c in batch.slice(some, 2_000).columns), strict=True):
-                    rows += [(*text_key(data[i : i + LENGTH]), n, t1, t2, first + i) for i in range(len(data) - LENGTH + 1)]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
-
-    windows = fetched.dropDuplicates(["anchor", "context"]).mapInArrow(trimmed(run), schema)
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("w1", "w2")
-    return windows.filter("n = 1").join(twice, ["w1", "w2"]).select("t1", "t2", "first", (F.col("first") + LENGTH).alias("last"))
-
-
-def repeated_ranges(texts: DataFrame, packed: DataFrame) -> DataFrame:
-    """t1, t2, first, last: byte ranges that cover exactly the bytes to remove (ranges may overlap)."""
-    found = contexts(texts)
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).filter("n > 1")
+            rows = []
+            for g1, g2, lo, hi, n, t1, t2, first, anchor, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                middle, least = (lo + hi) // 2, anchor - (len(data) - LENGTH)
+                for a, b in ((lo, middle), (middle + 1, hi)):
+                    if max(least, a) <= min(anchor, b):
+                        shared = data[anchor - a : anchor + LENGTH - b]
+                        rows.append((*digest(struct.pack("<qq", g1, g2) + shared), a, b, n, t1, t2, first, anchor, data))
+            yield batch_of(_FETCHED, list(zip(*rows, strict=True)) or [()] * 10)
+
+    return large.mapInArrow(trimmed(run), _FETCHED)
+
+
+def _solve_groups(fetched: DataFrame) -> list[DataFrame]:
+    """Frames of ranges: groups that fit are sorted; larger ones are halved in rounds (at most log2 WIDTH of them)."""
+    found = []
+    while True:
+        sizes = stage(fetched.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n_contexts"), F.count(F.lit(1)).alias("n")).filter("n_contexts > 1"), "group-sizes")
+        largest = sizes.agg(F.max("n_contexts"), F.sum("n_contexts")).first()
+        if largest[0] is None:
+            return found
+        sized = join_hot(fetched, sizes, _GROUP, largest[1])
+        fits = sized.filter((F.col("n_contexts") <= SORTED) & (F.col("lo") < F.col("hi"))).drop("n_contexts") if largest[0] > SORTED else sized.drop("n_contexts")
+        found.append(_sort_groups(fits.select(*fetched.columns)))
+        if largest[0] <= SORTED:
+            return found
+        at = F.col("first") + F.col("anchor") - F.col("lo")
+        found.append(sized.filter("lo = hi AND n = 1").select("t1", "t2", at.alias("first"), (at + LENGTH).alias("last")))
+        fetched = stage(_halve(sized.filter((F.col("n_contexts") > SORTED) & (F.col("lo") < F.col("hi"))).select(*fetched.columns)), "halved")
+
+
+def repeated_ranges(unique: DataFrame) -> DataFrame:
+    """t1, t2, first, last: byte ranges (which may overlap) that cover exactly the bytes to remove of the texts (t1, t2, k, packed) with k = 1."""
+    found = contexts(unique)
+    pair = F.struct("c1", "c2")
+    often = found.groupBy("anchor").agg(F.sum("k").alias("times"), F.count(F.lit(1)).alias("n"), F.min(pair).alias("low"), F.max(pair).alias("high")).filter("times > 1")
     # written first: a join of two plain exchanges is one whose hot keys adaptive execution can split
-    often = stage(often.select("anchor", (F.col("lo") < F.col("hi")).alias("mixed")), "often")
-    matched = stage(found.join(often, "anchor"), "matched")
+    often = stage(often.select("anchor", "n", (F.col("low") < F.col("high")).alias("mixed")), "often")
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    matched = stage(join_hot(found, often, ["anchor"], total), "matched")
     mixed = matched.filter("mixed")
-    groups = mixed.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "place")).alias("one"))
-    groups = stage(groups.select("anchor", "context", "n", "one.*"), "groups")
-    whole = matched.filter("NOT mixed").select("t1", "t2", "place").union(mixed.join(groups.filter("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("t1", "t2", "place"))
+    groups = mixed.groupBy("anchor", "c1", "c2").agg(F.sum("k").alias("times"), F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "place")).alias("one"))
+    groups = stage(groups.select("anchor", "c1", "c2", "n", "times", "one.*"), "groups")
+    again = join_hot(mixed.filter("k = 1").select("anchor", "c1", "c2", "t1", "t2", "place"), groups.filter("times > 1").select("anchor", "c1", "c2", "n", F.lit(True).alias("repeated")), ["anchor", "c1", "c2"], total)
     first = F.shiftright("place", 16)
-    whole = whole.distinct().select("t1", "t2", first.alias("first"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + LENGTH).alias("last"))
+    whole = matched.filter("NOT mixed AND k = 1").select("t1", "t2", "place").union(again.select("t1", "t2", "place"))
+    whole = whole.select("t1", "t2", first.alias("first"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + LENGTH).alias("last"))
 
-    counts = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"))
-    wanted = groups.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "context", "n", "place")).alias("wanted"))  # bounded by the text
-    fetched = stage(_fetch(packed.filter(F.col("n_bytes") >= LENGTH).select("t1", "t2", "packed").join(wanted, ["t1", "t2"])), "fetched")
-    sized = fetched.join(counts, "anchor")
-    few = sized.filter(F.col("k") <= SORTED).drop("k").select(*fetched.columns)
-    many = sized.filter(F.col("k") > SORTED).select(*fetched.columns)
-    return whole.union(_sort_groups(few)).union(_count_windows(many))
+    wanted = groups.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", F.col("times").alias("n"), "place")).alias("wanted"))  # bounded by the text
+    fetched = stage(_fetch(unique.select("t1", "t2", "packed").join(wanted, ["t1", "t2"])), "fetched")
+    for part in _solve_groups(fetched):
+        whole = whole.union(part)
+    return whole
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -428,29 +456,36 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and the kept bytes, one row per input row.
 
     Null text counts as empty; texts shorter than LENGTH stay whole; repeated rows repeat each
-    other's strings and so lose them; null doc_ids are allowed; extra columns are ignored; an
-    empty table gives an empty result. ``kept`` is null unless asked for.
+    other's strings and so lose them; very long texts are worked on in pieces; null doc_ids are
+    allowed; extra columns are ignored; an empty table gives an empty result. ``kept`` is null
+    unless asked for.
     """
-    texts = ids_and_text(docs)
-    packed = compressed(texts)
-    ranges = repeated_ranges(texts, packed).distinct()
-    by_text = ranges.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))  # bounded by the text
+    rows = stage(compressed(ids_and_text(docs)), "packed")
+    long = rows.filter(F.col("n_bytes") >= LENGTH)
+    # rows of one text are combined before the shuffle; an only row keeps its doc_id
+    unique = stage(long.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.min("n_bytes").alias("n_bytes"), F.first("packed").alias("packed")).withColumn("k", F.least(F.lit(2).cast("long"), F.col("copies"))), "unique")
+    by_text = repeated_ranges(unique).distinct().groupBy(F.col("t1").alias("r1"), F.col("t2").alias("r2")).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))  # bounded by the text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            rows = []
-            for data, ranges in zip(batch.column(2), batch.column(3), strict=True):
-                data = unpack(data.as_py()) if data.as_py() else b""
+            out = []
+            for doc_id, data, ranges in zip(*batch.columns, strict=True):
+                data = unpack(data.as_py())
                 gone = merge([(r["first"], r["last"]) for r in ranges.as_py() or []])
                 at, kept = 0, []
                 for a, b in gone:
                     kept.append(data[at:a])
                     at = b
                 left = b"".join([*kept, data[at:]])
-                rows.append((len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left if with_bytes else None))
-            removed, spans, digests, left = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    joined = packed.join(by_text, ["t1", "t2"], "left")
-    return joined.select("doc_id", "n_bytes", "packed", "ranges").mapInArrow(trimmed(run), _CLEANED)
+                out.append((doc_id.as_py(), len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left if with_bytes else None))
+            yield batch_of(_CLEANED, list(zip(*out, strict=True)) or [()] * 6)
+
+    joined = unique.filter("copies = 1").join(by_text, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")), "left")
+    single = joined.select("doc_id", "packed", "ranges").mapInArrow(trimmed(run), _CLEANED)
+    zero, empty = F.lit(0).cast("long"), F.lit(b"") if with_bytes else F.lit(None).cast("binary")
+    short = rows.filter(F.col("n_bytes") < LENGTH).select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), (F.col("packed") if with_bytes else empty).alias("kept"))
+    several = unique.filter("copies > 1").select("t1", "t2", F.col("copies").alias("n"), F.lit(True).alias("gone"))
+    copies = join_hot(long.select("doc_id", "t1", "t2", "n_bytes"), several, ["t1", "t2"], rows.count())
+    lost = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), empty.alias("kept"))
+    return single.union(lost).union(short)
