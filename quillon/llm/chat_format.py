@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import trimmed
@@ -109,30 +109,43 @@ def _batch(held: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
 
+def write_examples(examples: DataFrame, folder: str) -> str:
+    """Examples as Parquet files; returns the folder."""
+    examples.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return folder
+
+
+def read_examples(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(EXAMPLES).parquet(folder)
+
+
 def digest(examples: DataFrame) -> DataFrame:
-    """Per conversation, read back from its examples: what was formatted and what is trainable.
+    """Per conversation, from its examples in any order: what was formatted and what is trainable.
 
-    Takes the frame of ``format_conversations`` directly: a conversation's examples follow
-    each other in one partition, in order, so no shuffle is needed.
+    Only the last example of a conversation (which holds all turns) and the texts under the loss
+    masks are shuffled, so what moves is in proportion to the conversations, not to the square
+    of their turns.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+    reply = F.substr(F.col("formatted"), (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    replies = F.array_sort(F.collect_list(F.struct("example", reply.alias("reply"))))  # the texts of one conversation
+    grouped = examples.groupBy("conv_id").agg(F.max_by("formatted", "example").alias("last"), replies.alias("replies"), F.sum(F.length("formatted")).cast("long").alias("chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for conv_id, rows in _grouped(_rows(batches)):
-            loss, chars, total, number, last = hashlib.sha256(), 0, 0, 0, ""
-            for _, _, text, start, end in rows:
-                reply = unescape(text[start:end])
-                loss.update(reply.encode())
-                chars, total, number, last = chars + len(reply), total + len(text), number + 1, text
-            turns, n = hashlib.sha256(), 0
+        for conv_id, last, replies, total in _rows(batches):
+            loss, chars, turns, n = hashlib.sha256(), 0, hashlib.sha256(), 0
+            for r in replies:
+                text = unescape(r["reply"])
+                loss.update(text.encode())
+                chars += len(text)
             for role, text in parse(last):
                 turns.update(f"{role}\n{text}\n".encode())
                 n += 1
-            out.append((conv_id, n, turns.hexdigest(), chars, loss.hexdigest(), total, number))
+            out.append((conv_id, n, turns.hexdigest(), chars, loss.hexdigest(), total, len(replies)))
         names = [x.split()[0] for x in schema.split(", ")]
         types = [pa.string() if x.endswith("string") else pa.int64() for x in schema.split(", ")]
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return examples.mapInArrow(trimmed(run), schema)
+    return grouped.select("conv_id", "last", F.col("replies"), "chars").mapInArrow(trimmed(run), schema)

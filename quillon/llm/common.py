@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) a local temporary folder takes its place.
+    Only where that is unset and the master is local (tests, a laptop) a temporary folder takes
+    its place; on a cluster the executors would not see it, so that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -30,7 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -49,6 +55,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_remove, spark, path)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame as compact Parquet into the shared folder and read it back.
 
@@ -57,7 +67,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stage-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -55,18 +55,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, budget: floa
     return rates.withColumn("cdf", cdf)
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, seed: int = 17, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, source, copy (1..), shuffle_key and the columns in ``carry``, in global random order.
-
-    Documents are never shuffled by source, so a source that holds a third of the rows costs
-    nothing extra; the only shuffle is the closing global sort. Null sources form a source of
-    their own; repeated rows draw the same number of copies each; a null doc_id counts as the
-    empty string in the hashes; an empty table gives an empty result. Columns not carried are
-    ignored, whatever their names.
-    """
-    carry = carry or []
+def _copies(docs: DataFrame, weights: dict[str, float] | None, budget: float | None, seed: int) -> DataFrame:
+    """d (a struct of all columns of docs), copy (1..) and shuffle_key of every copy, in global random order."""
     rates = source_rates(docs.select("source"), weights, budget)
-    left = docs.select(F.struct("doc_id", "source", *carry).alias("d"))
+    left = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("d"))
     right = rates.select(F.col("source").alias("r_source"), "rate", "parts", "cdf")
     source = F.col("d.source")
     if rates.count() <= BROADCAST_SOURCES:
@@ -80,5 +72,22 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget
     rows = joined.filter(F.col("rate") > 0).select("d", copies.alias("n")).filter(F.col("n") > 0)
     exploded = rows.select("d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("copy"))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), name, F.col("copy").cast("string")))
-    columns = [F.col("d.doc_id").alias("doc_id"), F.col("d.source").alias("source"), "copy", key.alias("shuffle_key"), *[F.col(f"d.`{c}`").alias(c) for c in carry]]
-    return exploded.select(*columns).orderBy("shuffle_key", "doc_id", "copy")
+    return exploded.withColumn("shuffle_key", key).orderBy("shuffle_key", "d.doc_id", "copy")
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, seed: int = 17) -> DataFrame:
+    """The columns of docs, copy (1..) and shuffle_key of every copy, in global random order.
+
+    Documents are never shuffled by source, so a source that holds a third of the rows costs
+    nothing extra; the only shuffle is the closing global sort. Null sources form a source of
+    their own; repeated rows draw the same number of copies each; a null doc_id counts as the
+    empty string in the hashes; null, empty and very long texts are carried as they are; an
+    empty table gives an empty result. Columns of docs named copy or shuffle_key give way.
+    """
+    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    return _copies(docs, weights, budget, seed).select(*[F.col("d")[c].alias(c) for c in names], "copy", "shuffle_key")
+
+
+def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, seed: int = 17) -> DataFrame:
+    """The same with the columns of docs only, all as they were, whatever their names."""
+    return _copies(docs, weights, budget, seed).select(*[F.col("d")[c].alias(c) for c in docs.columns])

@@ -23,7 +23,8 @@ copies AS (
   SELECT w.doc_id, w.source, count(c.k) AS n
   FROM draws w JOIN cdf c ON c.source = w.source AND c.c <= w.u GROUP BY w.doc_id, w.source),
 each AS (SELECT doc_id, source, unnest(range(1, n + 1))::BIGINT AS copy FROM copies)
-SELECT doc_id, source, copy, md5('17-order|' || doc_id || '|' || copy) AS shuffle_key FROM each
+SELECT doc_id, e.source, text, lang, n_chars, copy, md5('17-order|' || doc_id || '|' || copy) AS shuffle_key
+FROM each e JOIN documents USING (doc_id)
 """
 
 OP10 = r"""

@@ -3,19 +3,20 @@
 Layout of an output folder::
 
     part-00000.arrow        record batches of  ids   FixedSizeList<uint16 or uint32>[L]
-                                               mask  FixedSizeList<bool>[L]  (true: real token)
+                                               mask  FixedSizeList<uint8>[L]  (1: real token)
     part-00000.index.arrow  doc_id, start (offset inside the part), n_tokens
     manifest.arrow          part, n_docs, n_tokens, n_sequences, in global order
 
 Documents are packed one after another, each followed by the end id, in ascending doc_id
-order over all parts; only the last sequence of a part is padded (mask false). Every
-sequence of a batch has the same length, so sequence ``i`` of a memory-mapped part is a
-zero-copy slice. The number of documents a task holds is bounded by one Arrow batch; a part
+order over all parts, or in a given order; only the last sequence of a part is padded (mask 0).
+Every sequence of a batch has the same length, so ids and mask of sequence ``i`` of a
+memory-mapped part are zero-copy slices. The number of documents a task holds is bounded by one Arrow batch; a part
 is written under a temporary name and renamed, so a rerun of a lost task replaces it.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
@@ -28,10 +29,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quillon.llm.common import ids_and_text, shared_folder, trimmed
+from quillon.llm.common import remove_at_exit, shared_folder, trimmed
 
 _SPACE = "[\\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Texts where a space touches other white space, or that begin or end with white space, are encoded whole.
@@ -44,21 +46,31 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), os.path.abspath(uri))
 
 
+def cuts_at_spaces(tokenizer: Tokenizer) -> bool:
+    """Whether texts can be cut at spaces: plain byte-level BPE by its own pattern, nothing added, changed or dropped."""
+    state = json.loads(tokenizer.to_str())
+    model, pre = state["model"], state.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not model.get("byte_fallback") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    untouched = not state.get("normalizer") and not state.get("truncation") and not state.get("padding")
+    added = all(t.get("special") and " " not in t["content"] and not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") for t in state.get("added_tokens") or [])
+    return bool(plain and byte_level and untouched and added)
+
+
 class PieceEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
     Byte-level BPE never joins text across a space between two visible characters: the space
     always starts a pre-token. So texts are cut there, each distinct piece is encoded once,
     many in one call (their ids are told apart by the tokens' byte lengths), and remembered
-    up to a bound for as long as the worker process lives.
+    up to a bound for as long as the worker process lives. Texts are encoded whole with any
+    other tokenizer.
     """
 
     REMEMBER = 300_000  # in each of two generations
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         state = sys.modules.setdefault("_quillon_pieces", types.ModuleType("_quillon_pieces"))
         if path not in state.__dict__:
             tokenizer = Tokenizer.from_file(path)
@@ -66,8 +78,8 @@ class PieceEncoder:
             special = tokenizer.get_added_tokens_decoder()
             for token, i in tokenizer.get_vocab().items():  # byte-level: a character stands for a byte
                 sizes[i] = len(token.encode()) if i in special else len(token)
-            state.__dict__[path] = (tokenizer, sizes, {}, {})
-        self.tokenizer, self.sizes, self.known, self.older = state.__dict__[path]
+            state.__dict__[path] = (tokenizer, sizes, {}, {}, cuts_at_spaces(tokenizer))
+        self.tokenizer, self.sizes, self.known, self.older, self.cuts = state.__dict__[path]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,6 +98,8 @@ class PieceEncoder:
         return out
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        if not self.cuts:
+            return self.whole(texts.to_pylist())
         odd = pc.match_substring_regex(texts, IRREGULAR)
         out: list = [None] * len(texts)
         if irregular := pc.indices_nonzero(odd).to_pylist():
@@ -141,7 +155,7 @@ class PartWriter:
     def __init__(self, fs: pafs.FileSystem, folder: str, part: int, length: int, dtype: np.dtype, rows: int = 128) -> None:
         self.fs, self.length, self.dtype, self.rows, self.part = fs, length, dtype, rows, part
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         tag = uuid.uuid4().hex
         self.names = [(f"{folder}/.{part:05d}.{tag}{end}", f"{folder}/part-{part:05d}{end}") for end in (".arrow", ".index.arrow")]
@@ -174,7 +188,7 @@ class PartWriter:
         n = -(-self.filled // self.length)
         size = n * self.length
         self.buffer[self.filled : size] = 0
-        mask = np.arange(size) < self.filled
+        mask = (np.arange(size) < self.filled).astype(np.uint8)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (self.buffer[:size].copy(), mask)]
         self.data.write_batch(pa.record_batch(lists, schema=self.schema))
         self.n_sequences += n
@@ -203,17 +217,16 @@ def slices(batch: pa.RecordBatch, size: int = 12 << 20) -> Iterator[pa.RecordBat
         at = end
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, length: int = 1024) -> str:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, length: int = 1024, order: list[Column] | None = None) -> str:
     """Encode every whole text and write the folder described above; returns the folder.
 
     One range shuffle of (doc_id, text) gives the global order; ties in doc_id (repeated
     documents) are ordered by a hash of the text and then the text, so that many copies of
     one id still spread over tasks. Null ids come first; null and empty texts give just the
-    end id; an empty table gives a folder with an empty manifest. The driver sees one small
-    row per part.
+    end id; an empty table gives a folder with an empty manifest; extra columns are ignored.
+    ``order`` (columns of docs that tell its rows apart) takes the place of the doc_id. The
+    driver sees one small row per part.
     """
-    from tokenizers import Tokenizer
-
     spark = docs.sparkSession
     dtype = np.dtype(np.uint16 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32)
     fs, place = open_store(folder)
@@ -230,8 +243,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         if writer:
             yield pa.record_batch([pa.array([x], t) for x, t in zip(writer.close(), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "n_docs", "n_tokens", "n_sequences"])
 
-    keyed = ids_and_text(docs).withColumn("tie", F.xxhash64("text"))
-    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    keys = [c.alias(f"order{i}") for i, c in enumerate(order if order is not None else [doc_id, F.xxhash64(text)])]
+    keyed = docs.select(doc_id.alias("doc_id"), text.alias("text"), *keys)
+    names = [f"order{i}" for i in range(len(keys))]
+    ordered = keyed.repartitionByRange(*names).sortWithinPartitions(*names, "text").select("doc_id", "text")
     parts = sorted(tuple(r) for r in ordered.mapInArrow(trimmed(write), MANIFEST).collect())
     columns = list(zip(*parts, strict=True)) or [(), (), (), ()]
     schema = pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())])
@@ -252,7 +269,12 @@ def read_sequence(folder: str, part: int, i: int) -> tuple[np.ndarray, np.ndarra
     rows = len(reader.get_batch(0))
     batch = reader.get_batch(i // rows)
     ids, mask = (batch.column(c)[i % rows].values for c in (0, 1))
-    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True)
+
+
+def file_order(docs: DataFrame) -> list[Column]:
+    """The order of the rows in the files of a frame that was read from Parquet: by name of file, then place."""
+    return [docs["_metadata"]["file_path"], docs["_metadata"]["row_index"]]
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -276,7 +298,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
             for part, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = open_part(store, f"{path}/part-{part:05d}.arrow")
                 index = open_part(store, f"{path}/part-{part:05d}.index.arrow")
-                at, k, ids, mask = 0, 0, np.zeros(0, np.uint32), np.zeros(0, bool)
+                at, k, ids, mask = 0, 0, np.zeros(0, np.uint32), np.zeros(0, np.uint8)
                 for j in range(index.num_record_batches):
                     entries = index.get_batch(j)
                     crcs, masked = [], []
@@ -285,11 +307,11 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                         while n:
                             if at == len(ids):
                                 got = data.get_batch(k)
-                                ids, mask = got.column(0).values.to_numpy(), got.column(1).values.to_numpy(zero_copy_only=False)
+                                ids, mask = got.column(0).values.to_numpy(), got.column(1).values.to_numpy()
                                 at, k = 0, k + 1
                             step = min(n, len(ids) - at)
                             crc = zlib.crc32(ids[at : at + step].astype("<u4").tobytes(), crc)
-                            seen += int(mask[at : at + step].sum())
+                            seen += int(mask[at : at + step].sum(dtype=np.int64))
                             at, n = at + step, n - step
                         crcs.append(crc)
                         masked.append(seen)
@@ -304,5 +326,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def default_folder(spark: SparkSession) -> str:
-    """A fresh folder for token files in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    """A fresh folder for token files in the shared folder, removed when the driver exits."""
+    folder = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    return folder

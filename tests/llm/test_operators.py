@@ -412,7 +412,10 @@ def test_html(spark):
 
 def test_mixing(spark, rows):
     docs = frame(spark, rows)
-    found = mixing.mix_sources(docs, carry=["text"]).collect()
+    found = mixing.mix_sources(docs).collect()
+    clashing = docs.select("doc_id", "source", "text", F.lit(1).alias("copy"), F.lit("x").alias("shuffle_key"), F.lit(2).alias("d"), F.lit(3).alias("rate"))
+    same = mixing.mixed_documents(clashing)
+    assert same.columns == clashing.columns and same.count() == len(found) and {(r["copy"], r["shuffle_key"], r["d"], r["rate"]) for r in same.collect()} == {(1, "x", 2, 3)}
     assert [r["shuffle_key"] for r in found] == sorted(r["shuffle_key"] for r in found)
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "mid").alias("source"))
     counts = {r["source"]: r["count"] for r in mixing.mix_sources(many).groupBy("source").count().collect()}
@@ -506,6 +509,23 @@ def test_piece_encoder():
         assert [x.tolist() for x in encode(pa.array(TEXTS))] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_tokenizers_encode_whole_texts(name):
+    encode = token_files.PieceEncoder(queries.tokenizer_path(name))
+    assert not encode.cuts
+    texts = [*TEXTS, "The quick  brown fox", "Don't SHOUT at me , please"]
+    assert [x.tolist() for x in encode(pa.array(texts))] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files_in_file_order(spark, rows, tmp_path):
+    mixed = mixing.mixed_documents(frame(spark, [r for r in rows if r[0] is not None]))
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    docs = spark.read.parquet(str(tmp_path / "mixed"))
+    folder = token_files.write_token_files(docs, str(tmp_path / "out"), queries.tokenizer_path(), order=token_files.file_order(docs))
+    found = [r["doc_id"] for r in token_files.read_documents(spark, folder).orderBy("start").collect()]
+    assert found == [r["doc_id"] for r in mixed.collect()] and found != sorted(found)
+
+
 def test_token_files(spark, rows, tmp_path):
     from tokenizers import Tokenizer
 
@@ -522,18 +542,20 @@ def test_token_files(spark, rows, tmp_path):
     crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
     assert sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_crc32"]) for r in found) == sorted((i or -1, len(want[i, t]), crc(want[i, t])) for i, t in mine)
     ids, mask = token_files.read_sequence(folder, 0, 0)
-    assert len(ids) == len(mask) == 64 and not ids.flags.owndata
+    assert len(ids) == len(mask) == 64 and not ids.flags.owndata and not mask.flags.owndata and mask.dtype == np.uint8
     empty = token_files.write_token_files(frame(spark, []), str(tmp_path / "none"), queries.tokenizer_path())
     assert token_files.read_documents(spark, empty).count() == 0
 
 
-def test_chat(spark):
+def test_chat(spark, tmp_path):
     turns = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "### x </turn>\n\\h"), (1, 2, "user", None), (1, 3, "assistant", ""),
         (2, 0, "user", "only"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (3, None, "sys: ###\n", "first"), (None, 1, None, "lost"),
     ]
     df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, formatted string")
     examples = chat_format.format_conversations(df)
+    shuffled = chat_format.read_examples(spark, chat_format.write_examples(examples.repartition(7, "formatted"), str(tmp_path / "chat")))
+    assert sorted(map(tuple, chat_format.digest(shuffled).collect()), key=repr) == sorted(map(tuple, chat_format.digest(examples).collect()), key=repr)
     found = {r["conv_id"]: r for r in chat_format.digest(examples).collect()}
     assert set(found) == {1, 2, 3, None}
     for conv, r in found.items():
@@ -546,6 +568,13 @@ def test_chat(spark):
     assert chat_format.digest(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_of_very_long_texts(spark):
+    long = "x </turn> ### \\ " * 100_000
+    df = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", long) for i in range(4)], "conv_id long, turn long, role string, text string")
+    (row,) = chat_format.digest(chat_format.format_conversations(df)).collect()
+    assert row["n_turns"] == 4 and row["loss_chars"] == 2 * len(long) and row["loss_sha256"] == hashlib.sha256((long * 2).encode()).hexdigest()
+
+
 def test_escapes_round_trip():
     rng = random.Random(7)
     for _ in range(500):
