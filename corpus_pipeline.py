@@ -14,29 +14,41 @@ from quillon.llm.queries import tokenizer_path
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scoring below the toxicity threshold."""
+    """Documents scoring below the toxicity threshold.
+
+    Null and empty texts score like texts without evidence and stay; repeated rows are judged
+    alike; an empty table stays empty; extra columns, whatever their names, are kept.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 5-word shingle sets of similarity 0.8 or more."""
+    """One document of each group linked by 5-word shingle sets of similarity 0.8 or more.
+
+    The smallest doc_id of a group stays (null last), of repeated rows one; rows of one id with
+    different texts are judged apart; rows without words all stay.
+    """
     return near_dedup.drop_near_duplicates(docs, width=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; every row is judged by its own text, null and empty texts stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to equal weights of their sources, in global random order."""
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    return mixing.mix_sources(docs, carry=others).select(*docs.columns)
+    """Documents repeated to equal weights of their sources, in global random order; a null source is one of its own."""
+    return mixing.mixed_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of equal-length sequences, read back: one row per (repeated) document."""
-    folder = token_files.write_token_files(docs, token_files.default_folder(spark), tokenizer_path(), end_id=2)
+    """Token files of equal-length sequences in the order of the mix, read back: one row per (repeated) document.
+
+    The order is that of the rows in the Parquet files that the stage reads. Null and empty
+    texts give just the end id; null ids stay null; an empty table gives no rows.
+    """
+    folder = token_files.default_folder(spark)
+    token_files.write_token_files(docs, folder, tokenizer_path(), end_id=2, order=token_files.file_order(docs))
     return token_files.read_documents(spark, folder)
 
 
