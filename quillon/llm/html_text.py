@@ -1,18 +1,27 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a DOM with the usual implied end tags. Elements that never hold
-article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments; by tag, or by a word of their class, id or role) are left out. For every
-remaining node the composite text density is characters per tag, scaled down where links
-hold much of the text (Sun, Song & Liao, 2011):
+A page is parsed into a DOM with the usual implied end tags. Elements that by their tag hold no
+article text (nav, header, footer, aside, form, script, style and the like, roles of the same
+meaning) are empty. For every node the composite text density is characters per tag, adjusted
+for links (Sun, Song & Liao, 2011):
 
-    density = C/T * log(C/LC * T/LT) / log(ln(C*LC/(C-LC) + C*LCb/Cb + e))
+    density = C/T * log_b(C/LC * T/LT),  b = ln(C*LC/(C-LC) + C*LCb/Cb + e)
 
 with C characters, T tags (formatting such as b or br does not count), LC and LT those of
-links, b the body, and counts of 0 as 1. The
-threshold is the smallest density on the path from the body to the densest node; among the
-nodes at or above it, the one with the largest sum of its children's densities is the
-article. All of its text is returned, one line per block.
+links, b the body, and counts of 0 as 1; 0 where all text is links. The threshold is the
+smallest density on the path from the body to the densest node; among the nodes at or above
+it, the one with the largest sum of its children's densities is the article. A part of an
+article (a paragraph, a list) is widened to the element that holds it.
+
+Within the article densities tell boilerplate by place: containers (not paragraphs, headings,
+tables or quotes) below the threshold (directly in the body also those below a quarter of the
+largest density) before the first or after the last part that reaches it go, and so do lists,
+containers and loose text anywhere that are mostly links. What density cannot tell, a part that
+reads like the article but is none of it (an advert, a notice, reader comments), goes by its
+name before densities are computed: an element one of whose class names, or whose id, is made
+of nothing but words for such parts (``ad``, ``cookie-notice``, ``comment-list``, but not
+``notice-board`` or ``share-price``), unless the page has no other text. All other
+text is returned, one line per block.
 """
 
 from __future__ import annotations
@@ -20,6 +29,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,11 +43,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("head nav header footer aside form script style noscript template iframe object embed canvas svg math audio video button select option textarea input menu dialog title xmp noembed noframes".split())
-DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget comment comments respond disqus replies share sharing social related recommended newsletter subscribe signup login search pagination pager toolbar skip".split())
-NEGATED = frozenset("has with no without free".split())
+PART_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored promo cookie cookies consent gdpr notice alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar widget widgets comment comments commentary respond disqus replies share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar copyright".split())
+FILLER_WORDS = frozenset("area bar block bottom box button buttons container content form inner item items left links list main msg message page panel right row section site slot text thread top unit wrap wrapper the of and user users reader readers my".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+SOLID = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table dl figure figcaption tr td th dt dd caption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 WHOLE = frozenset("html body main article div td".split())
+LOOSE = frozenset("html body main article section div ul ol td".split())
 BOUNDARY = frozenset("html body article section div main table td th ul ol dl blockquote aside nav header footer form figure details fieldset".split())
 
 TOKEN = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|(?P<loose>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)(?:>|\Z)|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
@@ -47,45 +59,91 @@ RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I) for ta
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "parts", "dropped", "named", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, attrs: str = "") -> None:
+        self.tag, self.parent = tag, parent
+        self.dropped, self.named = (tag in DROPPED, False) if "=" not in attrs else by_names(tag, attrs)
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
-def is_dropped(tag: str, attrs: str) -> bool:
-    """Whether an element by its name or its class, id or role never holds article text."""
-    if tag in DROPPED:
-        return True
-    if tag in ("html", "body", "main", "article") or "=" not in attrs:
-        return False
+def by_names(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element holds no article text by its tag or role, and whether its class or id names nothing but another part."""
+    dropped, named = tag in DROPPED, False
+    if tag in ("html", "body", "main", "article"):
+        return False, False
     for name, value in NAMED.findall(attrs):
         value = html.unescape(value.strip("\"'"))
         if name.lower() == "role":
-            if value.strip().lower() in DROPPED_ROLES:
-                return True
-        elif (words := {w.lower() for w in WORDS.findall(value)}) & DROPPED_WORDS and not words & NEGATED:
-            return True
-    return False
+            dropped |= value.strip().lower() in DROPPED_ROLES
+        else:
+            named |= any(names_part(token) for token in value.split())
+    return dropped, named
+
+
+def names_part(token: str) -> bool:
+    words = [w.lower() for w in WORDS.findall(token) if not w.isdigit()]
+    return any(w in PART_WORDS for w in words) and all(w in PART_WORDS or w in FILLER_WORDS for w in words)
+
+
+class Stack:
+    """The open elements. ``frames`` counts the open tags from each boundary element on, so that looking for one that is not open costs nothing."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.hidden = [root], 0
+        self.frames: list[Counter] = [Counter([root.tag])]
+        self.open = Counter([root.tag])
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        if node.tag in BOUNDARY:
+            self.frames.append(Counter())
+        self.frames[-1][node.tag] += 1
+        self.open[node.tag] += 1
+        self.hidden += node.dropped
+
+    def close(self, i: int) -> None:
+        """Pops the elements from place i on."""
+        while len(self.nodes) > i:
+            node = self.nodes.pop()
+            self.frames[-1][node.tag] -= 1
+            self.open[node.tag] -= 1
+            if node.tag in BOUNDARY:
+                self.frames.pop()
+            self.hidden -= node.dropped
+
+    def close_implied(self, tag: str, closes: frozenset | set) -> None:
+        """The end tags that the start of this element implies, up to the nearest boundary."""
+        while any(self.frames[-1][name] for name in closes):
+            i = len(self.nodes) - 1
+            while self.nodes[i].tag not in closes:
+                i -= 1
+            if i == 0:
+                return
+            self.close(i)
+            if tag not in ("tr", "thead", "tbody", "tfoot"):
+                return
+
+    def close_named(self, tag: str) -> None:
+        """An end tag: formatting closes up to the nearest boundary only."""
+        if (self.frames[-1] if tag in INLINE else self.open)[tag]:
+            i = len(self.nodes) - 1
+            while self.nodes[i].tag != tag:
+                i -= 1
+            if i:
+                self.close(i)
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; dropped elements stay as empty leaves."""
+    """The tree of a page; dropped elements stay as empty leaves. Linear in the page."""
     root = Node("html", None)
-    stack, at, text = [root], 0, page.replace("\0", "")
-    hidden = 0  # depth of open dropped elements
+    stack, at, text = Stack(root), 0, page.replace("\0", "")
 
     def say(s: str) -> None:
-        if s and not hidden:
-            stack[-1].parts.append(html.unescape(s))
-
-    def close(i: int) -> None:
-        nonlocal hidden
-        hidden -= sum(n.dropped for n in stack[i:])
-        del stack[i:]
+        if s and not stack.hidden:
+            stack.nodes[-1].parts.append(html.unescape(s))
 
     while m := TOKEN.search(text, at):
         say(text[at : m.start()])
@@ -97,56 +155,50 @@ def parse(page: str) -> Node:
                 end = RAW_END[tag].search(text, at) if tag != "plaintext" else None
                 at = end.end() if end else len(text)
                 continue
-            if tag in ("html", "body") and (tag == "html" or any(n.tag == "body" for n in stack)):
+            if tag in ("html", "body") and (tag == "html" or stack.open["body"]):
                 continue
             if tag == "body":
-                close(1)
+                stack.close(1)
             closes = CLOSES.get(tag) or ({"p"} if tag not in INLINE else None)
             if closes:
-                for i in range(len(stack) - 1, 0, -1):
-                    name = stack[i].tag
-                    if name in closes:
-                        close(i)
-                        if tag not in ("tr", "thead", "tbody", "tfoot"):
-                            break
-                    elif name in BOUNDARY and name not in closes:
-                        break
-            if tag in VOID:
-                if not hidden:
-                    stack[-1].parts.append(Node(tag, stack[-1]))
-                continue
-            node = Node(tag, stack[-1], is_dropped(tag, attrs))
-            if not hidden:
-                stack[-1].parts.append(node)
-            if not attrs.rstrip().endswith("/") or tag in BOUNDARY or tag not in ("path", "g"):
-                stack.append(node)
-                hidden += node.dropped
+                stack.close_implied(tag, closes)
+            node = Node(tag, stack.nodes[-1], attrs)
+            if not stack.hidden:
+                stack.nodes[-1].parts.append(node)
+            if tag not in VOID and (not attrs.rstrip().endswith("/") or tag in BOUNDARY or tag not in ("path", "g")):
+                stack.push(node)
         elif m["close"]:
             tag = m["close"].lower()
-            if tag in ("html", "body", "br"):
-                if tag == "br":
-                    say(" ")
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i].tag in BOUNDARY:
-                    break
+            if tag == "br":
+                say(" ")
+            elif tag not in ("html", "body"):
+                stack.close_named(tag)
     say(text[at:])
     return next((p for p in root.parts if isinstance(p, Node) and p.tag == "body"), root)
 
 
-def ordered(body: Node) -> list[Node]:
-    """The kept nodes, parents first."""
+def ordered(body: Node, with_named: bool) -> list[Node]:
+    """The kept nodes, parents first; those named as another part become dropped unless asked for."""
     out, todo = [], [body]
     while todo:
         n = todo.pop()
         out.append(n)
+        for p in n.parts:
+            if isinstance(p, Node) and p.named and not with_named:
+                p.dropped = True
         todo.extend(p for p in reversed(n.parts) if isinstance(p, Node) and not p.dropped)
     return out
 
 
+def composite(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Composite text density of characters, tags and those of links; share: link characters of the body over its characters."""
+    if c <= lc:
+        return 0.0
+    t, lc, lt = max(1, t), max(1, lc), max(1, lt)
+    base = math.log(c * lc / max(1, c - lc) + c * share + math.e)
+    return c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(base)
+
+
 def measure(nodes: list[Node]) -> None:
     """Character, tag and link counts, then the composite density, of every node."""
     for n in reversed(nodes):
@@ -157,18 +209,13 @@ def measure(nodes: list[Node]) -> None:
             up = n.parent
             up.chars, up.tags = up.chars + n.chars, up.tags + n.tags + (n.tag not in INLINE or n.tag == "a")
             up.link_chars, up.link_tags = up.link_chars + n.link_chars, up.link_tags + n.link_tags
-    body = nodes[0]
-    share = body.link_chars / max(1, body.chars)
+    share = max(1, nodes[0].link_chars) / max(1, nodes[0].chars)
     for n in nodes:
-        if not n.chars:
-            continue
-        c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
-        base = math.log(math.log(c * n.link_chars / max(1, c - n.link_chars) + share * c + math.e) + 1e-9) + 1.0
-        n.density = c / t * math.log(max(1.0, c / lc * t / lt) + 1e-9) / base if c > n.link_chars else 0.0
+        n.density = composite(n.chars, n.tags, n.link_chars, n.link_tags, share)
 
 
-def article(nodes: list[Node]) -> Node:
-    """The node with the largest density sum among those that reach the threshold of the path to the densest node.
+def article(nodes: list[Node]) -> tuple[Node, float, float]:
+    """The node with the largest density sum among those that reach the threshold of the path to the densest node, that threshold, and the largest density.
 
     A part of an article (a paragraph, list, section) is widened to what holds it, and any
     choice inside an article or main element that reaches the threshold to that element.
@@ -189,34 +236,70 @@ def article(nodes: list[Node]) -> Node:
         if n.tag in ("article", "main") and n.density >= threshold:
             best = n
         n = n.parent
-    return best
+    return best, threshold, densest.density
+
+
+def mostly_links(n: Node) -> bool:
+    return n.link_chars > 0 and 2 * n.link_chars >= n.chars
 
 
-def blocks(top: Node) -> list[str]:
-    """Text of the blocks under a node in page order, white space collapsed, empty blocks left out."""
+def prune(top: Node, threshold: float, largest: float) -> set[Node]:
+    """What is left out within the article."""
+    out: set[Node] = set()
+    todo = [top]
+    while todo:
+        n = todo.pop()
+        own = [p for p in n.parts if isinstance(p, Node) and not p.dropped]
+        for p in own:
+            if p.tag not in INLINE and p.tag not in SOLID and mostly_links(p):
+                out.add(p)
+        todo += [p for p in own if p not in out]
+    # edges: from the article down into its only dense part, containers before and after the dense ones
+    n = top
+    while n is not None:
+        parts = [p for p in n.parts if isinstance(p, Node) and not p.dropped and p.tag not in INLINE and p not in out and p.chars]
+        least = max(threshold, largest / 4) if n.tag in ("html", "body") else threshold
+        solid = [i for i, p in enumerate(parts) if p.tag in SOLID or p.density >= least]
+        dense = [i for i, p in enumerate(parts) if p.density >= least]
+        if dense:
+            out.update(p for i, p in enumerate(parts) if (i < solid[0] or i > solid[-1]) and p.density < least)
+        n = parts[dense[0]] if len(dense) == 1 and len(solid) == 1 and parts[dense[0]].tag not in SOLID else None
+    return out
+
+
+def blocks(top: Node, left_out: set[Node] = frozenset()) -> list[str]:
+    """Text of the blocks under a node in page order, white space collapsed, empty blocks left out.
+
+    Loose text of a container, if mostly links, is left out too.
+    """
     out: list[str] = []
-    held: list[str] = []
+    held: list[tuple[str, bool]] = []  # pieces, and whether inside a link
 
-    def end() -> None:
-        if line := " ".join("".join(held).split()):
-            out.append(line)
+    def end(loose: bool) -> None:
+        if line := " ".join("".join(t for t, _ in held).split()):
+            linked = sum(len(t.strip()) for t, a in held if a)
+            if not (loose and linked and 2 * linked >= len(line)):
+                out.append(line)
         held.clear()
 
-    todo: list = [(top, False)]
+    todo: list = [(top, False, False)]
+    inside = [top]
     while todo:
-        n, after = todo.pop()
+        n, after, link = todo.pop()
         if isinstance(n, str):
-            held.append(n)
+            held.append((n, link))
         elif after:
-            end()
+            end(n.tag in LOOSE)
+            inside.pop()
         elif n.tag in ("br", "wbr"):
-            held.append(" " if n.tag == "br" else "")
-        elif not n.dropped:
+            held.append((" " if n.tag == "br" else "", link))
+        elif not n.dropped and n not in left_out:
             if n.tag not in INLINE:
-                end()
-                todo.append((n, True))
-            todo.extend((p, False) for p in reversed(n.parts))
-    end()
+                end(inside[-1].tag in LOOSE)
+                inside.append(n)
+                todo.append((n, True, link))
+            todo.extend((p, False, link or n.tag == "a") for p in reversed(n.parts))
+    end(False)
     return out
 
 
@@ -224,16 +307,21 @@ def main_text(page: str | None) -> str:
     """The article of a page as lines; empty for null, empty and text-less pages."""
     if not page:
         return ""
-    nodes = ordered(parse(page))
-    measure(nodes)
-    return "\n".join(blocks(article(nodes))) if nodes[0].chars else ""
+    for with_named in (False, True):
+        nodes = ordered(parse(page), with_named)
+        measure(nodes)
+        if nodes[0].chars:
+            top, threshold, largest = article(nodes)
+            return "\n".join(blocks(top, prune(top, threshold, largest)))
+    return ""
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points), one row per input row; nothing is shuffled.
 
     Null html counts as empty; null ids and urls stay null; repeated rows give repeated rows;
-    extra columns are ignored; an empty table gives an empty result.
+    very long and deep pages take time in proportion to their size; extra columns are ignored;
+    an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

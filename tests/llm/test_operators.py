@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import html as html_module
 import math
 import random
 import re
@@ -402,6 +403,84 @@ PAGES = [
 ]
 
 
+FIRST, SECOND = "This is the first paragraph of a short page, with a sentence.", "And here is a second one, also with some words."
+PROBES = [
+    (f"<body><div><a href='/'>Home</a></div><div><p>{FIRST}</p><p>{SECOND}</p></div><div>Copyright 2024</div></body>", f"{FIRST}\n{SECOND}"),
+    (f"<body><a href=/>Home</a> <a href=/a>About</a><div><p>{FIRST}</p></div><div>Copyright 2024</div></body>", FIRST),
+    (f"<body><div><a href='/'>Home</a></div><div><h1>Title</h1><p>{FIRST}</p></div><div>Copyright 2024</div></body>", f"Title\n{FIRST}"),
+    ("<body><article><h2 id='search-algorithms'>Search algorithms</h2><p id='notice-board'>The notice board hangs here in the hall.</p><section id='social-history'><p>Social history is long and winding, they say.</p></section><div class='share-price'>The share price rose by two.</div><p>End of it.</p></article><div class='comment-list'><p>first! what a lovely article this is, thanks for writing such a long one</p></div></body>", "Search algorithms\nThe notice board hangs here in the hall.\nSocial history is long and winding, they say.\nThe share price rose by two.\nEnd of it."),
+    (f"<body><div class=ad>Buy now</div><article><p>{FIRST}</p><div class='ad-slot-1'>Buy cheap things</div><p>Text two.</p><ul><li><a href=1>Related one</a><li><a href=2>Related two</a></ul><p>The end.</p></article></body>", f"{FIRST}\nText two.\nThe end."),
+    (f"<body><div class='ad'>{SECOND} {SECOND}</div><article><p>{FIRST}</p></article></body>", FIRST),
+    (f"<body><div class='comments'><p>{FIRST}</p></div></body>", FIRST),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PROBES)
+def test_html_by_density(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_densities_match_brute_force():
+    """Counts by walking each subtree, and the formula as the paper states it."""
+    rng = random.Random(5)
+
+    def grow(depth):
+        inside = "".join(grow(depth - 1) if depth and rng.random() < 0.7 else prose(rng, rng.randint(1, 9)) + " " for _ in range(rng.randint(1, 4)))
+        tag = rng.choice(["div", "section", "b", "a", "span"])
+        return f"<{tag}>{inside}</{tag}>"
+
+    for _ in range(60):
+        nodes = html_text.ordered(html_text.parse(f"<body>{grow(4)}{grow(3)}</body>"), False)
+        html_text.measure(nodes)
+
+        def walk(n, linked=False):
+            """Characters, tags, link characters, link tags under a node."""
+            total = np.zeros(4, int)
+            for p in n.parts:
+                if isinstance(p, str):
+                    k = len(" ".join(p.split()))
+                    total += (k, 0, k * linked, 0)
+                else:
+                    counted = p.tag not in html_text.INLINE or p.tag == "a"
+                    within = linked or p.tag == "a"
+                    total += walk(p, within) + (0, counted, 0, counted and within)
+            return total
+
+        body = walk(nodes[0])
+        for n in nodes:
+            c, t, lc, lt = walk(n, n.tag == "a") + (0, 0, 0, n.tag == "a")
+            if any(x.tag == "a" for x in nodes if x is not n and n.tag == "a"):
+                continue  # links in links count once each
+            if c > lc:
+                t, one, lt = max(1, t), max(1, lc), max(1, lt)
+                base = math.log(c * one / (c - one if c > one else 1) + c * max(1, body[2]) / max(1, body[0]) + math.e)
+                assert (n.chars, n.link_chars) == (c, lc) and n.density == pytest.approx(c / t * max(0.0, math.log(c / one * t / lt, base)))
+            else:
+                assert n.density == 0.0
+
+
+def test_html_takes_linear_time():
+    deep = 20_000
+    pages = ["<b>" * deep + "x" + "</i>" * deep, "<b>" * deep + "<div></div>" * deep, "<i><div>" + "<b>" * deep + "</i>" * deep + "y", "<table><tr><td>" * deep + "w", "<div>" * deep + "a" + "</p>" * deep, "<p>" + "long " * 2_000_000 + "</p>"]
+    began = time.time()
+    assert [len(html_text.main_text(p)) for p in pages] == [1, 0, 1, 1, 1, 9_999_999]
+    assert time.time() - began < 20
+
+
+def test_html_query(spark):
+    """The article of every page of the table: its blocks are in the page, in order, and the parts around it are not."""
+    pages = {r["page_id"]: r["html"] for r in table(spark, SMALL, "pages").collect()}
+    found = queries.op6_html_text(spark, SMALL).collect()
+    assert len(found) == len(pages)
+    for r in found:
+        inner = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)
+        if inner:
+            plain = lambda x: " ".join(html_module.unescape(re.sub(r"<[^>]*>", " ", x)).split())
+            assert "".join(r["text"].split()) in "".join(plain(inner[1]).split())
+            headings = re.findall(r"<h1>(.*?)</h1>", inner[1], re.S)
+            assert all(plain(h) in r["text"] for h in headings)
+
+
 def test_html(spark):
     pages = spark.createDataFrame([(i, None, h, "t", 1) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string, n_chars int")
     found = {r["page_id"]: r for r in html_text.extract_text(pages).collect()}
