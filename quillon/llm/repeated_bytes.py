@@ -21,10 +21,12 @@ same text or another, is removed. Strings never cross texts and are judged on th
    sorted by its bytes instead. At offset o, windows are equal where suffixes agree on
    LENGTH - o bytes and prefixes on o: runs in the two sorted orders.
 4. Large groups. A group of more than ``SORTED`` contexts is split before it is sorted: its
-   range of offsets is halved, and within each half contexts are grouped by the digest of the
-   bytes that all windows of that half have in common, so equal windows stay together. This
-   repeats, in distributed rounds, until a group fits or its range is a single offset, where
-   its windows are equal as a whole. No task ever gathers more than ``SORTED`` contexts of a group.
+   range of offsets is halved, every context is cut to the bytes of its windows in each half, and
+   within a half contexts are grouped by the digest of the bytes that all windows of that half
+   have in common, so equal windows stay together. Cut contexts of one digest are repeated as a
+   whole and only one of them goes on. This repeats, in distributed rounds, until a group fits;
+   at a single offset it is one context. No task ever gathers more than ``SORTED`` contexts of a
+   group, and what grows in a round are only contexts that still differ.
 5. Removal. Ranges are joined to the distinct texts by digest, so rows need no ids.
 """
 
@@ -297,8 +299,8 @@ class SuffixOrder:
         return out
 
 
-def repeated_windows(hashes: PrefixHashes, data: list[bytes], anchor: np.ndarray, group: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int = WIDTH - 1) -> list[list[tuple[int, int]]]:
-    """For distinct contexts (their bytes, anchor offsets and groups): the ranges of their bytes covered by shared windows with offsets in lo..hi."""
+def repeated_windows(hashes: PrefixHashes, data: list[bytes], anchor: np.ndarray, group: np.ndarray) -> list[list[tuple[int, int]]]:
+    """For distinct contexts (their bytes, anchor offsets and groups): the ranges of their bytes covered by shared windows."""
     sizes = np.array([len(x) for x in data], np.int64)
     begins = np.cumsum(sizes) - sizes
     raw = np.frombuffer(b"".join(data), np.uint8)
@@ -309,7 +311,7 @@ def repeated_windows(hashes: PrefixHashes, data: list[bytes], anchor: np.ndarray
     least = anchor - (sizes - LENGTH)  # offsets of a context: from its last window's to its first's
     shared = np.zeros((len(data), WIDTH + 1), bool)
     for o in range(WIDTH):
-        able = np.flatnonzero((np.maximum(least, lo) <= o) & (o <= np.minimum(anchor, hi)))
+        able = np.flatnonzero((least <= o) & (o <= anchor))
         if len(able) < 2:
             continue
         key = right.classes(LENGTH - o)[able] * len(data) + left.classes(o)[able]
@@ -362,8 +364,8 @@ def _sort_groups(fetched: DataFrame) -> DataFrame:
 
         def solve() -> pa.RecordBatch:
             numbers: dict[tuple, int] = {}
-            group, lo, hi, anchor = np.array([(numbers.setdefault(r[:4], len(numbers)), r[2], r[3], r[8]) for r in held], np.int64).T
-            found = repeated_windows(hashes, [r[9] for r in held], anchor, group, lo, hi)
+            group, anchor = np.array([(numbers.setdefault(r[:4], len(numbers)), r[8]) for r in held], np.int64).T
+            found = repeated_windows(hashes, [r[9] for r in held], anchor, group)
             rows = [(r[5], r[6], r[7] + a, r[7] + b) for r, ranges in zip(held, found, strict=True) if r[4] == 1 for a, b in ranges]
             return batch_of(_RANGES, list(zip(*rows, strict=True)) or [()] * 4)
 
@@ -379,8 +381,11 @@ def _sort_groups(fetched: DataFrame) -> DataFrame:
     return fetched.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(trimmed(run), _RANGES)
 
 
+_HALVED = f"{_FETCHED}, d1 long, d2 long"
+
+
 def _halve(large: DataFrame) -> DataFrame:
-    """Every context of large groups in the groups of both halves of its offsets that it has windows in."""
+    """Every context of large groups, cut to its windows in either half of the group's offsets, with the digest of what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,30 +393,36 @@ def _halve(large: DataFrame) -> DataFrame:
             for g1, g2, lo, hi, n, t1, t2, first, anchor, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 middle, least = (lo + hi) // 2, anchor - (len(data) - LENGTH)
                 for a, b in ((lo, middle), (middle + 1, hi)):
-                    if max(least, a) <= min(anchor, b):
-                        shared = data[anchor - a : anchor + LENGTH - b]
-                        rows.append((*digest(struct.pack("<qq", g1, g2) + shared), a, b, n, t1, t2, first, anchor, data))
-            yield batch_of(_FETCHED, list(zip(*rows, strict=True)) or [()] * 10)
+                    x, y = max(least, a), min(anchor, b)
+                    if x <= y:
+                        group = digest(struct.pack("<qq", g1, g2) + data[anchor - a : anchor + LENGTH - b])
+                        own = data[anchor - y : anchor - x + LENGTH]
+                        rows.append((*group, a, b, n, t1, t2, first + anchor - y, y, own, *digest(own)))
+            yield batch_of(_HALVED, list(zip(*rows, strict=True)) or [()] * 12)
 
-    return large.mapInArrow(trimmed(run), _FETCHED)
+    return large.mapInArrow(trimmed(run), _HALVED)
 
 
 def _solve_groups(fetched: DataFrame) -> list[DataFrame]:
     """Frames of ranges: groups that fit are sorted; larger ones are halved in rounds (at most log2 WIDTH of them)."""
     found = []
     while True:
-        sizes = stage(fetched.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n_contexts"), F.count(F.lit(1)).alias("n")).filter("n_contexts > 1"), "group-sizes")
-        largest = sizes.agg(F.max("n_contexts"), F.sum("n_contexts")).first()
-        if largest[0] is None:
+        sizes = stage(fetched.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n_contexts")).filter("n_contexts > 1").withColumn("n", F.col("n_contexts")), "group-sizes")
+        largest, total = sizes.agg(F.max("n_contexts"), F.sum("n_contexts")).first()
+        if largest is None:
             return found
-        sized = join_hot(fetched, sizes, _GROUP, largest[1])
-        fits = sized.filter((F.col("n_contexts") <= SORTED) & (F.col("lo") < F.col("hi"))).drop("n_contexts") if largest[0] > SORTED else sized.drop("n_contexts")
-        found.append(_sort_groups(fits.select(*fetched.columns)))
-        if largest[0] <= SORTED:
+        if largest <= SORTED:
+            found.append(_sort_groups(fetched.join(sizes.select(*_GROUP), _GROUP).select(*fetched.columns)))
             return found
-        at = F.col("first") + F.col("anchor") - F.col("lo")
-        found.append(sized.filter("lo = hi AND n = 1").select("t1", "t2", at.alias("first"), (at + LENGTH).alias("last")))
-        fetched = stage(_halve(sized.filter((F.col("n_contexts") > SORTED) & (F.col("lo") < F.col("hi"))).select(*fetched.columns)), "halved")
+        sized = stage(join_hot(fetched, sizes, _GROUP, total), "sized")
+        found.append(_sort_groups(sized.filter(F.col("n_contexts") <= SORTED).select(*fetched.columns)))
+        halved = stage(_halve(sized.filter(F.col("n_contexts") > SORTED).select(*fetched.columns)), "halved")
+        keys = [*_GROUP, "d1", "d2"]
+        cuts = halved.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.min(F.struct("t1", "t2", "first")).alias("one"), F.min("anchor").alias("anchor"), F.first("bytes").alias("bytes"))
+        cuts = stage(cuts.select(*_GROUP, F.when(F.col("k") > 1, F.lit(2).cast("long")).otherwise(F.col("least")).alias("n"), "one.*", "anchor", "bytes", "d1", "d2", "k"), "cuts")
+        again = join_hot(halved.filter("n = 1").select(*keys, "t1", "t2", "first", F.length("bytes").alias("size")), cuts.filter("k > 1").select(*keys, F.col("k").alias("n"), F.lit(True).alias("again")), keys, total)
+        found.append(again.select("t1", "t2", "first", (F.col("first") + F.col("size")).alias("last")))
+        fetched = cuts.select(*fetched.columns)
 
 
 def repeated_ranges(unique: DataFrame) -> DataFrame:
