@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, ids_and_text, stage, trimmed
+from quillon.llm.common import cut, ids_and_text, join_hot, stage, trimmed
 from quillon.llm.components import connected_components
 from quillon.llm.token_files import slices
 
@@ -335,8 +335,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
     reached = stage(connected_components(links.union(same_id)), "components")
     # copies stay out of the graph: they take the component of their set
     ids = sets.join(reached, F.col("vertex") == F.col("id"), "left").select("vertex", "first", F.coalesce("component", "vertex").alias("root"))
-    least = ids.groupBy("root").agg(F.min("first").alias("component"))
-    by_set = stage(ids.join(least, "root").select(F.col("vertex").alias("v"), "component"), "by-set")
+    ids = stage(ids, "roots")
+    least = ids.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("n"))
+    by_set = stage(join_hot(ids, least, ["root"], ids.count()).select(F.col("vertex").alias("v"), "component"), "by-set")
     by_doc = placed.join(by_set, F.col("vertex") == F.col("v")).groupBy(F.col("doc_id").alias("id")).agg(F.min("component").alias("component"))
     joined = signed.select("doc_id", "n_shingles").join(by_doc, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
