@@ -46,6 +46,18 @@ def centroid_top(cents: DataFrame, features: DataFrame, n: int = 50) -> DataFram
     return ranked.select("cluster_id", "rank", "feature", "w")
 
 
+def remove_members(assign: DataFrame, docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """assign without the documents of these names (doc_id); composites of the rest follow from it."""
+    gone = docs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("ord")
+    return assign.join(gone, "ord", "left_anti")
+
+
+def by_size(assign: DataFrame) -> DataFrame:
+    """(cluster_id, size, place): clusters from the largest on, equal ones by id; places of a few rows, one per cluster."""
+    order = Window.orderBy(F.desc("size"), "cluster_id")
+    return cluster_sizes(assign).withColumn("place", F.row_number().over(order).cast("long"))
+
+
 def composite_norms(comp: DataFrame) -> DataFrame:
     """(cluster_id, norm)."""
     return comp.groupBy("cluster_id").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))

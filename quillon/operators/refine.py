@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.iteration import small
+
 EPSILON = 1e-12
+#: Composites of at most this many numbers may be broadcast (about 8 bytes each).
+BROADCAST_CELLS = 4_000_000
 
 
 def wide_composite(u: DataFrame, state: DataFrame, k: int) -> DataFrame:
@@ -39,7 +43,8 @@ def best_moves(u: DataFrame, state: DataFrame, comp: DataFrame, norms: DataFrame
     """(ord, grp, child, to, gain): every document's best other part (the lowest of equals)."""
     sums = F.array(*[F.sum(F.col("w") * F.col(f"s{j}")) for j in range(k)])
     own = F.sum(F.col("w") * F.col("w"))
-    dots = u.join(state, "ord").join(comp, ["grp", "feature"]).groupBy("ord", "grp", "child").agg(sums.alias("dots"), own.alias("n"))
+    near = small(comp, BROADCAST_CELLS // k)  # then the features stay where they are, by document
+    dots = u.join(state, "ord").join(near, ["grp", "feature"]).groupBy("ord", "grp", "child").agg(sums.alias("dots"), own.alias("n"))
     joined = dots.join(norms, "grp")
     others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: j != F.col("child"))
     options = F.transform(others, lambda j: F.struct(F.round(gain_of_move(F.col("dots"), F.col("norms"), F.col("child"), j, F.col("n")), 12).alias("gain"), (-j).alias("j")))

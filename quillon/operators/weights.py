@@ -48,6 +48,22 @@ def top_features(features: DataFrame, n: int, key: str = "ord", value: str = "va
     return ranked if rank else ranked.drop(name)
 
 
+def firsts(features: DataFrame) -> DataFrame:
+    """(feature, first): the smallest ord that holds each feature."""
+    return features.groupBy("feature").agg(F.min("ord").alias("first"))
+
+
+def heaviest(features: DataFrame, n: int, value: str = "value", rank: str | None = None) -> DataFrame:
+    """The n features of largest absolute value of each ord, ties to the later vocabulary entry.
+
+    Only features within the first n places or tied with them meet their first documents, so
+    the join on features moves about n rows a document, not all of them.
+    """
+    order = Window.partitionBy("ord").orderBy(F.desc(F.round(F.abs(value), 9)))
+    near = features.withColumn("__place", F.rank().over(order)).filter(F.col("__place") <= n).drop("__place")
+    return top_features(near.join(firsts(features), "feature").select(*features.columns, "first"), n, "ord", value, rank)
+
+
 def with_first(features: DataFrame) -> DataFrame:
     """Features with ``first``, the smallest ord that holds them."""
     return features.join(features.groupBy("feature").agg(F.min("ord").alias("first")), "feature").select(*features.columns, "first")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.functions.strings import CHARACTERS
 from quillon.queries import TOPICS
 
 # Common table expressions, each relying on those before it.
@@ -18,9 +19,14 @@ CTES = {
     "evs": "SELECT user_id AS ord, event_type AS feature, count(*)::DOUBLE AS value FROM events GROUP BY ALL",
     "rawc": "SELECT regexp_extract(source, '([0-9]+)$', 1)::BIGINT AS cent_ord, source AS cluster, feature, sum(w) AS w_raw FROM u JOIN documents d ON d.doc_id = u.ord GROUP BY ALL",
     "cents": "SELECT *, w_raw / sqrt(sum(w_raw * w_raw) OVER (PARTITION BY cent_ord)) AS w FROM rawc",
-    "inv": "SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY round(abs(w_raw), 9) DESC, cent_ord DESC) AS rank, cent_ord, w_raw FROM cents QUALIFY rank <= 5",
-    "looked": "SELECT ord, feature FROM u JOIN firsts USING (feature) QUALIFY row_number() OVER (PARTITION BY ord ORDER BY round(abs(w), 9) DESC, first DESC, feature DESC) <= 5",
-    "cands": "SELECT DISTINCT ord, cent_ord FROM looked JOIN inv USING (feature)",
+    "post": "SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY round(abs(w_raw), 9) DESC, cent_ord DESC) AS rank, cent_ord, w_raw FROM cents",
+    "inv": "SELECT * FROM post WHERE rank <= 5",
+    "keys": "SELECT ord, feature, row_number() OVER (PARTITION BY ord ORDER BY round(abs(w), 9) DESC, first DESC, feature DESC) AS k FROM u JOIN firsts USING (feature)",
+    "cands": "SELECT DISTINCT ord, cent_ord FROM keys JOIN inv USING (feature) WHERE k <= 5",
+    "defc": "SELECT DISTINCT ord, cent_ord FROM keys JOIN post USING (feature) WHERE k <= 20 AND rank <= 100",
+    "start": "SELECT ord, feature, least(2, floor(r * 3))::INT AS topic FROM (SELECT ord, feature, (('0x' || substr(md5('12345|lda|' || ord || '|' || feature || '|' || i), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS r FROM (SELECT ord, feature, unnest(range(1, ceil(value)::INT + 1)) AS i FROM evs))",
+    "theta": "SELECT ord, topic, (count(s.topic) + 50.0 / 3) / (any_value(t) + 50.0) AS p FROM (SELECT ord, count(*) AS t, unnest(range(3))::INT AS topic FROM start GROUP BY ord) LEFT JOIN start s USING (ord, topic) GROUP BY ord, topic",
+    "phi": "SELECT topic, feature, (count(s.topic) + 0.01) / (any_value(n) + any_value(v) * 0.01) AS p FROM (SELECT z AS topic, feature, (SELECT count(*) FROM start WHERE topic = z) AS n, (SELECT count(DISTINCT feature) FROM start) AS v FROM (SELECT DISTINCT feature FROM start), (SELECT unnest(range(3))::INT AS z)) LEFT JOIN start s USING (topic, feature) GROUP BY topic, feature",
     "sims": "SELECT u.ord, c.cent_ord, c.cluster, sum(u.w * c.w) AS point FROM u JOIN cents c USING (feature) GROUP BY ALL HAVING sum(u.w * c.w) <> 0",
     "idfs": "SELECT ord, feature, value * ln((SELECT count(*) FROM documents)::DOUBLE / df) AS value FROM feats JOIN (SELECT feature, count(*) AS df FROM feats GROUP BY feature) USING (feature)",
     "rnd": "SELECT doc_id AS ord, (('0x' || substr(md5('12345|random|' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS r FROM documents",
@@ -37,7 +43,7 @@ CTES = {
     "uni": "SELECT a, b, sum((coalesce(x, 0) - coalesce(y, 0)) ** 2) AS e FROM (SELECT a, b, feature, sum(x) AS x, sum(y) AS y FROM (SELECT a, b, feature, value AS x, 0.0 AS y FROM pairs JOIN feats ON ord = a UNION ALL SELECT a, b, feature, 0.0, value FROM pairs JOIN feats ON ord = b) GROUP BY ALL) GROUP BY ALL",
     "evp": "SELECT a.ord, coalesce(a.feature, b.feature) AS feature, a.value AS x, b.value AS y FROM (SELECT * FROM evs WHERE ord + 1 IN (SELECT ord FROM evs)) a FULL JOIN (SELECT ord - 1 AS ord, feature, value FROM evs WHERE ord - 1 IN (SELECT ord FROM evs)) b USING (ord, feature)",
 }
-NEEDS = {"firsts": ["feats"], "u": ["feats"], "comp": ["u", "langs"], "cent": ["comp"], "pts": ["cent", "u", "langs"], "ctop": ["cent", "firsts"], "rawc": ["u"], "cents": ["rawc"], "inv": ["cents"], "looked": ["u", "firsts"], "cands": ["looked", "inv"], "sims": ["u", "cents"], "idfs": ["feats"], "pc": ["u", "parts"], "pn": ["pc"], "pd": ["u", "pc"], "one": ["u"], "opts": ["parts", "one", "pn", "pd"], "best": ["opts"], "sq": ["feats"], "inn": ["pairs", "feats", "sq"], "uni": ["pairs", "feats"], "evp": ["evs"]}
+NEEDS = {"firsts": ["feats"], "u": ["feats"], "comp": ["u", "langs"], "cent": ["comp"], "pts": ["cent", "u", "langs"], "ctop": ["cent", "firsts"], "rawc": ["u"], "cents": ["rawc"], "post": ["cents"], "inv": ["post"], "keys": ["u", "firsts"], "cands": ["keys", "inv"], "defc": ["keys", "post"], "start": ["evs"], "theta": ["start"], "phi": ["start"], "sims": ["u", "cents"], "idfs": ["feats"], "pc": ["u", "parts"], "pn": ["pc"], "pd": ["u", "pc"], "one": ["u"], "opts": ["parts", "one", "pn", "pd"], "best": ["opts"], "sq": ["feats"], "inn": ["pairs", "feats", "sq"], "uni": ["pairs", "feats"], "evp": ["evs"]}
 
 
 def sql(select: str, *needs: str) -> str:
@@ -97,6 +103,17 @@ def _members(normalized: bool, digits: int | None = 9) -> str:
 
 CLASSIFIED = "d.doc_id || coalesce(chr(9) || string_agg(t.cluster || chr(9) || printf('%.6f', t.point), chr(9) ORDER BY t.rank), '') AS line FROM documents d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY round(point, 9) DESC, cent_ord DESC) AS rank FROM sims QUALIFY rank <= 3) t ON t.ord = d.doc_id GROUP BY d.doc_id"
 
+def _smart_seeds(k: int) -> str:
+    """The weighted draw by unrolled steps: seed s{i} and the smallest distances c{i} after it."""
+    parts = [f"u AS MATERIALIZED ({CTES['u']})", f"s0 AS MATERIALIZED (SELECT arg_min(doc_id, {_number('smart-0', 'doc_id')}) AS s FROM documents)", "c0 AS MATERIALIZED (SELECT doc_id AS ord, 2.0::DOUBLE AS c FROM documents)"]
+    parts.insert(0, f"feats AS MATERIALIZED ({CTES['feats']})")
+    for i in range(1, k):
+        sim = f"SELECT u.ord, sum(u.w * o.w) AS sim FROM u JOIN u o USING (feature) WHERE o.ord = (SELECT s FROM s{i - 1}) GROUP BY u.ord"
+        parts.append(f"c{i} AS MATERIALIZED (SELECT c.ord, greatest(0.0, least(c.c, 1 - coalesce(x.sim, 0.0))) AS c FROM c{i - 1} c LEFT JOIN ({sim}) x ON x.ord = c.ord)")
+        parts.append(f"s{i} AS MATERIALIZED (SELECT arg_min(ord, -ln({_number(f'smart-{i}', 'ord')}) / c) AS s FROM c{i} WHERE c > 1e-12)")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {i} AS idx, s AS ord FROM s{i}" for i in range(k))
+
+
 MEASURES = {
     "inner": "prod",
     "cosine": "CASE WHEN na * nb <> 0 THEN prod / (na * nb) ELSE 0.0 END",
@@ -135,10 +152,7 @@ ORACLES: dict[str, str] = {
     "centroid_topn": sql("SELECT cluster_id, rank, feature, round(w, 6) + 0.0 AS w FROM ctop", "ctop"),
     "cluster_size": sql("SELECT cluster_id, count(*) AS size FROM langs GROUP BY cluster_id", "langs"),
     "choose_random_seeds": sql("SELECT ord, round(r, 6) + 0.0 AS r FROM (SELECT * FROM rnd ORDER BY rnd.r, ord LIMIT 10)", "rnd"),
-    "smart_seeds": sql(
-        f"SELECT 0 AS idx, s AS ord FROM (SELECT arg_min(doc_id, {_number('smart-0', 'doc_id')}) AS s FROM documents) UNION ALL SELECT 1, arg_min(ord, race) FROM (SELECT ord, -ln({_number('smart-1', 'ord')}) / (1 - sim) AS race FROM (SELECT d.doc_id AS ord, coalesce(x.sim, 0.0) AS sim FROM documents d LEFT JOIN (SELECT u.ord, sum(u.w * o.w) AS sim FROM u JOIN u o USING (feature) WHERE o.ord = (SELECT arg_min(doc_id, {_number('smart-0', 'doc_id')}) FROM documents) GROUP BY u.ord) x ON x.ord = d.doc_id) WHERE 1 - sim > 1e-12)",
-        "u",
-    ),
+    "smart_seeds": _smart_seeds(4),
     "section_assign": sql(
         "SELECT ord, cluster_id FROM (SELECT d.doc_id AS ord, s.i AS cluster_id, row_number() OVER (PARTITION BY d.doc_id ORDER BY round(coalesce(x.sim, 0), 9) DESC, s.i) AS k FROM documents d CROSS JOIN (SELECT ord, row_number() OVER (ORDER BY r, ord) - 1 AS i FROM rnd QUALIFY i < 5) s LEFT JOIN (SELECT u.ord, o.ord AS seed, sum(u.w * o.w) AS sim FROM u JOIN u o USING (feature) WHERE o.ord IN (SELECT ord FROM rnd ORDER BY r, ord LIMIT 5) GROUP BY ALL) x ON x.ord = d.doc_id AND x.seed = s.ord) WHERE k = 1",
         "u",
@@ -148,6 +162,21 @@ ORACLES: dict[str, str] = {
     "refine_delta": sql('SELECT ord, child, "to", round(gain, 6) + 0.0 AS gain FROM best', "best"),
     "refine_one_pass": sql('SELECT p.ord, CASE WHEN b.gain > 1e-12 THEN b."to" ELSE p.child END AS child FROM parts p LEFT JOIN best b USING (ord)', "best", "parts"),
     "cluster_text": sql("SELECT cluster_id, cluster_id || chr(9) || string_agg(doc_id || chr(9) || printf('%.6f', point), chr(9) ORDER BY round(point, 9) DESC, ord) AS line FROM pts GROUP BY cluster_id", "pts"),
+    "cluster_text_plain": sql("SELECT cluster_id, cluster_id || chr(9) || string_agg(doc_id, chr(9) ORDER BY round(point, 9) DESC, ord) AS line FROM pts GROUP BY cluster_id", "pts"),
+    "cluster_member_text": sql("SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY round(point, 9) DESC, ord) AS pos, cluster_id || chr(9) || doc_id || chr(9) || printf('%.6f', point) AS line FROM pts", "pts"),
+    "clusters_by_size": sql("SELECT cluster_id, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, cluster_id) AS place FROM langs GROUP BY cluster_id", "langs"),
+    "composite_after_removal": sql("SELECT cluster_id, feature, round(sum(w), 6) + 0.0 AS s FROM u JOIN langs USING (ord) WHERE ord % 10 <> 0 GROUP BY ALL", "u", "langs"),
+    "vec_entries": sql("SELECT ord, feature AS key, x AS value FROM evp WHERE x IS NOT NULL", "evp"),
+    "text_corpus": sql("SELECT o AS ord, 'doc' || f.ord AS doc_id, feature, value FROM feats f JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents) d ON d.doc_id = f.ord", "feats"),
+    "stream_classified": sql(f"SELECT line FROM (SELECT {CLASSIFIED}) UNION ALL SELECT '' AS line FROM documents WHERE doc_id % 10 = 0", "sims"),
+    "centroid_count": sql("SELECT count(DISTINCT cent_ord) AS n FROM cents", "cents"),
+    "lda_start_theta": sql("SELECT ord, topic, round(p, 9) AS p FROM theta", "theta"),
+    "lda_start_phi": sql("SELECT topic, feature, round(p, 9) AS p FROM phi", "phi"),
+    "theta_text": sql("SELECT ord, 'user' || ord || chr(9) || string_agg(printf('%.6f', p), chr(9) ORDER BY topic) AS line FROM theta GROUP BY ord", "theta"),
+    "phi_text": sql("SELECT topic, topic || chr(9) || string_agg(feature || chr(9) || printf('%.6f', p), chr(9) ORDER BY first, feature) AS line FROM phi JOIN (SELECT feature, min(ord) AS first FROM evs GROUP BY feature) USING (feature) GROUP BY topic", "phi", "evs"),
+    "plsi_pdz": f"{_plsi(1)} SELECT ord, {', '.join(f'round(d{z}, 9) AS d{z}' for z in range(TOPICS))} FROM d1",
+    "plsi_pz": f"{_plsi(2)} {' UNION ALL '.join(f'SELECT {z} AS topic, round(p{z}, 9) AS p FROM z2' for z in range(TOPICS))}",
+    "random_strings": f"SELECT id, string_agg(substr('{CHARACTERS}', floor(r * {len(CHARACTERS)})::INT + 1, 1), '' ORDER BY i) AS s FROM (SELECT id, i, {_number('character', "id || '|' || i")} AS r FROM (SELECT id, unnest(range(1, size + 1)) AS i FROM (SELECT n_nationkey::BIGINT AS id, greatest(1, floor({_number('size', 'n_nationkey')} * 20))::INT AS size FROM nation))) GROUP BY id",
     "centroid_text": sql(f"SELECT cluster_id, cluster_id || chr(9) || string_agg(feature || chr(9) || {SIX}, chr(9) ORDER BY rank) AS line FROM ctop GROUP BY cluster_id", "ctop"),
     "classified_text": sql(f"SELECT d.doc_id AS ord, {CLASSIFIED}", "sims"),
     "stream_batch_lines": sql(f"SELECT {CLASSIFIED}", "sims"),
@@ -155,7 +184,8 @@ ORACLES: dict[str, str] = {
     "membership_text": f"SELECT ord, ord || chr(9) || string_agg(printf('%.6f', p), chr(9) ORDER BY topic) AS line FROM ({_members(True, None)}) GROUP BY ord",
     "inverted_index": sql("SELECT feature, rank, cent_ord, round(w_raw, 6) + 0.0 AS w_raw FROM inv", "inv"),
     "index_candidates": sql("SELECT ord, cent_ord FROM cands", "cands"),
-    "classify_indexed": sql(_top(5, "(SELECT * FROM sims SEMI JOIN cands USING (ord, cent_ord))"), "sims", "cands"),
+    "classify_indexed": sql(_top(20, "(SELECT * FROM sims SEMI JOIN defc USING (ord, cent_ord))"), "sims", "defc"),
+    "classify_truncated": sql(_top(5, "(SELECT * FROM sims SEMI JOIN cands USING (ord, cent_ord))"), "sims", "cands"),
     "classify_all": sql(_top(5), "sims"),
     "classify_idf": sql(
         _top(5, "(SELECT i.ord, c.cent_ord, c.cluster, sum(i.w * c.w) AS point FROM (SELECT ord, feature, CASE WHEN n > 0 THEN value / sqrt(n) ELSE 0.0 END AS w FROM (SELECT *, sum(value * value) OVER (PARTITION BY ord) AS n FROM idfs)) i JOIN cents c USING (feature) GROUP BY ALL HAVING sum(i.w * c.w) <> 0)"),

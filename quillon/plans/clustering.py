@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import logging
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillon.functions.rand import DEFAULT_SEED, hash_rand
@@ -21,74 +23,74 @@ from quillon.operators.refine import EPSILON, best_moves, wide_composite, wide_n
 from quillon.plans.iteration import cut, small
 
 PASSES = 30
-TOLERANCE = 0.0
-#: A group of at most this many feature cells, times the number of parts, is refined inside one task.
+#: A group of at most this many feature cells, times the number of parts, runs its passes inside one task (about 8 bytes each).
 LOCAL_CELLS = 4_000_000
+LOG = logging.getLogger("quillon")
 #: A cluster of the bisection tree has its path as number (children 2p and 2p + 1); those below this have running numbers.
 DEEPEST = 1 << 60
 
 
-def refine_one(pdf: pd.DataFrame, k: int, passes: int, seed: int) -> pd.DataFrame:
-    """A group's rows (ord, grp, child, f, w) refined document by document: every gaining move is made at once."""
-    grp = int(pdf["grp"].iloc[0])
+def refine_group(pdf: pd.DataFrame, k: int, passes: int) -> pd.DataFrame:
+    """The passes of ``refine`` over one group's rows (ord, child, f, w), in memory."""
     pdf = pdf.sort_values(["ord", "f"], kind="stable")
     ords, starts = np.unique(pdf["ord"].to_numpy(), return_index=True)
-    ends = np.append(starts[1:], len(pdf))
     _, codes = np.unique(pdf["f"].to_numpy(), return_inverse=True)
-    w, child = pdf["w"].to_numpy(), pdf["child"].to_numpy()[starts].copy()
-    sums = np.zeros((k, int(codes.max(initial=-1)) + 1))
-    np.add.at(sums, (np.repeat(child, ends - starts), codes), w)
-    squares = (sums**2).sum(axis=1)
-    for turn in range(passes):
-        moved = False
-        for d in np.random.default_rng([seed & 0xFFFFFFFF, grp & 0xFFFFFFFF, turn]).permutation(len(ords)):
-            at, x, c = codes[starts[d] : ends[d]], w[starts[d] : ends[d]], child[d]
-            dots, n = sums[:, at] @ x, x @ x
-            gains = np.sqrt(np.maximum(0.0, squares + n + 2 * dots)) - np.sqrt(squares)
-            gains[c] = -np.inf
-            j = int(np.argmax(gains))
-            if gains[j] + np.sqrt(max(0.0, squares[c] + n - 2 * dots[c])) - np.sqrt(squares[c]) > EPSILON:
-                sums[c, at] -= x
-                sums[j, at] += x
-                squares[c], squares[j] = max(0.0, squares[c] + n - 2 * dots[c]), squares[j] + n + 2 * dots[j]
-                child[d], moved = j, True
-        if not moved:
+    w, child, rows = pdf["w"].to_numpy(), pdf["child"].to_numpy()[starts].astype(np.int64), np.arange(len(ords))
+    doc, own = np.repeat(rows, np.diff([*starts, len(pdf)])), np.add.reduceat(w * w, starts)
+
+    def measured(child: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        sums = np.bincount(child[doc] * (codes.max() + 1) + codes, w, k * (codes.max() + 1)).reshape(k, -1)
+        norms = np.sqrt((sums * sums).sum(axis=1))
+        return sums, norms, norms.sum()
+
+    sums, norms, total = measured(child)
+    for _ in range(passes):
+        dots, squares = np.add.reduceat(sums[:, codes] * w, starts, axis=1).T, norms * norms
+        leave = np.sqrt(np.maximum(0.0, squares[child] + own - 2 * dots[rows, child])) - norms[child]
+        gains = np.round(leave[:, None] + np.sqrt(np.maximum(0.0, squares + own[:, None] + 2 * dots)) - norms, 12)
+        gains[rows, child] = -np.inf
+        to, best = gains.argmax(axis=1), gains.max(axis=1)
+        tried = np.where(best > EPSILON, to, child)
+        new = measured(tried)
+        if new[2] < total - EPSILON:
+            tried = child.copy()
+            tried[best.argmax()] = to[best.argmax()]
+            new = measured(tried)
+        rose = new[2] > total + EPSILON
+        if new[2] > total:
+            child, (sums, norms, total) = tried, new
+        if not rose:
             break
     return pd.DataFrame({"ord": ords, "to": child.astype("int32")})
 
 
-def refine(u: DataFrame, state: DataFrame, k: int, passes: int = PASSES, tolerance: float = TOLERANCE, seed: int = DEFAULT_SEED, local_cells: int | None = None) -> DataFrame:
-    """State (ord, grp, child) after at most ``passes`` passes of moves.
+def refine(u: DataFrame, state: DataFrame, k: int, passes: int = PASSES, local_cells: int | None = None) -> DataFrame:
+    """State (ord, grp, child) after at most ``passes`` passes of moves, for groups of any size alike.
 
-    Groups whose counted size fits a task (``LOCAL_CELLS``) are refined there, all of them in
-    one job and each move seen by the next; larger ones go through distributed batch passes.
-    Documents without features never move.
+    A pass moves every document whose best move gains against the composites as they are. A
+    group keeps that only if its objective rose; otherwise just its single best move is made,
+    which always gains. The search ends when the objective no longer rises, so when no move
+    gains. Documents without features never move. Groups whose counted cells fit a task run
+    their passes there, all in one job; larger ones run the same passes distributed. Only the
+    place differs, not the moves.
     """
     state = cut(state)
     most = (LOCAL_CELLS if local_cells is None else local_cells) // k
-    cells = u.join(state, "ord").groupBy("grp").count()
-    fits = cut(cells.filter(F.col("count") <= most).select("grp"))  # a row per group
+    cells = cut(u.join(state, "ord").groupBy("grp").count())  # a row per group
+    fits, large = cells.filter(F.col("count") <= most).select("grp"), cells.filter(F.col("count") > most).select("grp")
     if fits.isEmpty():
-        return refine_batch(u, state, k, passes, tolerance)
-    fitting = state.join(small(fits), "grp")
-    rows = u.join(fitting, "ord").select("ord", "grp", "child", F.xxhash64("feature").alias("f"), "w")
-    moved = rows.groupBy("grp").applyInPandas(lambda pdf: refine_one(pdf, k, passes, seed), "ord long, to int")
+        return refine_large(u, state, k, passes)
+    rows = u.join(state.join(small(fits), "grp"), "ord").select("ord", "grp", "child", F.xxhash64("feature").alias("f"), "w")
+    moved = rows.groupBy("grp").applyInPandas(lambda pdf: refine_group(pdf, k, passes), "ord long, to int")
     done = cut(state.join(moved, "ord", "left").select("ord", "grp", F.coalesce("to", F.col("child").cast("int")).alias("child")))
-    if cells.filter(F.col("count") > most).isEmpty():
+    if large.isEmpty():
         return done
-    large = refine_batch(u, state.join(small(fits), "grp", "left_anti").select("ord", "grp", "child"), k, passes, tolerance)
-    return done.join(small(fits), "grp", "left_semi").select("ord", "grp", "child").union(large.select("ord", "grp", F.col("child").cast("int")))
+    rest = refine_large(u, state.join(small(large), "grp", "left_semi").select("ord", "grp", "child"), k, passes)
+    return done.join(small(large), "grp", "left_anti").select("ord", "grp", "child").union(rest.select("ord", "grp", F.col("child").cast("int")))
 
 
-def refine_batch(u: DataFrame, state: DataFrame, k: int, passes: int = PASSES, tolerance: float = TOLERANCE) -> DataFrame:
-    """The distributed form of ``refine``.
-
-    A pass moves every document whose best move gains against the composites as they are. A
-    group keeps that only if its objective rose; otherwise just its single best move is made,
-    which always gains. The search ends when no group's objective rises by more than the
-    ``tolerance`` share of it (0, the default: only when no move gains). The driver holds one number per
-    group; a pass is one job for the new state and one for its composites and norms.
-    """
+def refine_large(u: DataFrame, state: DataFrame, k: int, passes: int = PASSES) -> DataFrame:
+    """The distributed passes of ``refine``: a job for the new state and one for its composites and norms each; the driver holds one number per group."""
 
     def measured(state: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, float]]:
         comp = wide_composite(u, state, k).persist()  # one step from the checkpointed state, so losing it is cheap
@@ -110,7 +112,7 @@ def refine_batch(u: DataFrame, state: DataFrame, k: int, passes: int = PASSES, t
             new_comp.unpersist()
             tried = cut(both.select("ord", "grp", F.when(F.col("bad").isNull(), F.col("tried")).otherwise(F.coalesce("one", "child")).alias("child")))
             new_comp, new_norms, new_totals = measured(tried)
-        rose = any(t > totals.get(g, 0.0) * (1 + tolerance) + EPSILON for g, t in new_totals.items())
+        rose = any(t > totals.get(g, 0.0) + EPSILON for g, t in new_totals.items())
         if sum(new_totals.values()) > sum(totals.values()):
             comp.unpersist()
             state, comp, norms, totals = tried, new_comp, new_norms, new_totals
@@ -200,6 +202,7 @@ def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limi
             if any(nodes[c].gain is None for c in node.children):
                 return [p for _, p in heap], True
             heapq.heappop(heap)
+            LOG.debug("clusters %d, split %d of %d documents into %s, gain %.6f", len(heap) + 1, node.path, node.size, [nodes[c].size for c in node.children], top)
             for c in node.children:
                 heapq.heappush(heap, (-nodes[c].gain, c))
         return [p for _, p in heap], False
@@ -243,13 +246,19 @@ def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limi
     return trail.join(small(table), "grp").select("ord", "cluster_id")
 
 
+def results(found: DataFrame) -> Iterator[Row]:
+    """A cursor over the clusters: one row (cluster_id, ords) at a time by cluster_id, a partition in memory at once."""
+    return found.groupBy("cluster_id").agg(F.array_sort(F.collect_list("ord")).alias("ords")).orderBy("cluster_id").toLocalIterator()
+
+
 def cluster(u: DataFrame, docs: DataFrame, method: str = "rb", n: int | None = None, limit: float | None = None, seed: int = DEFAULT_SEED, passes: int = PASSES) -> DataFrame:
-    """Dispatch by method name."""
-    u = u.repartition("ord").persist()  # every pass joins it with the state on ord
-    if method == "rb":
-        return repeated_bisection(u, docs, n, limit, seed, passes)
-    if method == "kmeans":
-        if n is None:
-            raise ValueError("kmeans needs the number of clusters; a gain limit applies to rb only")
-        return kmeans(u, docs, n, seed, passes)
-    raise ValueError(f"unknown method: {method}")
+    """(ord, cluster_id) by method name; what the search held is released."""
+    if method not in ("rb", "kmeans"):
+        raise ValueError(f"unknown method: {method}")
+    if method == "kmeans" and n is None:
+        raise ValueError("kmeans needs the number of clusters; a gain limit applies to rb only")
+    held = u.repartition("ord").persist()  # every pass joins it with the state on ord
+    try:
+        return cut(repeated_bisection(held, docs, n, limit, seed, passes) if method == "rb" else kmeans(held, docs, n, seed, passes))
+    finally:
+        held.unpersist()

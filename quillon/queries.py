@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import strings, vectors
+from quillon.functions.rand import DEFAULT_SEED
 from quillon.operators import classify as cl
 from quillon.operators import cluster as cs
 from quillon.operators import refine as rf
 from quillon.operators import weights as wt
 from quillon.plans import clustering, topics
+from quillon.plans.iteration import fresh_folder, stage
 from quillon.sources import tables, tsv
-from quillon.streaming.classify import classify_batch
+from quillon.streaming.classify import classify_batch, classify_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,8 +32,13 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts, written once for plans that read them several times."""
+    return stage(tables.token_features(spark, sf), "features")
+
+
 def _unit(spark: SparkSession, sf: str) -> DataFrame:
-    return cs.unit(tables.token_features(spark, sf))
+    return stage(cs.unit(tables.token_features(spark, sf)), "unit")
 
 
 def _langs(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +58,7 @@ def _centroids(spark: SparkSession, sf: str, u: DataFrame) -> DataFrame:
     assign = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("cluster_id"))
     comp = cs.composite(u, assign)
     number = F.regexp_extract("cluster_id", "([0-9]+)$", 1).cast("long")
-    return cl.make_centroids(comp.select(number.alias("cent_ord"), F.col("cluster_id").alias("cluster"), "feature", F.col("s").alias("value")))
+    return stage(cl.make_centroids(comp.select(number.alias("cent_ord"), F.col("cluster_id").alias("cluster"), "feature", F.col("s").alias("value"))), "centroids")
 
 
 # --- sources and vocabulary
@@ -82,7 +89,7 @@ def vec_norm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def vec_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return _unit(spark, sf).select("ord", "feature", r6("w").alias("w"))
+    return cs.unit(tables.token_features(spark, sf)).select("ord", "feature", r6("w").alias("w"))
 
 
 @query
@@ -109,8 +116,7 @@ def vec_sorted_abs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def vec_topn(spark: SparkSession, sf: str) -> DataFrame:
-    features = wt.with_first(tables.token_features(spark, sf))
-    return wt.top_features(features, 10, rank="rank").select("ord", "feature", "value", "rank")
+    return wt.heaviest(_features(spark, sf), 10, rank="rank").select("ord", "feature", "value", "rank")
 
 
 @query
@@ -133,7 +139,7 @@ def vec_get_default(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pair(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = wt.pair_measures(tables.token_features(spark, sf), _neighbours(spark, sf))
+        found = wt.pair_measures(_features(spark, sf), _neighbours(spark, sf))
         return found.select("a", "b", r6(name).alias(name))
 
     return run
@@ -160,6 +166,11 @@ def vec_map_measures(spark: SparkSession, sf: str) -> DataFrame:
     return _maps(spark, sf).select("ord", *[r6(f(a, b)).alias(n) for n, f in measures.items()])
 
 
+@query
+def vec_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return _maps(spark, sf).select("ord", F.explode(vectors.entries(F.col("vec"))).alias("e")).select("ord", "e.key", "e.value")
+
+
 @query
 def vec_map_functions(spark: SparkSession, sf: str) -> DataFrame:
     """Row-form functions of one vector, with edits in between."""
@@ -220,7 +231,7 @@ def cluster_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _centroid_top(spark: SparkSession, sf: str, n: int) -> DataFrame:
-    features = tables.token_features(spark, sf)
+    features = _features(spark, sf)
     return cs.centroid_top(cs.centroid(cs.composite(cs.unit(features), _langs(spark, sf))), features, n)
 
 
@@ -234,6 +245,19 @@ def cluster_size(spark: SparkSession, sf: str) -> DataFrame:
     return cs.cluster_sizes(_langs(spark, sf))
 
 
+@query
+def clusters_by_size(spark: SparkSession, sf: str) -> DataFrame:
+    return cs.by_size(_langs(spark, sf))
+
+
+@query
+def composite_after_removal(spark: SparkSession, sf: str) -> DataFrame:
+    """Composites by language without the documents whose name ends in 0."""
+    docs = tables.document_rows(spark, sf)
+    left = cs.remove_members(_langs(spark, sf), docs, docs.filter(F.col("doc_id").endswith("0")))
+    return cs.composite(_unit(spark, sf), left).select("cluster_id", "feature", r6("s").alias("s"))
+
+
 @query
 def choose_random_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return cs.choose_randomly(tables.document_rows(spark, sf), 10).select("ord", r6("r").alias("r"))
@@ -241,8 +265,8 @@ def choose_random_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def smart_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    """The first two seeds of the weighted draw."""
-    seeds = cs.choose_smartly(_unit(spark, sf), tables.document_rows(spark, sf), 2)
+    """The first four seeds of the weighted draw."""
+    seeds = cs.choose_smartly(_unit(spark, sf), tables.document_rows(spark, sf), 4)
     return spark.createDataFrame(list(enumerate(seeds)), "idx int, ord long")
 
 
@@ -289,22 +313,21 @@ def refine_one_pass(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pruned(spark: SparkSession, sf: str, n: int = 50) -> DataFrame:
-    features = tables.token_features(spark, sf)
-    weighted = wt.idf(features, tables.document_rows(spark, sf).count())
-    return cs.unit(wt.top_features(wt.with_first(weighted), n).select("ord", "feature", "value"))
+    weighted = wt.idf(_features(spark, sf), tables.document_rows(spark, sf).count())
+    return cs.unit(wt.heaviest(weighted, n).select("ord", "feature", "value"))
 
 
 @query
 def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """IDF, 50 features a document, 10 clusters, at most 30 passes."""
+    """IDF, 50 features a document, 20 clusters, at most 30 passes."""
     docs = tables.document_rows(spark, sf)
-    return clustering.cluster(clustering.cut(_pruned(spark, sf)), docs, "kmeans", n=10, passes=clustering.PASSES)
+    return clustering.cluster(stage(_pruned(spark, sf), "pruned"), docs, "kmeans", n=20, passes=clustering.PASSES)
 
 
 @query
 def rb_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """IDF, 50 features a document, 8 clusters by repeated bisection, at most 30 passes a split."""
-    return clustering.cluster(clustering.cut(_pruned(spark, sf)), tables.document_rows(spark, sf), "rb", n=8, passes=clustering.PASSES)
+    """IDF, 50 features a document, 20 clusters by repeated bisection, at most 30 passes a split."""
+    return clustering.cluster(stage(_pruned(spark, sf), "pruned"), tables.document_rows(spark, sf), "rb", n=20, passes=clustering.PASSES)
 
 
 @query
@@ -324,6 +347,19 @@ def cluster_text(spark: SparkSession, sf: str) -> DataFrame:
     return tsv.cluster_lines(found, with_points=True)
 
 
+@query
+def cluster_text_plain(spark: SparkSession, sf: str) -> DataFrame:
+    found = cs.points(_unit(spark, sf), _langs(spark, sf), tables.document_rows(spark, sf))
+    return tsv.cluster_lines(found)
+
+
+@query
+def cluster_member_text(spark: SparkSession, sf: str) -> DataFrame:
+    """A line per member."""
+    found = cs.points(_unit(spark, sf), _langs(spark, sf), tables.document_rows(spark, sf))
+    return tsv.member_lines(found, with_points=True)
+
+
 @query
 def centroid_text(spark: SparkSession, sf: str) -> DataFrame:
     return tsv.centroid_lines(_centroid_top(spark, sf, 50))
@@ -347,15 +383,45 @@ def membership_text(spark: SparkSession, sf: str) -> DataFrame:
     return tsv.membership_lines(tables.document_rows(spark, sf), _raw_membership(spark, sf, True))
 
 
+def _pair_lines(spark: SparkSession, sf: str, *prefix: str) -> DataFrame:
+    """(ord, line) of all documents as pair lines."""
+    pairs = F.concat_ws("\t", "feature", F.col("value").cast("string"))
+    lines = tables.token_features(spark, sf).groupBy("ord").agg(F.array_join(F.collect_list(pairs), "\t").alias("rest"))
+    return tables.document_rows(spark, sf).join(lines, "ord", "left").select("ord", F.concat_ws("\t", F.concat(*map(F.lit, prefix), "doc_id"), "rest").alias("line"))
+
+
+def _text_corpus(spark: SparkSession, sf: str, *prefix: str) -> str:
+    """Text files of the documents in order, an empty line before every tenth; returns the folder."""
+    lines = _pair_lines(spark, sf, *prefix)
+    gaps = lines.filter("ord % 10 = 0").select(F.col("ord"), F.lit("").alias("line"))
+    folder = fresh_folder(spark, "corpus")
+    tsv.write_lines(lines.union(gaps), folder, "ord", "line")
+    return folder
+
+
+@query
+def text_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as text files and read back: numbered in order of the lines, empty ones skipped."""
+    docs, features = tsv.read_vectors(spark, _text_corpus(spark, sf, "doc"))
+    return docs.join(features, "ord").select("ord", "doc_id", "feature", "value")
+
+
 @query
 def stream_batch_lines(spark: SparkSession, sf: str) -> DataFrame:
     """What a micro-batch of the classification stream gives for the documents as pair lines."""
-    pairs = F.concat_ws("\t", "feature", F.col("value").cast("string"))
-    lines = tables.token_features(spark, sf).groupBy("ord").agg(F.array_join(F.collect_list(pairs), "\t").alias("rest"))
-    texts = tables.document_rows(spark, sf).join(lines, "ord", "left").select(F.concat_ws("\t", "doc_id", "rest").alias("value"))
+    texts = _pair_lines(spark, sf).select(F.col("line").alias("value"))
     return classify_batch(clustering.cut(texts), _centroids(spark, sf, _unit(spark, sf)), inv_keys=0, k=3).select("line")
 
 
+@query
+def stream_classified(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream over text files with empty lines, classified batch by batch into Parquet files."""
+    source, out = _text_corpus(spark, sf), fresh_folder(spark, "classified")
+    sink = lambda lines, batch: lines.select("line").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    classify_stream(spark, source, _centroids(spark, sf, _unit(spark, sf)), sink, fresh_folder(spark, "stream"), inv_keys=0, k=3).awaitTermination()
+    return spark.read.schema("line string").parquet(out).select("line")
+
+
 # --- classification
 
 
@@ -373,6 +439,19 @@ def index_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def classify_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The default 20 keys of a document, 100 postings of a feature and 20 results."""
+    u = _unit(spark, sf)
+    return cl.classify(u, _centroids(spark, sf, u)).select("ord", "rank", "cluster", r6("point").alias("point"))
+
+
+@query
+def centroid_count(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(cl.count_vectors(_centroids(spark, sf, _unit(spark, sf))),)], "n long")
+
+
+@query
+def classify_truncated(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that leaves centroids out: 5 keys, 5 postings, 5 results."""
     u = _unit(spark, sf)
     return cl.classify(u, _centroids(spark, sf, u), 5, 5, 5).select("ord", "rank", "cluster", r6("point").alias("point"))
 
@@ -405,6 +484,20 @@ def plsi_em_step(spark: SparkSession, sf: str) -> DataFrame:
     return pwz.select("feature", *[F.round(f"w{z}", 9).alias(f"w{z}") for z in range(TOPICS)])
 
 
+@query
+def plsi_pdz(spark: SparkSession, sf: str) -> DataFrame:
+    """P(d|z) after one EM step."""
+    pdz, _, _ = topics.plsi(tables.token_features(spark, sf), TOPICS, 1)
+    return pdz.select("ord", *[F.round(f"d{z}", 9).alias(f"d{z}") for z in range(TOPICS)])
+
+
+@query
+def plsi_pz(spark: SparkSession, sf: str) -> DataFrame:
+    """P(z) after two EM steps."""
+    _, _, pz = topics.plsi(tables.token_features(spark, sf), TOPICS, 2)
+    return spark.createDataFrame([(z, round(p, 9)) for z, p in enumerate(pz)], "topic int, p double")
+
+
 def _raw_membership(spark: SparkSession, sf: str, normalized: bool) -> DataFrame:
     pdz, _, pz = topics.plsi(tables.token_features(spark, sf), TOPICS, 2, docs=tables.document_rows(spark, sf))
     return topics.plsi_membership(pdz, pz, normalized)
@@ -429,6 +522,33 @@ def lda_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return topics.lda_tokens(tables.supplier_part_features(spark, sf), TOPICS)
 
 
+def _start(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as tokens with the random topics that sampling starts from."""
+    return topics.lda_tokens(tables.user_event_features(spark, sf), TOPICS)
+
+
+@query
+def lda_start_theta(spark: SparkSession, sf: str) -> DataFrame:
+    return topics.theta(_start(spark, sf), TOPICS).select("ord", "topic", F.round("p", 9).alias("p"))
+
+
+@query
+def lda_start_phi(spark: SparkSession, sf: str) -> DataFrame:
+    return topics.phi(_start(spark, sf), TOPICS).select("topic", "feature", F.round("p", 9).alias("p"))
+
+
+@query
+def theta_text(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = _start(spark, sf)
+    docs = tokens.select("ord", F.concat(F.lit("user"), F.col("ord").cast("string")).alias("doc_id")).distinct()
+    return tsv.theta_lines(docs, topics.theta(tokens, TOPICS))
+
+
+@query
+def phi_text(spark: SparkSession, sf: str) -> DataFrame:
+    return tsv.phi_lines(topics.phi(_start(spark, sf), TOPICS), wt.firsts(tables.user_event_features(spark, sf)))
+
+
 def _gibbs(spark: SparkSession, sf: str) -> DataFrame:
     return topics.gibbs(topics.lda_tokens(tables.user_event_features(spark, sf), TOPICS), TOPICS, topics.GIBBS_ITERATIONS)
 
@@ -455,3 +575,9 @@ def file_extension(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def split_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return tables.table(spark, sf, "pages").select("page_id", F.posexplode(strings.split_string(F.col("url"), "/.:?&=")).alias("pos", "token"))
+
+
+@query
+def random_strings(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    return tables.table(spark, sf, "nation").select(key.cast("long").alias("id"), strings.random_string(20, DEFAULT_SEED, key).alias("s"))

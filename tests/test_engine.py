@@ -1,5 +1,6 @@
 import math
 
+import brute_clusters
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -187,7 +188,7 @@ def test_registered_searches_are_whole(spark, monkeypatch):
     monkeypatch.setattr(topics, "gibbs", lambda tokens, k, iterations=topics.GIBBS_ITERATIONS: ran.setdefault("gibbs", iterations) and tokens)
     for name in ("kmeans_clusters", "rb_clusters", "rb_limit_clusters", "lda_theta", "lda_phi"):
         queries.QUERIES[name](spark, SMALL)
-    assert ran == {("kmeans", 10, None): 30, ("rb", 8, None): 30, ("rb", None, 5.0): 30, "gibbs": 100}
+    assert ran == {("kmeans", 20, None): 30, ("rb", 20, None): 30, ("rb", None, 5.0): 30, "gibbs": 100}
 
 
 def test_objective_never_falls(spark, genres):
@@ -196,25 +197,96 @@ def test_objective_never_falls(spark, genres):
     state = spark.createDataFrame([(i, 0, i % 2) for i in range(6)], "ord long, grp long, child int")
     total = lambda s: sum(math.sqrt(r["q"]) for r in u.join(s, "ord").groupBy("child", "feature").agg(F.sum("w").alias("s")).groupBy("child").agg(F.sum(F.col("s") * F.col("s")).alias("q")).collect())
     before = total(state)
-    for cells in (0, None):  # in batches, and inside one task
-        after = total(clustering.refine(u, state, 2, local_cells=cells))
-        assert before <= after <= 4.632181
+    for cells in (0, None):  # distributed, and inside one task
+        assert before <= total(clustering.refine(u, state, 2, local_cells=cells)) <= 4.632181
 
 
-def test_batches_end_without_gaining_moves(spark):
+def test_passes_end_without_gaining_moves(spark):
     rng = np.random.default_rng(4)
     x = rng.random((300, 3))
     x /= np.linalg.norm(x, axis=1)[:, None]
     u = spark.createDataFrame([(i, str(f), float(x[i, f])) for i in range(300) for f in range(3)], "ord long, feature string, w double")
-    state = clustering.refine(u, spark.createDataFrame([(i, 0, i % 2) for i in range(300)], "ord long, grp long, child int"), 2, local_cells=0)
+    start = spark.createDataFrame([(i, 0, i % 2) for i in range(300)], "ord long, grp long, child int")
+    state = clustering.refine(u, start, 2, local_cells=0)
     comp = rf.wide_composite(u, state, 2)
     assert rf.best_moves(u, state, comp, rf.wide_norms(comp, 2), 2).filter(F.col("gain") > rf.EPSILON).count() == 0
 
 
-def test_refine_in_batches(spark, letters):
+def test_refinement_is_alike_at_every_size(spark, monkeypatch):
+    """A group's result depends neither on the groups beside it nor on how composites reach the documents."""
+    rng = np.random.default_rng(7)
+    x = rng.random((240, 6)) ** 3
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, str(f), float(x[i, f])) for i in range(240) for f in range(6)]
+    u = spark.createDataFrame(rows, "ord long, feature string, w double")
+    start = spark.createDataFrame([(i, i // 80, i % 3) for i in range(240)], "ord long, grp long, child int")
+    start = start.filter("ord < 200")  # the last group is half as large
+    u = u.filter("ord < 200")
+    found = {r["ord"]: r["child"] for r in clustering.refine(u, start, 3).collect()}
+    x = x[:200]
+    for g in range(3):
+        mine = range(80 * g, min(80 * g + 80, 200))
+        want = brute_clusters.refine(x[mine.start : mine.stop], np.arange(mine.start, mine.stop) % 3, 3)
+        assert [found[i] for i in mine] == want.tolist()
+    for cells in (0, 1_000):  # all distributed; only the last group in a task
+        assert {r["ord"]: r["child"] for r in clustering.refine(u, start, 3, local_cells=cells).collect()} == found
+    monkeypatch.setattr(rf, "BROADCAST_CELLS", -3)
+    assert {r["ord"]: r["child"] for r in clustering.refine(u, start, 3, local_cells=0).collect()} == found
+
+
+def vectors_of(u, docs):
+    ords = sorted(r["ord"] for r in docs.select("ord").collect())
+    return brute_clusters.dense([(r["ord"], r["feature"], r["w"]) for r in u.collect()], ords), ords
+
+
+def test_kmeans_query_matches_brute_force(spark):
+    u, ords = vectors_of(queries._pruned(spark, SMALL), queries.tables.document_rows(spark, SMALL))
+    found = {r["ord"]: r["cluster_id"] for r in queries.kmeans_clusters(spark, SMALL).collect()}
+    assert found == brute_clusters.kmeans(u, ords, 20)
+
+
+def test_bisection_queries_match_brute_force(spark):
+    u, ords = vectors_of(queries._pruned(spark, SMALL), queries.tables.document_rows(spark, SMALL))
+    found = {r["ord"]: r["cluster_id"] for r in queries.rb_clusters(spark, SMALL).collect()}
+    assert found == brute_clusters.bisect(u, ords, n=20)
+    emb = cs.unit(queries.tables.embedding_features(spark, SMALL))
+    u, ords = vectors_of(emb, emb.select("ord").distinct())
+    found = {r["ord"]: r["cluster_id"] for r in queries.rb_limit_clusters(spark, SMALL).collect()}
+    assert found == brute_clusters.bisect(u, ords, limit=5.0)
+
+
+def test_sampler_matches_brute_force(spark):
+    tokens = topics.lda_tokens(queries.tables.user_event_features(spark, SMALL), 3)
+    before = {(r["ord"], r["feature"], r["i"]): r["topic"] for r in tokens.collect()}
+    after = {(r["ord"], r["feature"], r["i"]): r["topic"] for r in topics.gibbs(tokens, 3, 5).collect()}
+    assert after == brute_clusters.gibbs(before, 3, 5, 50.0 / 3, 0.01) != before
+    dealt = topics.gibbs(tokens, 3, 2, tokens_per_task=200)  # several buckets, each with its own state
+    assert dealt.count() == len(before) and dealt.columns == ["ord", "feature", "i", "topic"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {(r["ord"], r["feature"], r["i"]): r["topic"] for r in topics.gibbs(tokens, 3, 5).collect()} == after
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_cursor_removal_and_order(spark, letters, caplog):
     docs, features = letters
     u = cs.unit(features)
-    state = spark.createDataFrame([(i, g, i % 2) for i in range(6) for g in [0]], "ord long, grp long, child int")
-    for cells in (0, None):
-        found = {r["ord"]: r["child"] for r in clustering.refine(u, state, 2, local_cells=cells).collect()}
-        assert len({found[i] for i in (0, 1, 2)}) == 1 and len({found[i] for i in (3, 4, 5)}) == 1 and found[0] != found[3]
+    with caplog.at_level("DEBUG", logger="quillon"):
+        found = clustering.cluster(u, docs, "rb", n=2)
+    assert "gain 3.790025" in caplog.text
+    cursor = clustering.results(found)
+    assert sorted([next(cursor)["ords"], next(cursor)["ords"]]) == [[0, 1, 2], [3, 4, 5]] and next(cursor, None) is None
+    left = cs.remove_members(found, docs, spark.createDataFrame([("1",), ("9",)], "doc_id string"))
+    assert sorted(r["ord"] for r in left.collect()) == [1, 2, 3, 4, 5]
+    assert [(r["size"], r["place"]) for r in cs.by_size(left).orderBy("place").collect()] == [(3, 1), (2, 2)]
+
+
+def test_many_centroids_are_compared_alike(spark, monkeypatch):
+    """Centroids as columns and as rows give the same similarities, with and without candidates."""
+    u = cs.unit(queries.tables.token_features(spark, SMALL)).filter("ord < 60").persist()
+    cents = cl.make_centroids(u.filter("ord % 7 = 0").select(F.col("ord").alias("cent_ord"), F.col("ord").cast("string").alias("cluster"), "feature", F.col("w").alias("value")))
+    rows = lambda df: sorted((r["ord"], r["rank"], r["cluster"], round(r["point"], 9)) for r in df.collect())
+    wide = [rows(cl.classify(u, cents, keys, 3, 4)) for keys in (0, 2)]
+    monkeypatch.setattr(cl, "WIDE", 0)
+    assert [rows(cl.classify(u, cents, keys, 3, 4)) for keys in (0, 2)] == wide and wide[0] != wide[1]

@@ -17,7 +17,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", ["tsv_parse", "vocab_codes", "vec_topn", "pair_jaccard", "vec_map_functions", "idf_weight", "cluster_points", "smart_seeds", "section_assign", "refine_one_pass", "classify_indexed", "centroid_text", "plsi_membership_norm", "split_tokens"])
+@pytest.mark.parametrize("name", ["tsv_parse", "vocab_codes", "vec_topn", "pair_jaccard", "vec_map_functions", "idf_weight", "cluster_points", "smart_seeds", "section_assign", "refine_one_pass", "classify_indexed", "classify_truncated", "text_corpus", "stream_classified", "phi_text", "theta_text", "random_strings", "standard_score", "centroid_text", "plsi_membership_norm", "split_tokens"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
