@@ -40,8 +40,8 @@ BLOCK = 1024
 THRESHOLD = 80  # per cent
 MARGIN = 0.08  # of the signature estimate below the threshold: four standard deviations of 392 minima
 BITMAP = 512  # bytes
-#: Rows of an id table that may be broadcast (8 bytes each); larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows of a table of ids that may be broadcast (up to 24 bytes each); larger ones are shuffled.
+BROADCAST_ROWS = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SETS = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary, h long"
 
