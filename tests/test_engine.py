@@ -245,10 +245,14 @@ def test_kmeans_query_matches_brute_force(spark):
     assert found == brute_clusters.kmeans(u, ords, 20)
 
 
-def test_bisection_queries_match_brute_force(spark):
-    u, ords = vectors_of(queries._pruned(spark, SMALL), queries.tables.document_rows(spark, SMALL))
-    found = {r["ord"]: r["cluster_id"] for r in queries.rb_clusters(spark, SMALL).collect()}
-    assert found == brute_clusters.bisect(u, ords, n=20)
+def test_bisection_matches_brute_force(spark):
+    pruned, docs = queries._pruned(spark, SMALL), queries.tables.document_rows(spark, SMALL)
+    u, ords = vectors_of(pruned, docs)
+    found = {r["ord"]: r["cluster_id"] for r in clustering.cluster(pruned, docs, "rb", n=5).collect()}
+    assert found == brute_clusters.bisect(u, ords, n=5)
+
+
+def test_limited_bisection_query_matches_brute_force(spark):
     emb = cs.unit(queries.tables.embedding_features(spark, SMALL))
     u, ords = vectors_of(emb, emb.select("ord").distinct())
     found = {r["ord"]: r["cluster_id"] for r in queries.rb_limit_clusters(spark, SMALL).collect()}
