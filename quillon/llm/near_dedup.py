@@ -286,15 +286,21 @@ def find_links(signed: DataFrame, placed: DataFrame, texts: DataFrame, width: in
     Each set is represented by one of its rows, that of the smallest doc_id and text hash.
     """
     one = stage(placed.groupBy("vertex").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("m")).select("vertex", F.col("m.doc_id").alias("r_id"), F.col("m.h").alias("r_h")), "representatives")
-    rows = signed.filter("n_shingles > 0")
-    mine = rows.join(_near(one), same_row(rows)).select(F.col("vertex").alias("doc_id"), "n_shingles", "sig", "bands")
-    signed = stage(mine if _repeated(signed).isEmpty() else mine.dropDuplicates(["doc_id"]), "vertices")  # below, doc_id is a vertex
+    rows, once = signed.filter("n_shingles > 0"), _repeated(signed).isEmpty()
 
-    buckets = signed.select(F.explode("bands").alias("key"), "doc_id")
+    def of_vertices(representatives: DataFrame, *columns: str) -> DataFrame:
+        """These columns of the representatives' rows; doc_id is the vertex."""
+        mine = rows.join(_near(representatives), same_row(rows)).select(F.col("vertex").alias("doc_id"), *columns)
+        return mine if once else mine.dropDuplicates(["doc_id"])
+
+    # all vertices move with their band keys only, the few that share a bucket with their signatures too
+    buckets = stage(of_vertices(one, "bands"), "bands").select(F.explode("bands").alias("key"), "doc_id")
     sizes = buckets.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = stage(sizes, "buckets")
     members = stage(buckets.join(sizes.filter("n > 2").select("key", "leader"), "key"), "members")
     led = sizes.filter("n = 2").select(F.col("leader").alias("a"), F.col("last").alias("b")).union(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
+    active = cut(led.select("a").union(led.select("b")).distinct().withColumnRenamed("a", "vertex"))
+    signed = stage(of_vertices(one.join(_near(active), "vertex", "left_semi"), "n_shingles", "sig", "bands"), "vertices")
     likely = cut(alike_signatures(led.filter("a < b").distinct(), signed, threshold).distinct())
     links = cut(confirm(likely, texts, one, width, threshold))
     pairs = cut(crossing_pairs(members, links, signed, threshold).join(likely, ["a", "b"], "left_anti"))
