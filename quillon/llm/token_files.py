@@ -28,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from quillon.llm.common import remove_at_exit, shared_folder, trimmed
@@ -217,6 +219,19 @@ def slices(batch: pa.RecordBatch, size: int = 12 << 20) -> Iterator[pa.RecordBat
         at = end
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """The rows with their column text compressed, so that a shuffle moves about half of it."""
+    schema = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in rows.schema])
+    at = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
+        for batch in batches:
+            yield batch.set_column(at, "text", pa.array([pack(x.as_buffer()) for x in batch.column(at)], pa.binary()))
+
+    return rows.mapInArrow(trimmed(run), schema)
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, length: int = 1024, order: list[Column] | None = None) -> str:
     """Encode every whole text and write the folder described above; returns the folder.
 
@@ -235,8 +250,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer = PieceEncoder(tokenizer_path), None
         store, path = open_store(folder)
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for some in slices(batch):
+            for few in slices(batch, 4 << 20):
+                some = pa.record_batch([few.column(0), pa.array([unpack(x.as_py()).decode() for x in few.column(1)], pa.string())], names=["doc_id", "text"])
                 writer = writer or PartWriter(store, path, TaskContext.get().partitionId(), length, dtype)
                 for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
                     writer.add(doc_id, np.append(ids, end_id).astype(dtype))
@@ -246,7 +263,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     keys = [c.alias(f"order{i}") for i, c in enumerate(order if order is not None else [doc_id, F.xxhash64(text)])]
-    keyed = docs.select(doc_id.alias("doc_id"), text.alias("text"), *keys)
+    keyed = packed(docs.select(doc_id.alias("doc_id"), text.alias("text"), *keys))
     names = [f"order{i}" for i in range(len(keys))]
     ordered = keyed.repartitionByRange(*names).sortWithinPartitions(*names, "text").select("doc_id", "text")
     parts = sorted(tuple(r) for r in ordered.mapInArrow(trimmed(write), MANIFEST).collect())
