@@ -3,14 +3,15 @@
 Layout of an output folder::
 
     part-00000.arrow        record batches of  ids   FixedSizeList<uint16 or uint32>[L]
-                                               mask  FixedSizeList<uint8>[L]  (1: real token)
+                                               mask  Dictionary<FixedSizeList<uint8>[L]>  (1: real token)
     part-00000.index.arrow  doc_id, start (offset inside the part), n_tokens
     manifest.arrow          part, n_docs, n_tokens, n_sequences, in global order
 
 Documents are packed one after another, each followed by the end id, in ascending doc_id
 order over all parts, or in a given order; only the last sequence of a part is padded (mask 0).
 Every sequence of a batch has the same length, so ids and mask of sequence ``i`` of a
-memory-mapped part are zero-copy slices. The number of documents a task holds is bounded by one Arrow batch; a part
+memory-mapped part are zero-copy slices. All sequences but the last share one mask, so masks
+are a dictionary: the full one, and where a part ends amid a sequence the one of its last. The number of documents a task holds is bounded by one Arrow batch; a part
 is written under a temporary name and renamed, so a rerun of a lost task replaces it.
 """
 
@@ -28,11 +29,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from quillon.llm.common import remove_at_exit, shared_folder, trimmed
@@ -157,12 +156,13 @@ class PartWriter:
     def __init__(self, fs: pafs.FileSystem, folder: str, part: int, length: int, dtype: np.dtype, rows: int = 128) -> None:
         self.fs, self.length, self.dtype, self.rows, self.part = fs, length, dtype, rows, part
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         tag = uuid.uuid4().hex
         self.names = [(f"{folder}/.{part:05d}.{tag}{end}", f"{folder}/part-{part:05d}{end}") for end in (".arrow", ".index.arrow")]
         self.sinks = [fs.open_output_stream(a) for a, _ in self.names]
-        self.data = pa.ipc.new_file(self.sinks[0], self.schema)
+        # the mask of the last sequence is added to the dictionary when it is known
+        self.data = pa.ipc.new_file(self.sinks[0], self.schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
         self.index = pa.ipc.new_file(self.sinks[1], self.index_schema)
         self.buffer, self.filled = np.zeros(rows * length, dtype), 0
         self.entries: list[tuple] = []
@@ -190,9 +190,12 @@ class PartWriter:
         n = -(-self.filled // self.length)
         size = n * self.length
         self.buffer[self.filled : size] = 0
-        mask = (np.arange(size) < self.filled).astype(np.uint8)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (self.buffer[:size].copy(), mask)]
-        self.data.write_batch(pa.record_batch(lists, schema=self.schema))
+        masks, which = [np.ones(self.length, np.uint8)], np.zeros(n, np.int8)
+        if self.filled < size:
+            masks.append((np.arange(self.length) < self.filled - (n - 1) * self.length).astype(np.uint8))
+            which[-1] = 1
+        ids, values = (pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (self.buffer[:size].copy(), np.concatenate(masks)))
+        self.data.write_batch(pa.record_batch([ids, pa.DictionaryArray.from_arrays(pa.array(which), values)], schema=self.schema))
         self.n_sequences += n
         self.filled = 0
 
@@ -219,19 +222,6 @@ def slices(batch: pa.RecordBatch, size: int = 12 << 20) -> Iterator[pa.RecordBat
         at = end
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """The rows with their column text compressed, so that a shuffle moves about half of it."""
-    schema = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in rows.schema])
-    at = rows.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
-        for batch in batches:
-            yield batch.set_column(at, "text", pa.array([pack(x.as_buffer()) for x in batch.column(at)], pa.binary()))
-
-    return rows.mapInArrow(trimmed(run), schema)
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, length: int = 1024, order: list[Column] | None = None) -> str:
     """Encode every whole text and write the folder described above; returns the folder.
 
@@ -250,10 +240,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer = PieceEncoder(tokenizer_path), None
         store, path = open_store(folder)
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for few in slices(batch, 4 << 20):
-                some = pa.record_batch([few.column(0), pa.array([unpack(x.as_py()).decode() for x in few.column(1)], pa.string())], names=["doc_id", "text"])
+            for some in slices(batch):
                 writer = writer or PartWriter(store, path, TaskContext.get().partitionId(), length, dtype)
                 for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
                     writer.add(doc_id, np.append(ids, end_id).astype(dtype))
@@ -263,7 +251,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     keys = [c.alias(f"order{i}") for i, c in enumerate(order if order is not None else [doc_id, F.xxhash64(text)])]
-    keyed = packed(docs.select(doc_id.alias("doc_id"), text.alias("text"), *keys))
+    keyed = docs.select(doc_id.alias("doc_id"), text.alias("text"), *keys)
     names = [f"order{i}" for i in range(len(keys))]
     ordered = keyed.repartitionByRange(*names).sortWithinPartitions(*names, "text").select("doc_id", "text")
     parts = sorted(tuple(r) for r in ordered.mapInArrow(trimmed(write), MANIFEST).collect())
@@ -285,8 +273,9 @@ def read_sequence(folder: str, part: int, i: int) -> tuple[np.ndarray, np.ndarra
     reader = open_part(fs, f"{place}/part-{part:05d}.arrow")
     rows = len(reader.get_batch(0))
     batch = reader.get_batch(i // rows)
-    ids, mask = (batch.column(c)[i % rows].values for c in (0, 1))
-    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True)
+    at, masks = i % rows, batch.column(1)
+    values = masks.dictionary[masks.indices[at].as_py()].values
+    return batch.column(0)[at].values.to_numpy(zero_copy_only=True), values.to_numpy(zero_copy_only=True)
 
 
 def file_order(docs: DataFrame) -> list[Column]:
@@ -324,7 +313,9 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                         while n:
                             if at == len(ids):
                                 got = data.get_batch(k)
-                                ids, mask = got.column(0).values.to_numpy(), got.column(1).values.to_numpy()
+                                masks = got.column(1)
+                                length = masks.type.value_type.list_size
+                                ids, mask = got.column(0).values.to_numpy(), masks.dictionary.values.to_numpy().reshape(-1, length)[masks.indices.to_numpy()].reshape(-1)
                                 at, k = 0, k + 1
                             step = min(n, len(ids) - at)
                             crc = zlib.crc32(ids[at : at + step].astype("<u4").tobytes(), crc)

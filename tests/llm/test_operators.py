@@ -622,6 +622,10 @@ def test_token_files(spark, rows, tmp_path):
     assert sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_crc32"]) for r in found) == sorted((i or -1, len(want[i, t]), crc(want[i, t])) for i, t in mine)
     ids, mask = token_files.read_sequence(folder, 0, 0)
     assert len(ids) == len(mask) == 64 and not ids.flags.owndata and not mask.flags.owndata and mask.dtype == np.uint8
+    last = token_files.open_part(*token_files.open_store(f"{folder}/part-00000.arrow"))
+    total = sum(len(last.get_batch(j)) for j in range(last.num_record_batches))
+    tail = [token_files.read_sequence(folder, 0, j)[1].sum() for j in range(total)]
+    assert all(x == 64 for x in tail[:-1]) and 1 <= tail[-1] <= 64 and total > 1
     empty = token_files.write_token_files(frame(spark, []), str(tmp_path / "none"), queries.tokenizer_path())
     assert token_files.read_documents(spark, empty).count() == 0
 
