@@ -23,8 +23,8 @@ from quillon.operators.refine import EPSILON, best_moves, wide_composite, wide_n
 from quillon.plans.iteration import cut, small
 
 PASSES = 30
-#: A group of at most this many feature cells, times the number of parts, runs its passes inside one task (about 8 bytes each).
-LOCAL_CELLS = 4_000_000
+#: A group of at most this many feature cells, times the number of parts, runs its passes inside one task (about 30 bytes each).
+LOCAL_CELLS = 12_000_000
 LOG = logging.getLogger("quillon")
 #: A cluster of the bisection tree has its path as number (children 2p and 2p + 1); those below this have running numbers.
 DEEPEST = 1 << 60
