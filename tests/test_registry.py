@@ -31,6 +31,18 @@ def test_oracle(spark, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["plsi_membership", "plsi_membership_norm"])
+def test_memberships_of_documents_without_tokens(spark, tmp_path, name):
+    texts = ["red green red", None, "", "green blue", "!? --", "blue blue red"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    df = entry.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert {r[0] for r in want} == {0, 3, 5}
+    assert sorted(tuple(map(plain, r)) for r in df.collect()) == sorted(tuple(map(plain, r)) for r in want)
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
