@@ -31,7 +31,7 @@ def test_oracle(spark, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["plsi_membership", "plsi_membership_norm"])
+@pytest.mark.parametrize("name", ["plsi_membership", "plsi_membership_norm", "membership_text"])
 def test_memberships_of_documents_without_tokens(spark, tmp_path, name):
     texts = ["red green red", None, "", "green blue", "!? --", "blue blue red"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
