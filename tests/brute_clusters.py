@@ -130,3 +130,29 @@ def gibbs(tokens, k, sweeps, alpha, beta, seed=SEED):
                 counts[z] += 1
             topics[t] = z
     return topics
+
+
+def gibbs_buckets(tokens, bucket, k, sweeps, alpha, beta, seed=SEED):
+    """The same with documents in buckets (bucket: of an ord): each sees the counts of a sweep's start and its own moves."""
+    topics = dict(tokens)
+    vocabulary = len({f for _, f, _ in topics})
+    for sweep in range(sweeps):
+        start = dict(topics)
+        for b in sorted(set(map(bucket, {o for o, _, _ in topics}))):
+            by_word, by_topic, by_doc, draws = {}, [0] * k, {}, {}
+            for (o, f, _), z in start.items():
+                by_word.setdefault(f, [0] * k)[z] += 1
+                by_doc.setdefault(o, [0] * k)[z] += 1
+                by_topic[z] += 1
+            mine = sorted(t for t in start if bucket(t[0]) == b)
+            for t in mine:
+                o, f, _ = t
+                if o not in draws:
+                    draws[o] = iter(np.random.default_rng([(seed + sweep) & 0xFFFFFFFF, o & 0xFFFFFFFF]).random(sum(x[0] == o for x in mine)))
+                for counts in (by_word[f], by_doc[o], by_topic):
+                    counts[topics[t]] -= 1
+                p = np.cumsum([(by_word[f][j] + beta) / (by_topic[j] + vocabulary * beta) * (by_doc[o][j] + alpha) for j in range(k)])
+                topics[t] = min(k - 1, int(np.searchsorted(p, next(draws[o]) * p[-1], "right")))
+                for counts in (by_word[f], by_doc[o], by_topic):
+                    counts[topics[t]] += 1
+    return topics

@@ -273,6 +273,28 @@ def test_sampler_matches_brute_force(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_sweeps_of_one_bucket_are_one_job(spark):
+    """Lasting a job or more each, 100 sweeps of a small corpus took minutes."""
+    tokens = topics.lda_tokens(queries.tables.user_event_features(spark, SMALL), 3)
+    spark.sparkContext.setJobGroup("sweeps", "sweeps")
+    try:
+        topics.gibbs(tokens, 3, 40)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("sweeps")) < 20
+
+
+def test_sampler_of_several_buckets_matches_brute_force(spark, monkeypatch):
+    tokens = topics.lda_tokens(queries.tables.user_event_features(spark, SMALL), 3)
+    buckets = {r["ord"]: r["b"] for r in tokens.select("ord", F.expr("pmod(xxhash64(ord), 5) AS b")).distinct().collect()}
+    before = {(r["ord"], r["feature"], r["i"]): r["topic"] for r in tokens.collect()}
+    want = brute_clusters.gibbs_buckets(before, buckets.get, 3, 3, 50.0 / 3, 0.01)
+    assert len(set(buckets.values())) > 2
+    for few in (topics.FEW, 0):  # as plain numbers and as arrays
+        monkeypatch.setattr(topics, "FEW", few)
+        assert {(r["ord"], r["feature"], r["i"]): r["topic"] for r in topics.gibbs(tokens, 3, 3, tokens_per_task=200).collect()} == want
+
+
 def test_cursor_removal_and_order(spark, letters, caplog):
     docs, features = letters
     u = cs.unit(features)
