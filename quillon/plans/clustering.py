@@ -6,6 +6,7 @@ DataFrame joins and aggregations, for all groups of a pass at once.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import logging
@@ -17,51 +18,180 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from quillon.functions.rand import DEFAULT_SEED, hash_rand
+from quillon.functions.rand import DEFAULT_SEED, SCALE, hash_rand
 from quillon.operators.cluster import choose_smartly, section, seed_weight
 from quillon.operators.refine import EPSILON, best_moves, wide_composite, wide_norms
 from quillon.plans.iteration import cut, small
 
 PASSES = 30
-#: A group of at most this many feature cells, times the number of parts, runs its passes inside one task (about 30 bytes each).
-LOCAL_CELLS = 12_000_000
+#: A group of about this size in memory is searched inside one task; a cell takes 8 bytes a part at most and 150 for its columns and their copies.
+LOCAL_BYTES = 1_000_000_000
 LOG = logging.getLogger("quillon")
 #: A cluster of the bisection tree has its path as number (children 2p and 2p + 1); those below this have running numbers.
 DEEPEST = 1 << 60
 
 
+def most_cells(k: int) -> int:
+    """The largest group that is searched for k parts inside one task."""
+    return LOCAL_BYTES // (8 * k + 150)
+
+
+@dataclass
+class Group:
+    """Unit vectors in memory, by document and feature: a document's cells start at its place in ``starts``."""
+
+    ords: np.ndarray
+    starts: np.ndarray
+    codes: np.ndarray
+    w: np.ndarray
+
+    @classmethod
+    def of(cls, pdf: pd.DataFrame) -> Group:
+        """Rows (ord, f, w) of a group; a document without features has one cell of weight 0."""
+        ords, f, w = (pdf[c].to_numpy() for c in ("ord", "f", "w"))
+        order = np.lexsort((f, ords))
+        ords, starts = np.unique(ords[order], return_index=True)
+        return cls(ords, starts, np.unique(f[order], return_inverse=True)[1].astype(np.int32), w[order])
+
+    def __post_init__(self) -> None:
+        self.sizes = np.diff([*self.starts, len(self.w)])
+        self.own = np.add.reduceat(self.w * self.w, self.starts)
+        self.width = int(self.codes.max()) + 1
+
+    def take(self, mask: np.ndarray) -> Group:
+        cells, sizes = np.repeat(mask, self.sizes), self.sizes[mask]
+        seen = np.zeros(self.width, np.int32)
+        codes = self.codes[cells]
+        seen[codes] = 1
+        return Group(self.ords[mask], np.cumsum(sizes) - sizes, (np.cumsum(seen, dtype=np.int32) - 1)[codes], self.w[cells])
+
+    def dots(self, x: np.ndarray) -> np.ndarray:
+        """Inner products of all documents with one vector."""
+        return np.add.reduceat(x[self.codes] * self.w, self.starts)
+
+    def similar(self, row: int) -> np.ndarray:
+        """Inner products of all documents with that of the row."""
+        cells, x = slice(self.starts[row], self.starts[row] + self.sizes[row]), np.zeros(self.width)
+        x[self.codes[cells]] = self.w[cells]
+        return self.dots(x)
+
+    def rand(self, seed: int, tag: str) -> np.ndarray:
+        """``hash_rand`` of the documents."""
+        start = hashlib.md5(f"{seed}|{tag}|".encode())
+
+        def one(ord_: int) -> int:
+            h = start.copy()
+            h.update(str(ord_).encode())
+            return int.from_bytes(h.digest()[:4], "big")
+
+        return (np.array([one(o) for o in self.ords.tolist()], float) + 0.5) / SCALE
+
+    def composites(self, child: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Composites of the parts, a row each, and their norms."""
+        sums = np.bincount(np.repeat(child * self.width, self.sizes) + self.codes, self.w, k * self.width).reshape(k, -1)
+        return sums, np.sqrt([row @ row for row in sums])
+
+    def refine(self, child: np.ndarray, k: int, passes: int) -> np.ndarray:
+        """The passes of ``refine``; one set of composites is held at a time."""
+        child, rows = child.astype(np.int64), np.arange(len(self.ords))
+        sums, norms = self.composites(child, k)
+        for _ in range(passes):
+            dots, squares = np.stack([self.dots(row) for row in sums], axis=1), norms * norms
+            leave = np.sqrt(np.maximum(0.0, squares[child] + self.own - 2 * dots[rows, child])) - norms[child]
+            gains = np.round(leave[:, None] + np.sqrt(np.maximum(0.0, squares + self.own[:, None] + 2 * dots)) - norms, 12)
+            gains[rows, child] = -np.inf
+            to, best = gains.argmax(axis=1), gains.max(axis=1)
+            tried = np.where(best > EPSILON, to, child)
+            del sums, dots, gains
+            sums, new = self.composites(tried, k)
+            if new.sum() < norms.sum() - EPSILON:
+                tried = child.copy()
+                tried[best.argmax()] = to[best.argmax()]
+                del sums
+                sums, new = self.composites(tried, k)
+            rose = new.sum() > norms.sum() + EPSILON
+            if new.sum() > norms.sum():
+                child, norms = tried, new
+            if not rose:
+                break
+        return child
+
+    def split(self, path: int, seed: int, passes: int, second: np.ndarray) -> np.ndarray:
+        """Child (0 or 1) of every document, as ``split_groups`` finds them; second: the documents' numbers for the second seed."""
+        if len(self.ords) < 2:
+            return np.zeros(len(self.ords), np.int64)
+        near = self.similar(int(self.rand(seed, f"first|{path}").argmin()))
+        away = 1.0 - near
+        race = np.where(away > 1e-12, -np.log(second) / np.where(away > 1e-12, away, 1.0), 1e300)
+        closer = self.similar(int(race.argmin()))
+        return self.refine(np.round(closer, 9) > np.round(near, 9), 2, passes)
+
+
 def refine_group(pdf: pd.DataFrame, k: int, passes: int) -> pd.DataFrame:
     """The passes of ``refine`` over one group's rows (ord, child, f, w), in memory."""
-    pdf = pdf.sort_values(["ord", "f"], kind="stable")
-    ords, starts = np.unique(pdf["ord"].to_numpy(), return_index=True)
-    _, codes = np.unique(pdf["f"].to_numpy(), return_inverse=True)
-    w, child, rows = pdf["w"].to_numpy(), pdf["child"].to_numpy()[starts].astype(np.int64), np.arange(len(ords))
-    doc, own = np.repeat(rows, np.diff([*starts, len(pdf)])), np.add.reduceat(w * w, starts)
-
-    def measured(child: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        sums = np.bincount(child[doc] * (codes.max() + 1) + codes, w, k * (codes.max() + 1)).reshape(k, -1)
-        norms = np.sqrt((sums * sums).sum(axis=1))
-        return sums, norms, norms.sum()
-
-    sums, norms, total = measured(child)
-    for _ in range(passes):
-        dots, squares = np.add.reduceat(sums[:, codes] * w, starts, axis=1).T, norms * norms
-        leave = np.sqrt(np.maximum(0.0, squares[child] + own - 2 * dots[rows, child])) - norms[child]
-        gains = np.round(leave[:, None] + np.sqrt(np.maximum(0.0, squares + own[:, None] + 2 * dots)) - norms, 12)
-        gains[rows, child] = -np.inf
-        to, best = gains.argmax(axis=1), gains.max(axis=1)
-        tried = np.where(best > EPSILON, to, child)
-        new = measured(tried)
-        if new[2] < total - EPSILON:
-            tried = child.copy()
-            tried[best.argmax()] = to[best.argmax()]
-            new = measured(tried)
-        rose = new[2] > total + EPSILON
-        if new[2] > total:
-            child, (sums, norms, total) = tried, new
-        if not rose:
-            break
-    return pd.DataFrame({"ord": ords, "to": child.astype("int32")})
+    group = Group.of(pdf)
+    start = pdf.drop_duplicates("ord").sort_values("ord")["child"].to_numpy()
+    return pd.DataFrame({"ord": group.ords, "to": group.refine(start, k, passes).astype("int32")})
+
+
+def split_group(pdf: pd.DataFrame, seed: int, passes: int) -> pd.DataFrame:
+    group = Group.of(pdf)
+    child = group.split(int(pdf["grp"].iloc[0]), seed, passes, group.rand(seed, "second"))
+    return pd.DataFrame({"ord": group.ords, "grp": pdf["grp"].iloc[0], "child": child.astype("int32")})
+
+
+def kmeans_group(pdf: pd.DataFrame, n: int, seed: int, passes: int) -> pd.DataFrame:
+    """Seeds, assignment and refinement of ``kmeans`` over all documents (ord, f, w), in memory."""
+    group = Group.of(pdf)
+    near = [group.similar(int(group.rand(seed, "smart-0").argmin()))]
+    closest = np.maximum(0.0, 1.0 - near[0])
+    for i in range(1, n):
+        race = np.where(closest > 1e-12, -np.log(group.rand(seed, f"smart-{i}")) / np.where(closest > 1e-12, closest, 1.0), np.inf)
+        near.append(group.similar(int(race.argmin())))
+        closest = np.maximum(0.0, np.minimum(closest, 1.0 - near[-1]))
+    child = np.round(np.stack(near, axis=1), 9).argmax(axis=1)
+    return pd.DataFrame({"ord": group.ords, "child": (group.refine(child, n, passes) if n > 1 else child).astype("int32")})
+
+
+def tree_group(pdf: pd.DataFrame, n: int, seed: int, passes: int) -> pd.DataFrame:
+    """The best-first search below one cluster (grp, ord, f, w) up to n leaves, in memory.
+
+    Rows with an ord give a document's deepest cluster (path); those without one a split
+    (path, its gain and the sizes of both children). Clusters beyond the deepest number are not split.
+    """
+    whole, root = Group.of(pdf), int(pdf["grp"].iloc[0])
+    second = whole.rand(seed, "second")
+    at, splits, heap = np.full(len(whole.ords), root), [], []
+
+    def push(path: int) -> bool:
+        mask = at == path
+        gain, size = 0.0, int(mask.sum())
+        if size > 1:
+            if not 0 < path < DEEPEST:
+                return False
+            group = whole.take(mask)
+            child = group.split(path, seed, passes, second[mask])
+            sums, norms = group.composites(child, 2)
+            both = sums.sum(axis=0)
+            gain = round(float(norms.sum() - np.sqrt(both @ both)), 12)
+            at[mask] = 2 * path + child
+            splits.append((path, gain, size - int(child.sum()), int(child.sum())))
+        heapq.heappush(heap, (-gain, path, size))
+        return True
+
+    known = push(root)
+    while known and len(heap) < n and -heap[0][0] > EPSILON:
+        _, path, _ = heapq.heappop(heap)  # its documents stand at its children
+        known = all([push(c) for c in (2 * path, 2 * path + 1)])
+    out = pd.DataFrame({"ord": whole.ords, "path": at, "gain": 0.0, "size0": 0, "size1": 0}).astype({"ord": "Int64"})
+    made = pd.DataFrame(splits, columns=["path", "gain", "size0", "size1"])
+    return pd.concat([out, made.assign(ord=pd.array([None] * len(made), "Int64"))[out.columns]])
+
+
+def cells_of(u: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (.., f, w) of all members (ord, ..), a cell of weight 0 for those without features."""
+    cells = members.join(u, "ord", "left")
+    return cells.select(*members.columns, F.xxhash64("feature").alias("f"), F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
 def refine(u: DataFrame, state: DataFrame, k: int, passes: int = PASSES, local_cells: int | None = None) -> DataFrame:
@@ -75,7 +205,7 @@ def refine(u: DataFrame, state: DataFrame, k: int, passes: int = PASSES, local_c
     place differs, not the moves.
     """
     state = cut(state)
-    most = (LOCAL_CELLS if local_cells is None else local_cells) // k
+    most = most_cells(k) if local_cells is None else local_cells // k
     cells = cut(u.join(state, "ord").groupBy("grp").count())  # a row per group
     fits, large = cells.filter(F.col("count") <= most).select("grp"), cells.filter(F.col("count") > most).select("grp")
     if fits.isEmpty():
@@ -127,12 +257,21 @@ def kmeans(u: DataFrame, docs: DataFrame, n: int, seed: int = DEFAULT_SEED, pass
 
     Cluster ids are 1-based in seed order and count non-empty clusters only.
     """
-    if docs.count() < n:
+    total = docs.count()
+    if total < n:
         return docs.select("ord", F.lit(0).cast("long").alias("cluster_id")).limit(0)
+    if 0 < u.count() + total <= most_cells(n):
+        rows = cells_of(u, docs.select("ord"))
+        return _numbered(cut(rows.groupBy().applyInPandas(lambda pdf: kmeans_group(pdf, n, seed, passes), "ord long, child int")))
     start = section(u, docs, choose_smartly(u, docs, n, seed))
     state = refine(u, start.select("ord", F.lit(0).cast("long").alias("grp"), F.col("cluster_id").cast("int").alias("child")), n, passes) if n > 1 else start.withColumnRenamed("cluster_id", "child")
+    return _numbered(state)
+
+
+def _numbered(state: DataFrame) -> DataFrame:
+    """(ord, cluster_id) of a state, non-empty parts numbered from 1."""
     used = sorted(r["child"] for r in state.select("child").distinct().collect())  # at most n
-    ids = docs.sparkSession.createDataFrame([(c, i) for i, c in enumerate(used, 1)], "child int, cluster_id long")
+    ids = state.sparkSession.createDataFrame([(c, i) for i, c in enumerate(used, 1)], "child int, cluster_id long")
     return state.join(F.broadcast(ids), "child").select("ord", "cluster_id")
 
 
@@ -147,12 +286,28 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+def by_room(u: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups (grp) of members (ord, grp) that fit a task when split in two, and those that don't."""
+    counted = members.join(u.groupBy("ord").agg(F.count(F.lit(1)).alias("n")), "ord", "left").groupBy("grp").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
+    cells = cut(counted)  # a row per group
+    return cells.filter(F.col("n") <= most_cells(2)).select("grp"), cells.filter(F.col("n") > most_cells(2)).select("grp")
+
+
 def split_groups(u: DataFrame, members: DataFrame, seed: int, passes: int) -> DataFrame:
     """(ord, grp, child): every group split in two by weighted seeding and refinement; groups of one stay child 0.
 
     All groups are split together: the first seed of a group is its smallest keyed random
-    number, the second the winner of the weighted race, keyed by the group's path.
+    number, the second the winner of the weighted race, keyed by the group's path. Groups
+    that fit a task are split there, all in one job.
     """
+    fits, large = by_room(u, members)
+    done = None
+    if not fits.isEmpty():
+        cells = cells_of(u, members.join(small(fits), "grp").select("ord", "grp"))
+        done = cut(cells.groupBy("grp").applyInPandas(lambda pdf: split_group(pdf, seed, passes), "ord long, grp long, child int"))
+        if large.isEmpty():
+            return done
+        members = members.join(small(large), "grp").select("ord", "grp")
     keyed = members.withColumn("r", hash_rand(seed, "first", F.col("grp"), F.col("ord")))
     first = keyed.groupBy("grp").agg(F.min(F.struct("r", "ord")).alias("m")).select("grp", F.col("m.ord").alias("seed0"))
 
@@ -166,7 +321,8 @@ def split_groups(u: DataFrame, members: DataFrame, seed: int, passes: int) -> Da
     second = race.groupBy("grp").agg(F.min(F.struct(F.coalesce("race", F.lit(1e300)).alias("race"), "ord")).alias("m")).select("grp", F.col("m.ord").alias("seed1"))
     both = near.join(sims(second, "seed1"), "ord", "left").withColumn("sim_seed1", F.coalesce("sim_seed1", F.lit(0.0)))
     child = F.when(F.round("sim_seed1", 9) > F.round("sim_seed0", 9), 1).otherwise(0)
-    return refine(u, both.select("ord", "grp", child.alias("child")), 2, passes)
+    rest = refine(u, both.select("ord", "grp", child.alias("child")), 2, passes)
+    return done.union(rest.select("ord", "grp", F.col("child").cast("int"))) if done is not None else rest
 
 
 def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limit: float | None = None, seed: int = DEFAULT_SEED, passes: int = PASSES) -> DataFrame:
@@ -214,6 +370,20 @@ def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limi
             if nodes[p].size < 2:
                 nodes[p].gain = 0.0
         todo = [p for p in todo if nodes[p].size >= 2]
+        if todo and n is not None and (numbered := [p for p in todo if 0 < p < DEEPEST]):
+            # up to n leaves lie below a cluster; where it fits a task, all are found there in one job
+            wanted = small(docs.sparkSession.createDataFrame([(p,) for p in numbered], "grp long"))
+            members = cut(trail.join(wanted, "grp").select("ord", "grp"))
+            fits, _ = by_room(u, members)
+            below = cells_of(u, members.join(small(fits), "grp").select("ord", "grp"))
+            found = cut(below.groupBy("grp").applyInPandas(lambda pdf: tree_group(pdf, n, seed, passes), "ord long, path long, gain double, size0 long, size1 long"))
+            for r in sorted(found.filter("ord IS NULL").collect(), key=lambda r: r["path"]):  # fewer than 2 n a group
+                nodes[r["path"]].gain, nodes[r["path"]].children = r["gain"], [2 * r["path"], 2 * r["path"] + 1]
+                for c, size in zip(nodes[r["path"]].children, (r["size0"], r["size1"]), strict=True):
+                    nodes[c] = Node(c, size, r["path"], None if size >= 2 else 0.0)
+            deepest = found.filter("ord IS NOT NULL").select("ord", F.col("path").alias("next"))
+            trail = cut(trail.join(deepest, "ord", "left").select("ord", F.coalesce("next", "grp").alias("grp")))
+            todo = [p for p in todo if nodes[p].gain is None]
         if todo:
             wanted = small(docs.sparkSession.createDataFrame([(p,) for p in todo], "grp long"))
             halves = split_groups(u, cut(trail.join(wanted, "grp").select("ord", "grp")), seed, passes)
@@ -257,6 +427,8 @@ def cluster(u: DataFrame, docs: DataFrame, method: str = "rb", n: int | None = N
         raise ValueError(f"unknown method: {method}")
     if method == "kmeans" and n is None:
         raise ValueError("kmeans needs the number of clusters; a gain limit applies to rb only")
+    if n is not None and u.count() + docs.count() <= most_cells(max(n, 2) if method == "kmeans" else 2):  # read by one search in a task
+        return cut(repeated_bisection(u, docs, n, limit, seed, passes) if method == "rb" else kmeans(u, docs, n, seed, passes))
     held = u.repartition("ord").persist()  # every pass joins it with the state on ord
     try:
         return cut(repeated_bisection(held, docs, n, limit, seed, passes) if method == "rb" else kmeans(held, docs, n, seed, passes))

@@ -66,6 +66,14 @@ def test_weights(spark, genres):
     assert {r["value"] for r in wt.standard_score(constant).collect()} == {50.0}
 
 
+def test_heaviest_idf_is_the_heaviest_of_idf(spark, monkeypatch):
+    features = queries.tables.token_features(spark, SMALL).filter("ord < 60").persist()
+    rows = lambda df: sorted((r["ord"], r["feature"], r["value"]) for r in df.select("ord", "feature", "value").collect())
+    found = wt.heaviest_idf(features, 60, 7)
+    assert rows(found) == rows(wt.heaviest(wt.idf(features, 60), 7)) and "BroadcastExchange" in found._jdf.queryExecution().toString()
+    assert all("hashpartitioning(feature" not in line for line in found._jdf.queryExecution().executedPlan().toString().split("\n"))
+
+
 def test_clusters(spark, letters):
     docs, features = letters
     u = cs.unit(features)
@@ -273,6 +281,35 @@ def test_sampler_matches_brute_force(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def some_vectors(spark):
+    rng = np.random.default_rng(11)
+    x = rng.random((60, 6)) ** 3
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    docs = spark.createDataFrame([(i, str(i)) for i in range(61)], "ord long, doc_id string")  # the last one has no features
+    return x, docs, spark.createDataFrame([(i, str(f), float(x[i, f])) for i in range(60) for f in range(6)], "ord long, feature string, w double")
+
+
+@pytest.mark.parametrize("method, n, limit, most", [("kmeans", 6, None, 40), ("rb", 6, None, 40), ("rb", None, 0.8, 180)])
+def test_searches_that_fit_a_task_take_few_jobs(spark, monkeypatch, method, n, limit, most):
+    """Seeds, splits and passes of a job or more each took minutes on small tables; the clusters are the same."""
+    x, docs, u = some_vectors(spark)
+    search = lambda: {r["ord"]: r["cluster_id"] for r in clustering.cluster(u, docs, method, n, limit).collect()}
+    found, jobs = jobs_of(spark, f"{method}-{n}", search)
+    all_x = np.vstack([x, np.zeros(6)])
+    assert found == (brute_clusters.kmeans(all_x, list(range(61)), n) if method == "kmeans" else brute_clusters.bisect(all_x, list(range(61)), n, limit))
+    assert 3 <= len(set(found.values())) and jobs < most
+    monkeypatch.setattr(clustering, "LOCAL_BYTES", 40_000 if n is None or method == "rb" else 0)  # only parts fit a task, or nothing
+    assert search() == found
+
+
 def test_sweeps_of_one_bucket_are_one_job(spark):
     """Lasting a job or more each, 100 sweeps of a small corpus took minutes."""
     tokens = topics.lda_tokens(queries.tables.user_event_features(spark, SMALL), 3)
