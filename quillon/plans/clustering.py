@@ -10,22 +10,26 @@ import hashlib
 import heapq
 import itertools
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillon.functions.rand import DEFAULT_SEED, SCALE, hash_rand
 from quillon.operators.cluster import choose_smartly, section, seed_weight
+from quillon.operators import refine as rf
 from quillon.operators.refine import EPSILON, best_moves, wide_composite, wide_norms
-from quillon.plans.iteration import cut, small
+from quillon.plans.iteration import cut, small, stage
 
 PASSES = 30
-#: A group of about this size in memory is searched inside one task; a cell takes 8 bytes a part at most and 150 for its columns and their copies.
+#: A group of about this size in memory is searched inside one task; a cell takes 8 bytes a part at most and 150 for its columns and their copies (less if packed).
 LOCAL_BYTES = 1_000_000_000
+#: Cells of a partition of packed vectors.
+PACKED_CELLS = 500_000
 LOG = logging.getLogger("quillon")
 #: A cluster of the bisection tree has its path as number (children 2p and 2p + 1); those below this have running numbers.
 DEEPEST = 1 << 60
@@ -53,6 +57,26 @@ class Group:
         ords, starts = np.unique(ords[order], return_index=True)
         return cls(ords, starts, np.unique(f[order], return_inverse=True)[1].astype(np.int32), w[order])
 
+    @classmethod
+    def packed(cls, rows: pa.Table) -> Group:
+        """Rows of ``Packed``, 12 bytes a cell."""
+
+        def flat(name: str, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+            data, sizes = [], []
+            for x in rows[name].chunks:
+                ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+                data.append(np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype))
+                sizes.append(np.diff(ends) // np.dtype(dtype).itemsize)
+            return np.concatenate(data), np.concatenate(sizes).astype(np.int64)
+
+        ords, (codes, sizes), (w, _) = rows["ord"].to_numpy(), flat("codes", np.int32), flat("w", np.float64)
+        order, starts = ords.argsort(), np.cumsum(sizes) - sizes
+        if (order[1:] < order[:-1]).any():
+            placed = np.cumsum(sizes[order]) - sizes[order]
+            cells = np.repeat(starts[order] - placed, sizes[order]) + np.arange(len(w))
+            ords, starts, codes, w = ords[order], placed, codes[cells], w[cells]
+        return cls(ords, starts, codes, w)
+
     def __post_init__(self) -> None:
         self.sizes = np.diff([*self.starts, len(self.w)])
         self.own = np.add.reduceat(self.w * self.w, self.starts)
@@ -91,18 +115,22 @@ class Group:
         sums = np.bincount(np.repeat(child * self.width, self.sizes) + self.codes, self.w, k * self.width).reshape(k, -1)
         return sums, np.sqrt([row @ row for row in sums])
 
+    def moves(self, child: np.ndarray, sums: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every document's best other part and the gain of moving it there."""
+        rows, dots, squares = np.arange(len(self.ords)), np.stack([self.dots(row) for row in sums], axis=1), norms * norms
+        leave = np.sqrt(np.maximum(0.0, squares[child] + self.own - 2 * dots[rows, child])) - norms[child]
+        gains = np.round(leave[:, None] + np.sqrt(np.maximum(0.0, squares + self.own[:, None] + 2 * dots)) - norms, 12)
+        gains[rows, child] = -np.inf
+        return gains.argmax(axis=1), gains.max(axis=1)
+
     def refine(self, child: np.ndarray, k: int, passes: int) -> np.ndarray:
         """The passes of ``refine``; one set of composites is held at a time."""
-        child, rows = child.astype(np.int64), np.arange(len(self.ords))
+        child = child.astype(np.int64)
         sums, norms = self.composites(child, k)
         for _ in range(passes):
-            dots, squares = np.stack([self.dots(row) for row in sums], axis=1), norms * norms
-            leave = np.sqrt(np.maximum(0.0, squares[child] + self.own - 2 * dots[rows, child])) - norms[child]
-            gains = np.round(leave[:, None] + np.sqrt(np.maximum(0.0, squares + self.own[:, None] + 2 * dots)) - norms, 12)
-            gains[rows, child] = -np.inf
-            to, best = gains.argmax(axis=1), gains.max(axis=1)
+            to, best = self.moves(child, sums, norms)
             tried = np.where(best > EPSILON, to, child)
-            del sums, dots, gains
+            del sums
             sums, new = self.composites(tried, k)
             if new.sum() < norms.sum() - EPSILON:
                 tried = child.copy()
@@ -121,12 +149,16 @@ class Group:
         if len(self.ords) < 2:
             return np.zeros(len(self.ords), np.int64)
         near = self.similar(int(self.rand(seed, f"first|{path}").argmin()))
-        away = 1.0 - near
-        race = np.where(away > 1e-12, -np.log(second) / np.where(away > 1e-12, away, 1.0), 1e300)
-        closer = self.similar(int(race.argmin()))
+        closer = self.similar(int(race(near, second).argmin()))
         return self.refine(np.round(closer, 9) > np.round(near, 9), 2, passes)
 
 
+def race(near: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Times of the race for the second seed, by similarity to the first and the documents' numbers."""
+    away = 1.0 - near
+    return np.where(away > 1e-12, -np.log(second) / np.where(away > 1e-12, away, 1.0), 1e300)
+
+
 def refine_group(pdf: pd.DataFrame, k: int, passes: int) -> pd.DataFrame:
     """The passes of ``refine`` over one group's rows (ord, child, f, w), in memory."""
     group = Group.of(pdf)
@@ -153,39 +185,227 @@ def kmeans_group(pdf: pd.DataFrame, n: int, seed: int, passes: int) -> pd.DataFr
     return pd.DataFrame({"ord": group.ords, "child": (group.refine(child, n, passes) if n > 1 else child).astype("int32")})
 
 
-def tree_group(pdf: pd.DataFrame, n: int, seed: int, passes: int) -> pd.DataFrame:
-    """The best-first search below one cluster (grp, ord, f, w) up to n leaves, in memory.
+def tree_group(rows: pa.Table, n: int | None, limit: float | None, seed: int, passes: int) -> pa.Table:
+    """The best-first search below one cluster (grp, and the rows of ``Packed``) up to n leaves or while gains reach the limit, in memory.
 
     Rows with an ord give a document's deepest cluster (path); those without one a split
     (path, its gain and the sizes of both children). Clusters beyond the deepest number are not split.
     """
-    whole, root = Group.of(pdf), int(pdf["grp"].iloc[0])
-    second = whole.rand(seed, "second")
-    at, splits, heap = np.full(len(whole.ords), root), [], []
+    root, whole = rows["grp"][0].as_py(), Group.packed(rows)
+    del rows
+    ords, second = whole.ords, whole.rand(seed, "second")
+    at, splits, heap, held = np.full(len(ords), root), [], [], {}
 
-    def push(path: int) -> bool:
-        mask = at == path
-        gain, size = 0.0, int(mask.sum())
+    def push(path: int, group: Group, mine: np.ndarray) -> bool:
+        gain, size = 0.0, len(mine)
         if size > 1:
             if not 0 < path < DEEPEST:
                 return False
-            group = whole.take(mask)
-            child = group.split(path, seed, passes, second[mask])
+            child = group.split(path, seed, passes, second[mine])
             sums, norms = group.composites(child, 2)
             both = sums.sum(axis=0)
             gain = round(float(norms.sum() - np.sqrt(both @ both)), 12)
-            at[mask] = 2 * path + child
+            at[mine] = 2 * path + child
             splits.append((path, gain, size - int(child.sum()), int(child.sum())))
-        heapq.heappush(heap, (-gain, path, size))
+            if gain > EPSILON and (limit is None or gain >= limit):
+                held[path] = group, mine, child
+        heapq.heappush(heap, (-gain, path))
         return True
 
-    known = push(root)
-    while known and len(heap) < n and -heap[0][0] > EPSILON:
-        _, path, _ = heapq.heappop(heap)  # its documents stand at its children
-        known = all([push(c) for c in (2 * path, 2 * path + 1)])
-    out = pd.DataFrame({"ord": whole.ords, "path": at, "gain": 0.0, "size0": 0, "size1": 0}).astype({"ord": "Int64"})
-    made = pd.DataFrame(splits, columns=["path", "gain", "size0", "size1"])
-    return pd.concat([out, made.assign(ord=pd.array([None] * len(made), "Int64"))[out.columns]])
+    known = push(root, whole, np.arange(len(ords)))
+    del whole
+    while known and (n is None or len(heap) < n) and heap[0][1] in held:
+        path = heapq.heappop(heap)[1]  # its documents stand at its children
+        group, mine, child = held.pop(path)
+        parts = [(2 * path + c, group.take(child == c), mine[child == c]) if (child == c).any() else (2 * path + c, None, mine[:0]) for c in (0, 1)]
+        del group
+        while parts:
+            known &= push(*parts.pop(0))
+    made = [list(x) for x in zip(*splits, strict=True)] or [[], [], [], []]
+    blank, none = np.zeros(len(ords), np.int64), len(splits)
+    columns = (np.concatenate([at, np.array(made[0], np.int64)]), np.concatenate([np.zeros(len(ords)), made[1]]), *[np.concatenate([blank, np.array(x, np.int64)]) for x in made[2:]])
+    return pa.table([pa.concat_arrays([pa.array(ords, pa.int64()), pa.nulls(none, pa.int64())]), *map(pa.array, columns)], ["ord", "path", "gain", "size0", "size1"])
+
+
+@dataclass
+class Packed:
+    """Unit vectors as a row (ord, codes, w) a document: the bytes of its features' int32 codes below width, and of its doubles.
+
+    A document without features has one cell of weight 0. The driver may hold a composite and the documents of a cluster.
+    """
+
+    rows: DataFrame
+    width: int
+
+
+def pack(u: DataFrame, docs: DataFrame) -> Packed | None:
+    """The vectors of all docs; None with more features or documents than may be broadcast."""
+    both = u.select("ord", F.xxhash64("feature").alias("f"), "w").union(docs.select("ord", F.lit(None).cast("long"), F.lit(None).cast("double")))
+    cells, total = both.agg(F.count("f"), F.count(F.when(F.col("f").isNull(), 1))).first()
+    if total > rf.BROADCAST_CELLS:
+        return None
+    most = rf.BROADCAST_CELLS // 2
+    table = np.sort(u.select(F.xxhash64("feature").alias("f")).distinct().limit(most + 1).toArrow()["f"].to_numpy())
+    if len(table) > most:
+        return None
+    shared = u.sparkSession.sparkContext.broadcast(table)
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        cells = pa.Table.from_batches(got)
+        real = cells["f"].is_valid().to_numpy()
+        docs = np.unique(cells["ord"].to_numpy()[~real])
+        cells = cells.filter(pa.array(real))
+        ords, f, w = (cells[c].to_numpy() for c in ("ord", "f", "w"))
+        mine = np.isin(ords, docs)
+        bare = np.setdiff1d(docs, ords)
+        ords, w = np.concatenate([ords[mine], bare]), np.concatenate([w[mine], np.zeros(len(bare))])
+        codes = np.concatenate([np.searchsorted(shared.value, f[mine]), np.zeros(len(bare), np.int64)]).astype(np.int32)
+        order = np.lexsort((codes, ords))
+        ends = np.append(np.searchsorted(ords[order], docs), len(ords))
+
+        def binary(x: np.ndarray) -> pa.Array:
+            return pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+        made = pa.table([pa.array(docs, pa.int64()), binary(codes[order]), binary(w[order])], ["ord", "codes", "w"])
+        yield from made.to_batches(max_chunksize=10_000)
+
+    parts = (cells + total) // PACKED_CELLS + 1
+    rows = stage(both.repartition(parts, "ord").mapInArrow(packs, "ord long, codes binary, w binary"), "packed")
+    shared.destroy()
+    return Packed(rows, max(1, len(table)))
+
+
+#: What the tasks of ``split_packed`` give: parts of composites by slice of the codes; below 0, moves (ords, parts) and a best document (ord, its vector).
+SUMS = "slice int, value double, ord long, part int, codes binary, w binary"
+
+
+def told(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["slice", "value", "ord", "part", "codes", "w"])
+
+
+def sliced(sums: np.ndarray, step: int) -> list[tuple]:
+    """Rows of the codes whose sums (a row a part) are not all 0."""
+    codes = np.flatnonzero((sums != 0).any(axis=0))
+    cuts = np.searchsorted(codes, np.arange(0, sums.shape[1] + step, step))
+    return [(i, 0.0, 0, 0, codes[a:b].astype(np.int32).tobytes(), sums[:, codes[a:b]].tobytes()) for i, (a, b) in enumerate(itertools.pairwise(cuts)) if b > a]
+
+
+def split_packed(packed: Packed, ords: np.ndarray, path: int, seed: int, passes: int) -> tuple[np.ndarray, float]:
+    """Child of every document (ords, ascending) of one cluster and the split's gain: ``Group.split`` with a job a pass.
+
+    Tasks stream over the documents and give sums over those that move, added up by slices of
+    the codes before the driver sees them; the driver holds the two composites, and the
+    documents' numbers and children.
+    """
+    sc, width = packed.rows.sparkSession.sparkContext, packed.width
+    step = max(1, -(-width // (2 * sc.defaultParallelism)))
+    members = sc.broadcast(ords)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Group, np.ndarray]]:
+        """Documents of the cluster, a batch at a time, and their places in it."""
+        for batch in batches:
+            own = batch["ord"].to_numpy()
+            at = np.minimum(np.searchsorted(members.value, own), len(members.value) - 1)
+            mine = members.value[at] == own
+            if mine.any():
+                group = Group.packed(pa.Table.from_batches([batch]).filter(pa.array(mine)))
+                yield group, np.searchsorted(members.value, group.ords)
+
+    def vector(codes: bytes, w: bytes) -> np.ndarray:
+        return np.bincount(np.frombuffer(codes, np.int32), np.frombuffer(w, np.float64), width)
+
+    def cells(group: Group, row: int) -> tuple[bytes, bytes]:
+        mine = slice(group.starts[row], group.starts[row] + group.sizes[row])
+        return group.codes[mine].tobytes(), group.w[mine].tobytes()
+
+    def added(key: tuple, rows: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return rows
+        low, sums = key[0].as_py() * step, np.zeros((2, step))
+        for codes, w in zip(rows["codes"].to_pylist(), rows["w"].to_pylist(), strict=True):
+            places = np.frombuffer(codes, np.int32) - low
+            sums[:, places] += np.frombuffer(w, np.float64).reshape(2, -1)
+        places = np.flatnonzero((sums != 0).any(axis=0))
+        return pa.Table.from_batches([told([(key[0].as_py(), 0.0, 0, 0, (places + low).astype(np.int32).tobytes(), sums[:, places].tobytes())])])
+
+    def ran(values: tuple, task: Callable[[Iterator[pa.RecordBatch], tuple], Iterator[pa.RecordBatch]], add: bool = True) -> list[tuple]:
+        shared = sc.broadcast(values)
+        out = packed.rows.mapInArrow(lambda batches: task(batches, shared.value), SUMS)
+        rows = (out.groupBy("slice").applyInArrow(added, SUMS) if add else out).toArrow()
+        shared.destroy()
+        return list(zip(*[rows[c].to_pylist() for c in rows.column_names], strict=True))
+
+    def draw(batches: Iterator[pa.RecordBatch], shared: tuple) -> Iterator[pa.RecordBatch]:
+        first = vector(*shared)
+        for group, _ in each(batches):
+            times = race(group.dots(first), group.rand(seed, "second"))
+            row = int(times.argmin())
+            yield told([(-1, float(times[row]), int(group.ords[row]), 0, *cells(group, row))])
+
+    def move(batches: Iterator[pa.RecordBatch], shared: tuple) -> Iterator[pa.RecordBatch]:
+        child, one, two = shared  # children, composites and norms; at the start no children, but both seeds
+        a, b = (vector(*one), vector(*two)) if child is None else (None, None)
+        sums, moved, parts, best = np.zeros((2, width)), [], [], None
+        for group, at in each(batches):
+            if child is None:
+                to = (np.round(group.dots(b), 9) > np.round(group.dots(a), 9)).astype(np.int64)
+                gains = np.ones(len(at))
+            else:
+                to, gains = group.moves(child[at].astype(np.int64), one, two)
+                row = int(gains.argmax())
+                if best is None or (-gains[row], group.ords[row]) < (-best[1], best[2]):
+                    best = (-1, float(gains[row]), int(group.ords[row]), int(to[row]), *cells(group, row))
+            goes = gains > EPSILON
+            kept = np.repeat(goes, group.sizes)
+            codes, w, into = group.codes[kept], group.w[kept], np.repeat(to[goes], group.sizes[goes])
+            for part in (0, 1):
+                signed = np.where(into == part, w, 0.0 if child is None else -w)
+                sums[part] += np.bincount(codes, signed, width)
+            moved.append(at[goes])
+            parts.append(to[goes])
+        if moved:
+            yield told([*sliced(sums, step), (-2, 0.0, 0, 0, np.concatenate(moved).tobytes(), np.concatenate(parts).astype(np.uint8).tobytes()), *([best] if best else [])])
+
+    def result(rows: list[tuple], child: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        child, sums = child.copy(), sums.copy()
+        for part, _, _, _, codes, w in rows:
+            if part >= 0:
+                sums[:, np.frombuffer(codes, np.int32)] += np.frombuffer(w, np.float64).reshape(2, -1)
+            elif part == -2:
+                child[np.frombuffer(codes, np.int64)] = np.frombuffer(w, np.uint8)
+        return child, sums
+
+    start = Group(ords, np.arange(len(ords)), np.zeros(len(ords), np.int32), np.zeros(len(ords)))
+    seed0 = int(ords[start.rand(seed, f"first|{path}").argmin()])
+    row = packed.rows.filter(F.col("ord") == seed0).first()
+    first = bytes(row["codes"]), bytes(row["w"])
+    second = min(ran(first, draw, add=False), key=lambda r: r[1:3])[4:]
+    child, sums = result(ran((None, first, second), move), np.zeros(len(ords), np.uint8), np.zeros((2, width)))
+    length = lambda sums: np.sqrt([x @ x for x in sums])
+    norms = length(sums)
+    for _ in range(passes):
+        rows = ran((child, sums, norms), move)
+        tried, more = result(rows, child, sums)
+        new = length(more)
+        if new.sum() < norms.sum() - EPSILON:
+            _, _, one, to, codes, w = min((r for r in rows if r[0] == -1), key=lambda r: (-r[1], r[2]))
+            tried, more, at = child.copy(), sums.copy(), np.searchsorted(ords, one)
+            more[to] += vector(codes, w)
+            more[child[at]] -= vector(codes, w)
+            tried[at] = to
+            new = length(more)
+        rose = new.sum() > norms.sum() + EPSILON
+        if new.sum() > norms.sum():
+            child, sums, norms = tried, more, new
+        if not rose:
+            break
+    members.destroy()
+    both = sums.sum(axis=0)
+    return child, round(float(norms.sum() - np.sqrt(both @ both)), 12)
 
 
 def cells_of(u: DataFrame, members: DataFrame) -> DataFrame:
@@ -325,14 +545,29 @@ def split_groups(u: DataFrame, members: DataFrame, seed: int, passes: int) -> Da
     return done.union(rest.select("ord", "grp", F.col("child").cast("int"))) if done is not None else rest
 
 
-def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limit: float | None = None, seed: int = DEFAULT_SEED, passes: int = PASSES) -> DataFrame:
+def moved_down(trail: DataFrame, path: int, ords: np.ndarray, child: np.ndarray) -> DataFrame:
+    """The trail with the documents of one cluster (ords, ascending) at its children."""
+    shared = trail.sparkSession.sparkContext.broadcast((ords, child))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, part = shared.value
+        for batch in batches:
+            own, grp = batch["ord"].to_numpy(), batch["grp"].to_numpy()
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            yield pa.RecordBatch.from_arrays([batch["ord"], pa.array(np.where(grp == path, 2 * path + part[at].astype(np.int64), grp))], ["ord", "grp"])
+
+    return trail.select("ord", "grp").mapInArrow(down, "ord long, grp long")
+
+
+def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limit: float | None = None, seed: int = DEFAULT_SEED, passes: int = PASSES, packed: Packed | None = None) -> DataFrame:
     """(ord, cluster_id): best-first bisection until n clusters, or while the best gain reaches the limit, however many clusters that makes.
 
     The split of a cluster depends on its members and path only, so each round splits every
     unsplit cluster of the tree that the search can reach in one job; the driver then replays the best-first search on
     the gains (a heap of at most one entry per cluster). Clusters are numbered from 1 by
     ascending split gain, then path; clusters without documents are not counted. n wins over
-    limit; a best gain of at most 1e-12 always stops.
+    limit; a best gain of at most 1e-12 always stops. Given the vectors ``packed`` too, the
+    search below a cluster that fits a task is done there, and larger ones are split from them.
     """
     if n is None and limit is None:
         raise ValueError("give n or limit")
@@ -370,19 +605,30 @@ def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limi
             if nodes[p].size < 2:
                 nodes[p].gain = 0.0
         todo = [p for p in todo if nodes[p].size >= 2]
-        if todo and n is not None and (numbered := [p for p in todo if 0 < p < DEEPEST]):
-            # up to n leaves lie below a cluster; where it fits a task, all are found there in one job
-            wanted = small(docs.sparkSession.createDataFrame([(p,) for p in numbered], "grp long"))
-            members = cut(trail.join(wanted, "grp").select("ord", "grp"))
-            fits, _ = by_room(u, members)
-            below = cells_of(u, members.join(small(fits), "grp").select("ord", "grp"))
-            found = cut(below.groupBy("grp").applyInPandas(lambda pdf: tree_group(pdf, n, seed, passes), "ord long, path long, gain double, size0 long, size1 long"))
-            for r in sorted(found.filter("ord IS NULL").collect(), key=lambda r: r["path"]):  # fewer than 2 n a group
-                nodes[r["path"]].gain, nodes[r["path"]].children = r["gain"], [2 * r["path"], 2 * r["path"] + 1]
-                for c, size in zip(nodes[r["path"]].children, (r["size0"], r["size1"]), strict=True):
-                    nodes[c] = Node(c, size, r["path"], None if size >= 2 else 0.0)
-            deepest = found.filter("ord IS NOT NULL").select("ord", F.col("path").alias("next"))
-            trail = cut(trail.join(deepest, "ord", "left").select("ord", F.coalesce("next", "grp").alias("grp")))
+        if packed and (numbered := [p for p in todo if 0 < p < DEEPEST]):
+            # where a cluster fits a task, all of the search below it is done there, in one job for all such clusters
+            spark = docs.sparkSession
+            at = lambda paths: trail.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], "grp long")), "grp").select("ord", "grp")  # noqa: B023, E731
+            members = small(at(numbered))
+            counted = packed.rows.select("ord", (F.length("codes") / 4).cast("long").alias("n")).join(members, "ord").groupBy("grp").agg(F.sum("n").alias("n"))
+            room = {r["grp"]: r["n"] <= most_cells(2) for r in counted.collect()}  # a row per cluster
+            if fits := [p for p in numbered if room[p]]:
+                below = members if len(fits) == len(numbered) else small(at(fits))
+                tree = lambda rows: tree_group(rows, n, limit, seed, passes)
+                found = cut(packed.rows.join(below, "ord").groupBy("grp").applyInArrow(tree, "ord long, path long, gain double, size0 long, size1 long"))
+                for r in sorted(found.filter("ord IS NULL").collect(), key=lambda r: r["path"]):  # a row per split
+                    nodes[r["path"]].gain, nodes[r["path"]].children = r["gain"], [2 * r["path"], 2 * r["path"] + 1]
+                    for c, size in zip(nodes[r["path"]].children, (r["size0"], r["size1"]), strict=True):
+                        nodes[c] = Node(c, size, r["path"], None if size >= 2 else 0.0)
+                deepest = found.filter("ord IS NOT NULL").select("ord", F.col("path").alias("next"))
+                trail = cut(trail.join(deepest, "ord", "left").select("ord", F.coalesce("next", "grp").alias("grp")))
+            for p in (p for p in numbered if not room[p]):
+                ords = np.sort(trail.filter(F.col("grp") == p).select("ord").toArrow()["ord"].to_numpy())
+                child, nodes[p].gain = split_packed(packed, ords, p, seed, passes)
+                nodes[p].children = [2 * p, 2 * p + 1]
+                for c in (0, 1):
+                    nodes[2 * p + c] = Node(2 * p + c, int((child == c).sum()), p)
+                trail = cut(moved_down(trail, p, ords, child))
             todo = [p for p in todo if nodes[p].gain is None]
         if todo:
             wanted = small(docs.sparkSession.createDataFrame([(p,) for p in todo], "grp long"))
@@ -427,8 +673,10 @@ def cluster(u: DataFrame, docs: DataFrame, method: str = "rb", n: int | None = N
         raise ValueError(f"unknown method: {method}")
     if method == "kmeans" and n is None:
         raise ValueError("kmeans needs the number of clusters; a gain limit applies to rb only")
-    if n is not None and u.count() + docs.count() <= most_cells(max(n, 2) if method == "kmeans" else 2):  # read by one search in a task
-        return cut(repeated_bisection(u, docs, n, limit, seed, passes) if method == "rb" else kmeans(u, docs, n, seed, passes))
+    if method == "rb" and (n is not None or limit is not None) and (packed := pack(u, docs)):
+        return cut(repeated_bisection(u, docs, n, limit, seed, passes, packed))
+    if method == "kmeans" and u.count() + docs.count() <= most_cells(max(n, 2)):  # read by one search in a task
+        return cut(kmeans(u, docs, n, seed, passes))
     held = u.repartition("ord").persist()  # every pass joins it with the state on ord
     try:
         return cut(repeated_bisection(held, docs, n, limit, seed, passes) if method == "rb" else kmeans(held, docs, n, seed, passes))

@@ -310,6 +310,32 @@ def test_searches_that_fit_a_task_take_few_jobs(spark, monkeypatch, method, n, l
     assert search() == found
 
 
+@pytest.mark.parametrize("n, limit", [(6, None)])
+def test_bisection_of_packed_vectors_is_alike_at_every_size(spark, monkeypatch, n, limit):
+    """Every split as a job a pass over packed vectors, and without them; a cluster too large for a task took many jobs a pass."""
+    x, docs, u = some_vectors(spark)
+    want = brute_clusters.bisect(np.vstack([x, np.zeros(6)]), list(range(61)), n, limit)
+    search = lambda: {r["ord"]: r["cluster_id"] for r in clustering.cluster(u, docs, "rb", n, limit).collect()}
+    monkeypatch.setattr(clustering, "PACKED_CELLS", 100)
+    found, jobs = jobs_of(spark, f"limit-{n}", search)
+    assert found == want and jobs < 40
+    monkeypatch.setattr(clustering, "LOCAL_BYTES", 0)
+    assert search() == want
+    monkeypatch.setattr(rf, "BROADCAST_CELLS", 0)
+    assert clustering.pack(u, docs) is None
+
+
+def test_pruning_gets_whole_documents(spark):
+    """Features dealt by document and feature let every partition keep 50 of a document, so nearly all were shuffled."""
+    counts = queries.tables.token_features(spark, SMALL, together=True)
+    rows = counts.withColumn("part", F.spark_partition_id())
+    assert rows.groupBy("ord").agg(F.countDistinct("part").alias("n")).filter("n > 1").isEmpty()
+    assert "hashpartitioning(ord" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(counts.collect()) == sorted(queries.tables.token_features(spark, SMALL).collect())
+    pruned = queries._pruned(spark, SMALL)
+    assert pruned.groupBy("ord").count().agg(F.max("count")).first()[0] == 50
+
+
 def test_sweeps_of_one_bucket_are_one_job(spark):
     """Lasting a job or more each, 100 sweeps of a small corpus took minutes."""
     tokens = topics.lda_tokens(queries.tables.user_event_features(spark, SMALL), 3)
