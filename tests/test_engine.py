@@ -312,7 +312,7 @@ def test_searches_that_fit_a_task_take_few_jobs(spark, monkeypatch, method, n, l
 
 @pytest.mark.parametrize("n, limit", [(6, None), (None, 0.8)])
 def test_bisection_of_packed_vectors_is_alike_at_every_size(spark, monkeypatch, n, limit):
-    """Every split as a job a pass over packed vectors, and without them; a cluster too large for a task took many jobs a pass."""
+    """Inside one task, and with a job a pass over packed vectors; a cluster too large for a task took many jobs a pass."""
     x, docs, u = some_vectors(spark)
     want = brute_clusters.bisect(np.vstack([x, np.zeros(6)]), list(range(61)), n, limit)
     search = lambda: {r["ord"]: r["cluster_id"] for r in clustering.cluster(u, docs, "rb", n, limit).collect()}
