@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.rand import DEFAULT_SEED, SCALE, hash_rand
@@ -28,6 +28,10 @@ from quillon.plans.iteration import cut, small, stage
 PASSES = 30
 #: A group of about this size in memory is searched inside one task; a cell takes 8 bytes a part at most and 150 for its columns and their copies (less if packed).
 LOCAL_BYTES = 1_000_000_000
+#: Bytes of a packed cell where most of a group's cells are not 0 and it is held as a matrix.
+DENSE_BYTES = 50
+#: Below a larger cluster a search to a limit goes on in other tasks, a cluster each.
+SHARED_CELLS = 2_000_000
 #: Cells of a partition of packed vectors.
 PACKED_CELLS = 500_000
 LOG = logging.getLogger("quillon")
@@ -42,11 +46,14 @@ def most_cells(k: int) -> int:
 
 @dataclass
 class Group:
-    """Unit vectors in memory, by document and feature: a document's cells start at its place in ``starts``."""
+    """Unit vectors in memory, by document and feature: a document's cells start at its place in ``starts``.
+
+    A group with at least every second cell of its documents and features is held as a matrix w, without starts and codes.
+    """
 
     ords: np.ndarray
-    starts: np.ndarray
-    codes: np.ndarray
+    starts: np.ndarray | None
+    codes: np.ndarray | None
     w: np.ndarray
 
     @classmethod
@@ -78,11 +85,30 @@ class Group:
         return cls(ords, starts, codes, w)
 
     def __post_init__(self) -> None:
-        self.sizes = np.diff([*self.starts, len(self.w)])
-        self.own = np.add.reduceat(self.w * self.w, self.starts)
-        self.width = int(self.codes.max()) + 1
+        if self.codes is not None:
+            self.sizes = np.diff(self.starts, append=len(self.w))
+            self.width = int(self.codes.max()) + 1
+            if len(self.ords) * self.width <= 2 * len(self.w):
+                self._fill()
+        if self.codes is None:
+            self.width = self.w.shape[1]
+            self.own = np.einsum("ij,ij->i", self.w, self.w)
+        else:
+            self.own = np.add.reduceat(self.w * self.w, self.starts)
+
+    def _fill(self) -> None:
+        """Make the matrix, unless a document has a feature twice."""
+        up = self.codes[1:] > self.codes[:-1]
+        up[self.starts[1:] - 1] = True
+        if up.all():
+            full, shape = len(self.w) == len(self.ords) * self.width, (len(self.ords), self.width)
+            if not full:
+                self.w = np.bincount(np.repeat(np.arange(shape[0]) * shape[1], self.sizes) + self.codes, self.w, shape[0] * shape[1])
+            self.w, self.codes, self.starts = self.w.reshape(shape), None, None
 
     def take(self, mask: np.ndarray) -> Group:
+        if self.codes is None:
+            return Group(self.ords[mask], None, None, self.w[mask])
         cells, sizes = np.repeat(mask, self.sizes), self.sizes[mask]
         seen = np.zeros(self.width, np.int32)
         codes = self.codes[cells]
@@ -90,11 +116,15 @@ class Group:
         return Group(self.ords[mask], np.cumsum(sizes) - sizes, (np.cumsum(seen, dtype=np.int32) - 1)[codes], self.w[cells])
 
     def dots(self, x: np.ndarray) -> np.ndarray:
-        """Inner products of all documents with one vector."""
+        """Inner products of all documents with one vector; alike for equal documents."""
+        if self.codes is None:
+            return np.einsum("ij,j->i", self.w, x[: self.width])
         return np.add.reduceat(x[self.codes] * self.w, self.starts)
 
     def similar(self, row: int) -> np.ndarray:
         """Inner products of all documents with that of the row."""
+        if self.codes is None:
+            return self.dots(self.w[row])
         cells, x = slice(self.starts[row], self.starts[row] + self.sizes[row]), np.zeros(self.width)
         x[self.codes[cells]] = self.w[cells]
         return self.dots(x)
@@ -112,9 +142,25 @@ class Group:
 
     def composites(self, child: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Composites of the parts, a row each, and their norms."""
-        sums = np.bincount(np.repeat(child * self.width, self.sizes) + self.codes, self.w, k * self.width).reshape(k, -1)
+        if self.codes is None:
+            sums = np.stack([self.total(child == j) for j in range(k)])
+        else:
+            sums = np.bincount(np.repeat(child * self.width, self.sizes) + self.codes, self.w, k * self.width).reshape(k, -1)
         return sums, np.sqrt([row @ row for row in sums])
 
+    def total(self, times: np.ndarray) -> np.ndarray:
+        """Sum of all documents, each so many times."""
+        if self.codes is None:
+            return np.einsum("i,ij->j", times.astype(float), self.w)
+        return np.bincount(self.codes, self.w * np.repeat(times.astype(float), self.sizes), self.width)
+
+    def cells(self, row: int) -> tuple[bytes, bytes]:
+        """Codes and weights of a document."""
+        if self.codes is None:
+            return np.arange(self.width, dtype=np.int32).tobytes(), self.w[row].tobytes()
+        mine = slice(self.starts[row], self.starts[row] + self.sizes[row])
+        return self.codes[mine].tobytes(), self.w[mine].tobytes()
+
     def moves(self, child: np.ndarray, sums: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every document's best other part and the gain of moving it there."""
         rows, dots, squares = np.arange(len(self.ords)), np.stack([self.dots(row) for row in sums], axis=1), norms * norms
@@ -185,11 +231,12 @@ def kmeans_group(pdf: pd.DataFrame, n: int, seed: int, passes: int) -> pd.DataFr
     return pd.DataFrame({"ord": group.ords, "child": (group.refine(child, n, passes) if n > 1 else child).astype("int32")})
 
 
-def tree_group(rows: pa.Table, n: int | None, limit: float | None, seed: int, passes: int) -> pa.Table:
+def tree_group(rows: pa.Table, n: int | None, limit: float | None, seed: int, passes: int, shared: int) -> pa.Table:
     """The best-first search below one cluster (grp, and the rows of ``Packed``) up to n leaves or while gains reach the limit, in memory.
 
     Rows with an ord give a document's deepest cluster (path); those without one a split
-    (path, its gain and the sizes of both children). Clusters beyond the deepest number are not split.
+    (path, its gain and the sizes of both children). Clusters beyond the deepest number are not split,
+    and without n nothing is below one of more than ``shared`` cells: its children are for other tasks.
     """
     root, whole = rows["grp"][0].as_py(), Group.packed(rows)
     del rows
@@ -212,7 +259,7 @@ def tree_group(rows: pa.Table, n: int | None, limit: float | None, seed: int, pa
         heapq.heappush(heap, (-gain, path))
         return True
 
-    known = push(root, whole, np.arange(len(ords)))
+    known = push(root, whole, np.arange(len(ords))) and (n is not None or whole.w.size <= shared)
     del whole
     while known and (n is None or len(heap) < n) and heap[0][1] in held:
         path = heapq.heappop(heap)[1]  # its documents stand at its children
@@ -236,6 +283,50 @@ class Packed:
 
     rows: DataFrame
     width: int
+    #: The same in long form, as a plan, if it was not packed from that.
+    u: DataFrame | None = None
+
+
+def packed_table(docs: np.ndarray, ends: np.ndarray, codes: np.ndarray, w: np.ndarray) -> pa.Table:
+    """Rows of ``Packed``; ends: where the cells of each document start, and the last end."""
+
+    def binary(x: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+    return pa.table([pa.array(docs, pa.int64()), binary(codes), binary(w)], ["ord", "codes", "w"])
+
+
+def pack_arrays(rows: DataFrame, u: DataFrame) -> Packed | None:
+    """Unit vectors of rows (ord, x: an array with a feature a position), u in long form, without making a row a cell.
+
+    None where ords are missing or repeated, or with more positions or documents than may be broadcast.
+    """
+    total, distinct, width = rows.agg(F.count(F.lit(1)), F.count_distinct("ord"), F.max(F.size("x"))).first()
+    width = max(1, width or 1)
+    if not total or distinct < total or max(total, 2 * width) > rf.BROADCAST_CELLS:
+        return None
+    step = max(1, PACKED_CELLS // width)
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                sizes = part["x"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                x = part["x"].flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(float)
+                doc = np.repeat(np.arange(len(part)), sizes)
+                code = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                norm = np.sqrt(np.bincount(doc, x * x, len(part)))[doc]
+                real = x != 0
+                w = np.divide(x, norm, out=np.zeros(len(x)), where=norm != 0)[real]
+                doc, code = doc[real], code[real]
+                bare = np.setdiff1d(np.arange(len(part)), doc)
+                places = np.searchsorted(doc, bare)
+                doc, code, w = (np.insert(a, places, b) for a, b in ((doc, bare), (code, 0), (w, 0.0)))
+                ends = np.searchsorted(doc, np.arange(len(part) + 1))
+                yield from packed_table(part["ord"].to_numpy(), ends, code.astype(np.int32), w).to_batches()
+
+    dealt = rows.repartition(total * width // PACKED_CELLS + 1, "ord")
+    return Packed(stage(dealt.mapInArrow(packs, "ord long, codes binary, w binary"), "packed"), width, u)
 
 
 def pack(u: DataFrame, docs: DataFrame) -> Packed | None:
@@ -265,12 +356,7 @@ def pack(u: DataFrame, docs: DataFrame) -> Packed | None:
         codes = np.concatenate([np.searchsorted(shared.value, f[mine]), np.zeros(len(bare), np.int64)]).astype(np.int32)
         order = np.lexsort((codes, ords))
         ends = np.append(np.searchsorted(ords[order], docs), len(ords))
-
-        def binary(x: np.ndarray) -> pa.Array:
-            return pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
-
-        made = pa.table([pa.array(docs, pa.int64()), binary(codes[order]), binary(w[order])], ["ord", "codes", "w"])
-        yield from made.to_batches(max_chunksize=10_000)
+        yield from packed_table(docs, ends, codes[order], w[order]).to_batches(max_chunksize=10_000)
 
     parts = (cells + total) // PACKED_CELLS + 1
     rows = stage(both.repartition(parts, "ord").mapInArrow(packs, "ord long, codes binary, w binary"), "packed")
@@ -318,10 +404,6 @@ def split_packed(packed: Packed, ords: np.ndarray, path: int, seed: int, passes:
     def vector(codes: bytes, w: bytes) -> np.ndarray:
         return np.bincount(np.frombuffer(codes, np.int32), np.frombuffer(w, np.float64), width)
 
-    def cells(group: Group, row: int) -> tuple[bytes, bytes]:
-        mine = slice(group.starts[row], group.starts[row] + group.sizes[row])
-        return group.codes[mine].tobytes(), group.w[mine].tobytes()
-
     def added(key: tuple, rows: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return rows
@@ -344,7 +426,7 @@ def split_packed(packed: Packed, ords: np.ndarray, path: int, seed: int, passes:
         for group, _ in each(batches):
             times = race(group.dots(first), group.rand(seed, "second"))
             row = int(times.argmin())
-            yield told([(-1, float(times[row]), int(group.ords[row]), 0, *cells(group, row))])
+            yield told([(-1, float(times[row]), int(group.ords[row]), 0, *group.cells(row))])
 
     def move(batches: Iterator[pa.RecordBatch], shared: tuple) -> Iterator[pa.RecordBatch]:
         child, one, two = shared  # children, composites and norms; at the start no children, but both seeds
@@ -358,13 +440,10 @@ def split_packed(packed: Packed, ords: np.ndarray, path: int, seed: int, passes:
                 to, gains = group.moves(child[at].astype(np.int64), one, two)
                 row = int(gains.argmax())
                 if best is None or (-gains[row], group.ords[row]) < (-best[1], best[2]):
-                    best = (-1, float(gains[row]), int(group.ords[row]), int(to[row]), *cells(group, row))
+                    best = (-1, float(gains[row]), int(group.ords[row]), int(to[row]), *group.cells(row))
             goes = gains > EPSILON
-            kept = np.repeat(goes, group.sizes)
-            codes, w, into = group.codes[kept], group.w[kept], np.repeat(to[goes], group.sizes[goes])
             for part in (0, 1):
-                signed = np.where(into == part, w, 0.0 if child is None else -w)
-                sums[part] += np.bincount(codes, signed, width)
+                sums[part, : group.width] += group.total(np.where(goes, np.where(to == part, 1, 0 if child is None else -1), 0))
             moved.append(at[goes])
             parts.append(to[goes])
         if moved:
@@ -545,6 +624,19 @@ def split_groups(u: DataFrame, members: DataFrame, seed: int, passes: int) -> Da
     return done.union(rest.select("ord", "grp", F.col("child").cast("int"))) if done is not None else rest
 
 
+def shared_out(spark: SparkSession, loads: dict[int, int], most: int) -> tuple[DataFrame, int]:
+    """(grp, slot) and the number of partitions: so that, dealt by slot, the groups' loads are spread over up to so many partitions evenly."""
+    parts = min(len(loads), most)
+    key, at = F.col("id").cast("int").alias("slot"), F.expr(f"pmod(hash(int(id)), {parts})").alias("at")
+    keys = {r["at"]: r["slot"] for r in spark.range(64 * parts + 1000).select(key, at).groupBy("at").agg(F.min("slot").alias("slot")).collect()}
+    heap, rows = [(0, slot) for slot in sorted(keys.values())], []
+    for grp, load in sorted(loads.items(), key=lambda x: (-x[1], x[0])):
+        taken, slot = heapq.heappop(heap)
+        rows.append((grp, slot))
+        heapq.heappush(heap, (taken + load, slot))
+    return spark.createDataFrame(rows, "grp long, slot int"), parts
+
+
 def moved_down(trail: DataFrame, path: int, ords: np.ndarray, child: np.ndarray) -> DataFrame:
     """The trail with the documents of one cluster (ords, ascending) at its children."""
     shared = trail.sparkSession.sparkContext.broadcast((ords, child))
@@ -559,7 +651,7 @@ def moved_down(trail: DataFrame, path: int, ords: np.ndarray, child: np.ndarray)
     return trail.select("ord", "grp").mapInArrow(down, "ord long, grp long")
 
 
-def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limit: float | None = None, seed: int = DEFAULT_SEED, passes: int = PASSES, packed: Packed | None = None) -> DataFrame:
+def repeated_bisection(u: DataFrame | None, docs: DataFrame, n: int | None = None, limit: float | None = None, seed: int = DEFAULT_SEED, passes: int = PASSES, packed: Packed | None = None) -> DataFrame:
     """(ord, cluster_id): best-first bisection until n clusters, or while the best gain reaches the limit, however many clusters that makes.
 
     The split of a cluster depends on its members and path only, so each round splits every
@@ -567,7 +659,8 @@ def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limi
     the gains (a heap of at most one entry per cluster). Clusters are numbered from 1 by
     ascending split gain, then path; clusters without documents are not counted. n wins over
     limit; a best gain of at most 1e-12 always stops. Given the vectors ``packed`` too, the
-    search below a cluster that fits a task is done there, and larger ones are split from them.
+    search below a cluster that fits a task is done there, and larger ones are split from them; u may
+    then be None if they hold it.
     """
     if n is None and limit is None:
         raise ValueError("give n or limit")
@@ -610,12 +703,16 @@ def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limi
             spark = docs.sparkSession
             at = lambda paths: trail.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], "grp long")), "grp").select("ord", "grp")  # noqa: B023, E731
             members = small(at(numbered))
-            counted = packed.rows.select("ord", (F.length("codes") / 4).cast("long").alias("n")).join(members, "ord").groupBy("grp").agg(F.sum("n").alias("n"))
-            room = {r["grp"]: r["n"] <= most_cells(2) for r in counted.collect()}  # a row per cluster
+            counted = packed.rows.select("ord", (F.length("codes") / 4).cast("long").alias("n")).join(members, "ord").groupBy("grp").agg(F.sum("n").alias("n"), (F.count("n") * packed.width).alias("all"))
+            loads = {r["grp"]: (r["n"], r["all"]) for r in counted.collect()}  # a row per cluster
+            room = {p: own <= most_cells(2) or full <= min(2 * own, LOCAL_BYTES // DENSE_BYTES) for p, (own, full) in loads.items()}
             if fits := [p for p in numbered if room[p]]:
                 below = members if len(fits) == len(numbered) else small(at(fits))
-                tree = lambda rows: tree_group(rows, n, limit, seed, passes)
-                found = cut(packed.rows.join(below, "ord").groupBy("grp").applyInArrow(tree, "ord long, path long, gain double, size0 long, size1 long"))
+                shared = SHARED_CELLS
+                tree = lambda rows: tree_group(rows, n, limit, seed, passes, shared)  # noqa: B023, E731
+                slots, parts = shared_out(spark, {p: loads[p][0] for p in fits}, spark.sparkContext.defaultParallelism * 2)
+                dealt = packed.rows.join(below, "ord").join(F.broadcast(slots), "grp").repartition(parts, "slot")
+                found = cut(dealt.groupBy("slot", "grp").applyInArrow(tree, "ord long, path long, gain double, size0 long, size1 long"))
                 for r in sorted(found.filter("ord IS NULL").collect(), key=lambda r: r["path"]):  # a row per split
                     nodes[r["path"]].gain, nodes[r["path"]].children = r["gain"], [2 * r["path"], 2 * r["path"] + 1]
                     for c, size in zip(nodes[r["path"]].children, (r["size0"], r["size1"]), strict=True):
@@ -631,6 +728,7 @@ def repeated_bisection(u: DataFrame, docs: DataFrame, n: int | None = None, limi
                 trail = cut(moved_down(trail, p, ords, child))
             todo = [p for p in todo if nodes[p].gain is None]
         if todo:
+            u = cut(packed.u) if u is None else u
             wanted = small(docs.sparkSession.createDataFrame([(p,) for p in todo], "grp long"))
             halves = split_groups(u, cut(trail.join(wanted, "grp").select("ord", "grp")), seed, passes)
             comp = cut(wide_composite(u, halves, 2))
@@ -667,12 +765,16 @@ def results(found: DataFrame) -> Iterator[Row]:
     return found.groupBy("cluster_id").agg(F.array_sort(F.collect_list("ord")).alias("ords")).orderBy("cluster_id").toLocalIterator()
 
 
-def cluster(u: DataFrame, docs: DataFrame, method: str = "rb", n: int | None = None, limit: float | None = None, seed: int = DEFAULT_SEED, passes: int = PASSES) -> DataFrame:
-    """(ord, cluster_id) by method name; what the search held is released."""
+def cluster(u: DataFrame | Packed, docs: DataFrame, method: str = "rb", n: int | None = None, limit: float | None = None, seed: int = DEFAULT_SEED, passes: int = PASSES) -> DataFrame:
+    """(ord, cluster_id) by method name; what the search held is released. Vectors packed already are for rb."""
     if method not in ("rb", "kmeans"):
         raise ValueError(f"unknown method: {method}")
     if method == "kmeans" and n is None:
         raise ValueError("kmeans needs the number of clusters; a gain limit applies to rb only")
+    if isinstance(u, Packed):
+        if method != "rb":
+            raise ValueError("packed vectors are for rb")
+        return cut(repeated_bisection(None, docs, n, limit, seed, passes, u))
     if method == "rb" and (n is not None or limit is not None) and (packed := pack(u, docs)):
         return cut(repeated_bisection(u, docs, n, limit, seed, passes, packed))
     if method == "kmeans" and u.count() + docs.count() <= most_cells(max(n, 2)):  # read by one search in a task

@@ -325,6 +325,52 @@ def test_bisection_of_packed_vectors_is_alike_at_every_size(spark, monkeypatch,
     assert clustering.pack(u, docs) is None
 
 
+def never(*args, **named):
+    raise AssertionError("not to be called")
+
+
+def test_limited_search_of_full_vectors_stays_in_tasks(spark, monkeypatch):
+    """0.1 GB of embeddings were packed from a row a cell, and took a job a pass where a matrix fits a task."""
+    x, docs, u = some_vectors(spark)
+    want = brute_clusters.bisect(np.vstack([x, np.zeros(6)]), list(range(61)), limit=0.8)
+    monkeypatch.setattr(clustering, "split_packed", never)
+    monkeypatch.setattr(clustering, "LOCAL_BYTES", 20_000)  # 366 cells, and 400 as a matrix or 120 otherwise
+    search = lambda given: {r["ord"]: r["cluster_id"] for r in clustering.cluster(given, docs, "rb", limit=0.8).collect()}
+    assert search(u) == want
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(60)] + [(60, None)], "ord long, x array<double>")
+    shared_out, dealt = clustering.shared_out, []
+    monkeypatch.setattr(clustering, "shared_out", lambda spark, loads, most: dealt.append(len(loads)) or shared_out(spark, loads, most))
+    monkeypatch.setattr(clustering, "SHARED_CELLS", 100)
+    with monkeypatch.context() as m:
+        m.setattr(clustering, "pack", never)
+        assert search(clustering.pack_arrays(rows, u)) == want and dealt[:2] == [1, 2]
+        m.setattr(queries.clustering, "cluster", lambda given, *args, **named: given)
+        assert isinstance(queries.rb_limit_clusters(spark, SMALL), clustering.Packed)
+    monkeypatch.setattr(clustering, "DEEPEST", 2)  # below the first split from the long form
+    assert search(clustering.pack_arrays(rows, u)) == search(u) and len(set(search(u).values())) > 2
+
+
+def test_clusters_are_dealt_evenly(spark):
+    slots, parts = clustering.shared_out(spark, {g: 10 - g for g in range(1, 9)}, 4)
+    rows = slots.repartition(parts, "slot").select("grp", F.spark_partition_id().alias("part")).collect()
+    loads = {p: sum(10 - r["grp"] for r in rows if r["part"] == p) for p in {r["part"] for r in rows}}
+    assert parts == 4 and sorted(loads.values()) == [11, 11, 11, 11]
+
+
+def test_arrays_are_packed_as_their_long_form(spark):
+    arrays = [[3.0, 0.0, 4.0], [0.0, 0.0], None, [], [None, 2.0], [1e-200, 0.0, 1.0], [1e-200], [1.0, 2.0, 2.0, 4.0]]
+    rows = spark.createDataFrame(list(enumerate(arrays)), "ord long, x array<float>")
+    long = rows.select("ord", F.posexplode("x").alias("pos", "v")).select("ord", F.col("pos").cast("string").alias("feature"), F.col("v").cast("double").alias("value"))
+    u = cs.unit(long.filter("value <> 0"))
+    packed = clustering.pack_arrays(rows, u)
+    found = {(r["ord"], str(f)): w for r in packed.rows.collect() for f, w in zip(np.frombuffer(r["codes"], np.int32), np.frombuffer(r["w"]), strict=True)}
+    bare = {(i, "0"): 0.0 for i in {*range(8)} - {r["ord"] for r in u.collect()}}
+    assert packed.width == 4 and packed.rows.count() == 8 and {(1, "0"), (2, "0"), (3, "0")} <= set(bare)
+    assert found == pytest.approx({(r["ord"], r["feature"]): r["w"] for r in u.collect()} | bare)
+    for other in (rows.union(rows), rows.union(spark.createDataFrame([(None, [1.0])], rows.schema)), rows.limit(0)):
+        assert clustering.pack_arrays(other, u) is None  # these take the long form
+
+
 def test_pruning_gets_whole_documents(spark):
     """Features dealt by document and feature let every partition keep 50 of a document, so nearly all were shuffled."""
     counts = queries.tables.token_features(spark, SMALL, together=True)
