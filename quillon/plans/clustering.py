@@ -34,6 +34,8 @@ DENSE_BYTES = 50
 SHARED_CELLS = 2_000_000
 #: Cells of a partition of packed vectors.
 PACKED_CELLS = 500_000
+#: Composites of at most this many numbers (200 MB) are held at once in a search with a job a pass.
+COMPOSITE_CELLS = 25_000_000
 LOG = logging.getLogger("quillon")
 #: A cluster of the bisection tree has its path as number (children 2p and 2p + 1); those below this have running numbers.
 DEEPEST = 1 << 60
@@ -49,12 +51,14 @@ class Group:
     """Unit vectors in memory, by document and feature: a document's cells start at its place in ``starts``.
 
     A group with at least every second cell of its documents and features is held as a matrix w, without starts and codes.
+    ``rest`` has the squares of a document's cells that no other document shares: they count in norms, and in products of the document with itself alone.
     """
 
     ords: np.ndarray
     starts: np.ndarray | None
     codes: np.ndarray | None
     w: np.ndarray
+    rest: np.ndarray
 
     @classmethod
     def of(cls, pdf: pd.DataFrame) -> Group:
@@ -62,11 +66,11 @@ class Group:
         ords, f, w = (pdf[c].to_numpy() for c in ("ord", "f", "w"))
         order = np.lexsort((f, ords))
         ords, starts = np.unique(ords[order], return_index=True)
-        return cls(ords, starts, np.unique(f[order], return_inverse=True)[1].astype(np.int32), w[order])
+        return cls(ords, starts, np.unique(f[order], return_inverse=True)[1].astype(np.int32), w[order], np.zeros(len(ords)))
 
     @classmethod
     def packed(cls, rows: pa.Table) -> Group:
-        """Rows of ``Packed``, 12 bytes a cell."""
+        """Rows of ``Packed``, 12 bytes a shared cell."""
 
         def flat(name: str, dtype: type) -> tuple[np.ndarray, np.ndarray]:
             data, sizes = [], []
@@ -76,13 +80,13 @@ class Group:
                 sizes.append(np.diff(ends) // np.dtype(dtype).itemsize)
             return np.concatenate(data), np.concatenate(sizes).astype(np.int64)
 
-        ords, (codes, sizes), (w, _) = rows["ord"].to_numpy(), flat("codes", np.int32), flat("w", np.float64)
+        ords, rest, (codes, sizes), (w, _) = rows["ord"].to_numpy(), rows["rest"].to_numpy(), flat("codes", np.int32), flat("w", np.float64)
         order, starts = ords.argsort(), np.cumsum(sizes) - sizes
         if (order[1:] < order[:-1]).any():
             placed = np.cumsum(sizes[order]) - sizes[order]
             cells = np.repeat(starts[order] - placed, sizes[order]) + np.arange(len(w))
-            ords, starts, codes, w = ords[order], placed, codes[cells], w[cells]
-        return cls(ords, starts, codes, w)
+            ords, starts, codes, w, rest = ords[order], placed, codes[cells], w[cells], rest[order]
+        return cls(ords, starts, codes, w, rest)
 
     def __post_init__(self) -> None:
         if self.codes is not None:
@@ -92,9 +96,9 @@ class Group:
                 self._fill()
         if self.codes is None:
             self.width = self.w.shape[1]
-            self.own = np.einsum("ij,ij->i", self.w, self.w)
+            self.own = np.einsum("ij,ij->i", self.w, self.w) + self.rest
         else:
-            self.own = np.add.reduceat(self.w * self.w, self.starts)
+            self.own = np.add.reduceat(self.w * self.w, self.starts) + self.rest
 
     def _fill(self) -> None:
         """Make the matrix, unless a document has a feature twice."""
@@ -108,15 +112,15 @@ class Group:
 
     def take(self, mask: np.ndarray) -> Group:
         if self.codes is None:
-            return Group(self.ords[mask], None, None, self.w[mask])
+            return Group(self.ords[mask], None, None, self.w[mask], self.rest[mask])
         cells, sizes = np.repeat(mask, self.sizes), self.sizes[mask]
         seen = np.zeros(self.width, np.int32)
         codes = self.codes[cells]
         seen[codes] = 1
-        return Group(self.ords[mask], np.cumsum(sizes) - sizes, (np.cumsum(seen, dtype=np.int32) - 1)[codes], self.w[cells])
+        return Group(self.ords[mask], np.cumsum(sizes) - sizes, (np.cumsum(seen, dtype=np.int32) - 1)[codes], self.w[cells], self.rest[mask])
 
     def dots(self, x: np.ndarray) -> np.ndarray:
-        """Inner products of all documents with one vector; alike for equal documents."""
+        """Inner products of all documents with one vector of shared cells; alike for equal documents."""
         if self.codes is None:
             return np.einsum("ij,j->i", self.w, x[: self.width])
         return np.add.reduceat(x[self.codes] * self.w, self.starts)
@@ -124,10 +128,13 @@ class Group:
     def similar(self, row: int) -> np.ndarray:
         """Inner products of all documents with that of the row."""
         if self.codes is None:
-            return self.dots(self.w[row])
-        cells, x = slice(self.starts[row], self.starts[row] + self.sizes[row]), np.zeros(self.width)
-        x[self.codes[cells]] = self.w[cells]
-        return self.dots(x)
+            x = self.w[row]
+        else:
+            cells, x = slice(self.starts[row], self.starts[row] + self.sizes[row]), np.zeros(self.width)
+            x[self.codes[cells]] = self.w[cells]
+        out = self.dots(x)
+        out[row] += self.rest[row]
+        return out
 
     def rand(self, seed: int, tag: str) -> np.ndarray:
         """``hash_rand`` of the documents."""
@@ -146,24 +153,37 @@ class Group:
             sums = np.stack([self.total(child == j) for j in range(k)])
         else:
             sums = np.bincount(np.repeat(child * self.width, self.sizes) + self.codes, self.w, k * self.width).reshape(k, -1)
-        return sums, np.sqrt([row @ row for row in sums])
+        return sums, np.sqrt(np.array([row @ row for row in sums]) + np.bincount(child, self.rest, k))
 
-    def total(self, times: np.ndarray) -> np.ndarray:
-        """Sum of all documents, each so many times."""
-        if self.codes is None:
-            return np.einsum("i,ij->j", times.astype(float), self.w)
-        return np.bincount(self.codes, self.w * np.repeat(times.astype(float), self.sizes), self.width)
+    def whole(self, sums: np.ndarray) -> float:
+        """Norm of the composite of all documents, given those of the parts."""
+        both = sums.sum(axis=0)
+        return float(np.sqrt(both @ both + self.rest.sum()))
+
+    def total(self, mask: np.ndarray) -> np.ndarray:
+        """Sum of the documents of the mask, which are a matrix."""
+        return np.einsum("i,ij->j", mask.astype(float), self.w)
 
-    def cells(self, row: int) -> tuple[bytes, bytes]:
-        """Codes and weights of a document."""
+    def cells(self, row: int) -> tuple[bytes, bytes, float]:
+        """Codes and weights of a document, and its rest."""
         if self.codes is None:
-            return np.arange(self.width, dtype=np.int32).tobytes(), self.w[row].tobytes()
+            return np.arange(self.width, dtype=np.int32).tobytes(), self.w[row].tobytes(), float(self.rest[row])
         mine = slice(self.starts[row], self.starts[row] + self.sizes[row])
-        return self.codes[mine].tobytes(), self.w[mine].tobytes()
+        return self.codes[mine].tobytes(), self.w[mine].tobytes(), float(self.rest[row])
+
+    def keyed(self, mask: np.ndarray, part: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of the documents of the mask, by part and code as one number (part * width + code)."""
+        if self.codes is None:
+            codes, w, sizes = np.tile(np.arange(self.width), int(mask.sum())), self.w[mask].ravel(), self.width
+        else:
+            cells = np.repeat(mask, self.sizes)
+            codes, w, sizes = self.codes[cells], self.w[cells], self.sizes[mask]
+        return np.repeat(part[mask] * width, sizes) + codes, w
 
     def moves(self, child: np.ndarray, sums: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every document's best other part and the gain of moving it there."""
         rows, dots, squares = np.arange(len(self.ords)), np.stack([self.dots(row) for row in sums], axis=1), norms * norms
+        dots[rows, child] += self.rest
         leave = np.sqrt(np.maximum(0.0, squares[child] + self.own - 2 * dots[rows, child])) - norms[child]
         gains = np.round(leave[:, None] + np.sqrt(np.maximum(0.0, squares + self.own[:, None] + 2 * dots)) - norms, 12)
         gains[rows, child] = -np.inf
@@ -250,8 +270,7 @@ def tree_group(rows: pa.Table, n: int | None, limit: float | None, seed: int, pa
                 return False
             child = group.split(path, seed, passes, second[mine])
             sums, norms = group.composites(child, 2)
-            both = sums.sum(axis=0)
-            gain = round(float(norms.sum() - np.sqrt(both @ both)), 12)
+            gain = round(float(norms.sum()) - group.whole(sums), 12)
             at[mine] = 2 * path + child
             splits.append((path, gain, size - int(child.sum()), int(child.sum())))
             if gain > EPSILON and (limit is None or gain >= limit):
@@ -276,9 +295,10 @@ def tree_group(rows: pa.Table, n: int | None, limit: float | None, seed: int, pa
 
 @dataclass
 class Packed:
-    """Unit vectors as a row (ord, codes, w) a document: the bytes of its features' int32 codes below width, and of its doubles.
+    """Unit vectors as a row (ord, codes, w, rest) a document: the bytes of its features' int32 codes below width, and of its doubles.
 
-    A document without features has one cell of weight 0. The driver may hold a composite and the documents of a cluster.
+    Features that only one document has need no code: the sum of their squares is its rest. A document without other features has
+    one cell of weight 0. The driver may hold a composite and the documents of a cluster.
     """
 
     rows: DataFrame
@@ -287,13 +307,17 @@ class Packed:
     u: DataFrame | None = None
 
 
-def packed_table(docs: np.ndarray, ends: np.ndarray, codes: np.ndarray, w: np.ndarray) -> pa.Table:
+#: Columns of ``Packed``.
+PACKED = "ord long, codes binary, w binary, rest double"
+
+
+def packed_table(docs: np.ndarray, ends: np.ndarray, codes: np.ndarray, w: np.ndarray, rest: np.ndarray) -> pa.Table:
     """Rows of ``Packed``; ends: where the cells of each document start, and the last end."""
 
     def binary(x: np.ndarray) -> pa.Array:
         return pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
 
-    return pa.table([pa.array(docs, pa.int64()), binary(codes), binary(w)], ["ord", "codes", "w"])
+    return pa.table([pa.array(docs, pa.int64()), binary(codes), binary(w), pa.array(rest, pa.float64())], ["ord", "codes", "w", "rest"])
 
 
 def pack_arrays(rows: DataFrame, u: DataFrame) -> Packed | None:
@@ -323,20 +347,21 @@ def pack_arrays(rows: DataFrame, u: DataFrame) -> Packed | None:
                 places = np.searchsorted(doc, bare)
                 doc, code, w = (np.insert(a, places, b) for a, b in ((doc, bare), (code, 0), (w, 0.0)))
                 ends = np.searchsorted(doc, np.arange(len(part) + 1))
-                yield from packed_table(part["ord"].to_numpy(), ends, code.astype(np.int32), w).to_batches()
+                yield from packed_table(part["ord"].to_numpy(), ends, code.astype(np.int32), w, np.zeros(len(part))).to_batches()
 
     dealt = rows.repartition(total * width // PACKED_CELLS + 1, "ord")
-    return Packed(stage(dealt.mapInArrow(packs, "ord long, codes binary, w binary"), "packed"), width, u)
+    return Packed(stage(dealt.mapInArrow(packs, PACKED), "packed"), width, u)
 
 
-def pack(u: DataFrame, docs: DataFrame) -> Packed | None:
-    """The vectors of all docs; None with more features or documents than may be broadcast."""
+def pack(u: DataFrame, docs: DataFrame, k: int = 2) -> Packed | None:
+    """The vectors of all docs; None with more documents, or more shared features times k parts, than may be broadcast, or with documents without ord."""
     both = u.select("ord", F.xxhash64("feature").alias("f"), "w").union(docs.select("ord", F.lit(None).cast("long"), F.lit(None).cast("double")))
-    cells, total = both.agg(F.count("f"), F.count(F.when(F.col("f").isNull(), 1))).first()
-    if total > rf.BROADCAST_CELLS:
+    cells, total, named = both.agg(F.count("f"), F.count(F.when(F.col("f").isNull(), 1)), F.count("ord")).first()
+    if total > rf.BROADCAST_CELLS or named < cells + total:
         return None
-    most = rf.BROADCAST_CELLS // 2
-    table = np.sort(u.select(F.xxhash64("feature").alias("f")).distinct().limit(most + 1).toArrow()["f"].to_numpy())
+    most = COMPOSITE_CELLS // k
+    shares = u.groupBy(F.xxhash64("feature").alias("f")).count().filter("count > 1").select("f")
+    table = np.sort(shares.limit(most + 1).toArrow()["f"].to_numpy())
     if len(table) > most:
         return None
     shared = u.sparkSession.sparkContext.broadcast(table)
@@ -345,146 +370,245 @@ def pack(u: DataFrame, docs: DataFrame) -> Packed | None:
         got = list(batches)
         if not got:
             return
-        cells = pa.Table.from_batches(got)
+        cells, table = pa.Table.from_batches(got), shared.value
         real = cells["f"].is_valid().to_numpy()
         docs = np.unique(cells["ord"].to_numpy()[~real])
         cells = cells.filter(pa.array(real))
         ords, f, w = (cells[c].to_numpy() for c in ("ord", "f", "w"))
         mine = np.isin(ords, docs)
-        bare = np.setdiff1d(docs, ords)
-        ords, w = np.concatenate([ords[mine], bare]), np.concatenate([w[mine], np.zeros(len(bare))])
-        codes = np.concatenate([np.searchsorted(shared.value, f[mine]), np.zeros(len(bare), np.int64)]).astype(np.int32)
+        ords, f, w = ords[mine], f[mine], w[mine]
+        codes = np.minimum(np.searchsorted(table, f), max(0, len(table) - 1))
+        common = table[codes] == f if len(table) else np.zeros(len(f), bool)
+        rest = np.bincount(np.searchsorted(docs, ords[~common]), w[~common] ** 2, len(docs))
+        bare = np.setdiff1d(docs, ords[common])
+        ords, w = np.concatenate([ords[common], bare]), np.concatenate([w[common], np.zeros(len(bare))])
+        codes = np.concatenate([codes[common], np.zeros(len(bare), np.int64)]).astype(np.int32)
         order = np.lexsort((codes, ords))
         ends = np.append(np.searchsorted(ords[order], docs), len(ords))
-        yield from packed_table(docs, ends, codes[order], w[order]).to_batches(max_chunksize=10_000)
+        yield from packed_table(docs, ends, codes[order], w[order], rest).to_batches(max_chunksize=10_000)
 
     parts = (cells + total) // PACKED_CELLS + 1
-    rows = stage(both.repartition(parts, "ord").mapInArrow(packs, "ord long, codes binary, w binary"), "packed")
+    rows = stage(both.repartition(parts, "ord").mapInArrow(packs, PACKED), "packed")
     shared.destroy()
     return Packed(rows, max(1, len(table)))
 
 
-#: What the tasks of ``split_packed`` give: parts of composites by slice of the codes; below 0, moves (ords, parts) and a best document (ord, its vector).
-SUMS = "slice int, value double, ord long, part int, codes binary, w binary"
+#: What the tasks of ``Search`` give: sums by slice of the keys (keys, values); below 0, a best document (its number, ord, part and cells), numbers of documents (places, numbers), and what the parts' rests change by.
+SUMS = "slice int, value double, ord long, part int, codes binary, w binary, rest double"
+BEST, NUMBERS, RESTS = -1, -2, -3
 
 
 def told(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["slice", "value", "ord", "part", "codes", "w"])
+    kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["slice", "value", "ord", "part", "codes", "w", "rest"])
 
 
-def sliced(sums: np.ndarray, step: int) -> list[tuple]:
-    """Rows of the codes whose sums (a row a part) are not all 0."""
-    codes = np.flatnonzero((sums != 0).any(axis=0))
-    cuts = np.searchsorted(codes, np.arange(0, sums.shape[1] + step, step))
-    return [(i, 0.0, 0, 0, codes[a:b].astype(np.int32).tobytes(), sums[:, codes[a:b]].tobytes()) for i, (a, b) in enumerate(itertools.pairwise(cuts)) if b > a]
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, once each, and the sums of their values."""
+    if not len(keys):
+        return keys, values
+    order = keys.argsort(kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[starts], np.add.reduceat(values[order], starts)
 
 
-def split_packed(packed: Packed, ords: np.ndarray, path: int, seed: int, passes: int) -> tuple[np.ndarray, float]:
-    """Child of every document (ords, ascending) of one cluster and the split's gain: ``Group.split`` with a job a pass.
+def sliced(keys: np.ndarray, values: np.ndarray, step: int) -> list[tuple]:
+    """Rows of the sums by slice, of keys in order."""
+    slices = keys // step
+    starts = np.flatnonzero(np.append(True, slices[1:] != slices[:-1])) if len(keys) else []
+    return [(int(slices[a]), 0.0, 0, 0, keys[a:b].tobytes(), values[a:b].tobytes(), 0.0) for a, b in itertools.pairwise([*starts, len(keys)])]
 
-    Tasks stream over the documents and give sums over those that move, added up by slices of
-    the codes before the driver sees them; the driver holds the two composites, and the
-    documents' numbers and children.
+
+@dataclass
+class Vector:
+    """A document as ``Packed`` has it."""
+
+    ord: int
+    codes: bytes
+    w: bytes
+    rest: float
+
+    def near(self, group: Group, width: int) -> np.ndarray:
+        """Inner products of the group's documents with it."""
+        out = group.dots(np.bincount(np.frombuffer(self.codes, np.int32), np.frombuffer(self.w, np.float64), width))
+        out[group.ords == self.ord] += self.rest
+        return out
+
+
+class Search:
+    """The passes over the documents (ords, ascending) of one cluster that fits no task, a job each.
+
+    Tasks stream over packed documents and give sums over those that move, added up by slices of
+    part and code before the driver sees them; the driver holds the parts' composites, and the
+    documents' numbers and parts.
     """
-    sc, width = packed.rows.sparkSession.sparkContext, packed.width
-    step = max(1, -(-width // (2 * sc.defaultParallelism)))
-    members = sc.broadcast(ords)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Group, np.ndarray]]:
-        """Documents of the cluster, a batch at a time, and their places in it."""
-        for batch in batches:
-            own = batch["ord"].to_numpy()
-            at = np.minimum(np.searchsorted(members.value, own), len(members.value) - 1)
-            mine = members.value[at] == own
-            if mine.any():
-                group = Group.packed(pa.Table.from_batches([batch]).filter(pa.array(mine)))
-                yield group, np.searchsorted(members.value, group.ords)
-
-    def vector(codes: bytes, w: bytes) -> np.ndarray:
-        return np.bincount(np.frombuffer(codes, np.int32), np.frombuffer(w, np.float64), width)
-
-    def added(key: tuple, rows: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:
-            return rows
-        low, sums = key[0].as_py() * step, np.zeros((2, step))
-        for codes, w in zip(rows["codes"].to_pylist(), rows["w"].to_pylist(), strict=True):
-            places = np.frombuffer(codes, np.int32) - low
-            sums[:, places] += np.frombuffer(w, np.float64).reshape(2, -1)
-        places = np.flatnonzero((sums != 0).any(axis=0))
-        return pa.Table.from_batches([told([(key[0].as_py(), 0.0, 0, 0, (places + low).astype(np.int32).tobytes(), sums[:, places].tobytes())])])
-
-    def ran(values: tuple, task: Callable[[Iterator[pa.RecordBatch], tuple], Iterator[pa.RecordBatch]], add: bool = True) -> list[tuple]:
-        shared = sc.broadcast(values)
-        out = packed.rows.mapInArrow(lambda batches: task(batches, shared.value), SUMS)
+    def __init__(self, packed: Packed, ords: np.ndarray, k: int, seed: int) -> None:
+        self.packed, self.ords, self.k, self.seed = packed, ords, k, seed
+        self.sc = packed.rows.sparkSession.sparkContext
+        self.step = max(1, -(-k * packed.width // (2 * self.sc.defaultParallelism)))
+        self.members = self.sc.broadcast(ords)
+
+    def _ran(self, values: tuple, task: Callable[[Iterator[tuple[Group, np.ndarray]], tuple], Iterator[pa.RecordBatch]], add: bool = True) -> list[tuple]:
+        """What the tasks say of their documents, which they get a batch at a time with their places in the cluster."""
+        shared, members, step = self.sc.broadcast(values), self.members, self.step
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Group, np.ndarray]]:
+            for batch in batches:
+                own = batch["ord"].to_numpy()
+                at = np.minimum(np.searchsorted(members.value, own), len(members.value) - 1)
+                mine = members.value[at] == own
+                if mine.any():
+                    group = Group.packed(pa.Table.from_batches([batch]).filter(pa.array(mine)))
+                    yield group, np.searchsorted(members.value, group.ords)
+
+        def added(key: tuple, rows: pa.Table) -> pa.Table:
+            if key[0].as_py() < 0:
+                return rows
+            low, sums = key[0].as_py() * step, np.zeros(step)
+            for keys, values in zip(rows["codes"].to_pylist(), rows["w"].to_pylist(), strict=True):
+                sums[np.frombuffer(keys, np.int64) - low] += np.frombuffer(values, np.float64)
+            places = np.flatnonzero(sums)
+            return pa.Table.from_batches([told([(key[0].as_py(), 0.0, 0, 0, (places + low).tobytes(), sums[places].tobytes(), 0.0)])])
+
+        out = self.packed.rows.mapInArrow(lambda batches: task(each(batches), shared.value), SUMS)
         rows = (out.groupBy("slice").applyInArrow(added, SUMS) if add else out).toArrow()
         shared.destroy()
         return list(zip(*[rows[c].to_pylist() for c in rows.column_names], strict=True))
 
-    def draw(batches: Iterator[pa.RecordBatch], shared: tuple) -> Iterator[pa.RecordBatch]:
-        first = vector(*shared)
-        for group, _ in each(batches):
-            times = race(group.dots(first), group.rand(seed, "second"))
-            row = int(times.argmin())
-            yield told([(-1, float(times[row]), int(group.ords[row]), 0, *group.cells(row))])
-
-    def move(batches: Iterator[pa.RecordBatch], shared: tuple) -> Iterator[pa.RecordBatch]:
-        child, one, two = shared  # children, composites and norms; at the start no children, but both seeds
-        a, b = (vector(*one), vector(*two)) if child is None else (None, None)
-        sums, moved, parts, best = np.zeros((2, width)), [], [], None
-        for group, at in each(batches):
-            if child is None:
-                to = (np.round(group.dots(b), 9) > np.round(group.dots(a), 9)).astype(np.int64)
-                gains = np.ones(len(at))
-            else:
-                to, gains = group.moves(child[at].astype(np.int64), one, two)
+    def first(self, tag: str) -> Vector:
+        """The document of the smallest random number."""
+        start = Group(self.ords, np.arange(len(self.ords)), np.zeros(len(self.ords), np.int32), np.zeros(len(self.ords)), np.zeros(len(self.ords)))
+        row = self.packed.rows.filter(F.col("ord") == int(self.ords[start.rand(self.seed, tag).argmin()])).first()
+        return Vector(row["ord"], bytes(row["codes"]), bytes(row["w"]), row["rest"])
+
+    def drawn(self, last: Vector, tag: str, closest: np.ndarray | None = None) -> tuple[Vector, np.ndarray]:
+        """The next seed of a weighted race, and the documents' smallest distances, given the last seed and those to the seeds before."""
+        width, seed, none = self.packed.width, self.seed, 1e300 if closest is None else np.inf
+
+        def draw(groups: Iterator[tuple[Group, np.ndarray]], shared: tuple) -> Iterator[pa.RecordBatch]:
+            last, closest = shared
+            for group, at in groups:
+                away = 1.0 - last.near(group, width)
+                if closest is not None:
+                    away = np.maximum(0.0, np.minimum(closest[at], away))
+                times = np.where(away > 1e-12, -np.log(group.rand(seed, tag)) / np.where(away > 1e-12, away, 1.0), none)
+                row = int(times.argmin())
+                codes, w, rest = group.cells(row)
+                yield told([(BEST, float(times[row]), int(group.ords[row]), 0, codes, w, rest), (NUMBERS, 0.0, 0, 0, at.tobytes(), away.tobytes(), 0.0)])
+
+        rows = self._ran((last, closest), draw, add=False)
+        out = np.zeros(len(self.ords))
+        for kind, _, _, _, at, away, _ in rows:
+            if kind == NUMBERS:
+                out[np.frombuffer(at, np.int64)] = np.frombuffer(away, np.float64)
+        best = min((r for r in rows if r[0] == BEST), key=lambda r: r[1:3])
+        return Vector(best[2], *best[4:]), out
+
+    def refined(self, seeds: list[Vector], passes: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Part of every document, the parts' norms and that of the whole, from the nearest seeds on: ``Group.refine``."""
+        width, k, step = self.packed.width, self.k, self.step
+
+        def said(group: Group, at: np.ndarray, goes: np.ndarray, to: np.ndarray, child: np.ndarray | None) -> pa.RecordBatch:
+            keys, values = group.keyed(goes, to, width)
+            rests = np.bincount(to[goes], group.rest[goes], k)
+            if child is not None:
+                left, lost = group.keyed(goes, child, width)
+                keys, values = np.concatenate([keys, left]), np.concatenate([values, -lost])
+                rests -= np.bincount(child[goes], group.rest[goes], k)
+            return told([*sliced(*summed(keys, values), step), (NUMBERS, 0.0, 0, 0, at[goes].tobytes(), to[goes].astype(np.int32).tobytes(), 0.0), (RESTS, 0.0, 0, 0, None, rests.tobytes(), 0.0)])
+
+        def begin(groups: Iterator[tuple[Group, np.ndarray]], shared: tuple) -> Iterator[pa.RecordBatch]:
+            for group, at in groups:
+                to = np.round(np.stack([x.near(group, width) for x in shared], axis=1), 9).argmax(axis=1)
+                yield said(group, at, np.ones(len(at), bool), to, None)
+
+        def move(groups: Iterator[tuple[Group, np.ndarray]], shared: tuple) -> Iterator[pa.RecordBatch]:
+            (child, sums, norms), best = shared, None
+            for group, at in groups:
+                own = child[at].astype(np.int64)
+                to, gains = group.moves(own, sums, norms)
                 row = int(gains.argmax())
                 if best is None or (-gains[row], group.ords[row]) < (-best[1], best[2]):
-                    best = (-1, float(gains[row]), int(group.ords[row]), int(to[row]), *group.cells(row))
-            goes = gains > EPSILON
-            for part in (0, 1):
-                sums[part, : group.width] += group.total(np.where(goes, np.where(to == part, 1, 0 if child is None else -1), 0))
-            moved.append(at[goes])
-            parts.append(to[goes])
-        if moved:
-            yield told([*sliced(sums, step), (-2, 0.0, 0, 0, np.concatenate(moved).tobytes(), np.concatenate(parts).astype(np.uint8).tobytes()), *([best] if best else [])])
-
-    def result(rows: list[tuple], child: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        child, sums = child.copy(), sums.copy()
-        for part, _, _, _, codes, w in rows:
-            if part >= 0:
-                sums[:, np.frombuffer(codes, np.int32)] += np.frombuffer(w, np.float64).reshape(2, -1)
-            elif part == -2:
-                child[np.frombuffer(codes, np.int64)] = np.frombuffer(w, np.uint8)
-        return child, sums
-
-    start = Group(ords, np.arange(len(ords)), np.zeros(len(ords), np.int32), np.zeros(len(ords)))
-    seed0 = int(ords[start.rand(seed, f"first|{path}").argmin()])
-    row = packed.rows.filter(F.col("ord") == seed0).first()
-    first = bytes(row["codes"]), bytes(row["w"])
-    second = min(ran(first, draw, add=False), key=lambda r: r[1:3])[4:]
-    child, sums = result(ran((None, first, second), move), np.zeros(len(ords), np.uint8), np.zeros((2, width)))
-    length = lambda sums: np.sqrt([x @ x for x in sums])
-    norms = length(sums)
-    for _ in range(passes):
-        rows = ran((child, sums, norms), move)
-        tried, more = result(rows, child, sums)
-        new = length(more)
-        if new.sum() < norms.sum() - EPSILON:
-            _, _, one, to, codes, w = min((r for r in rows if r[0] == -1), key=lambda r: (-r[1], r[2]))
-            tried, more, at = child.copy(), sums.copy(), np.searchsorted(ords, one)
-            more[to] += vector(codes, w)
-            more[child[at]] -= vector(codes, w)
-            tried[at] = to
-            new = length(more)
-        rose = new.sum() > norms.sum() + EPSILON
-        if new.sum() > norms.sum():
-            child, sums, norms = tried, more, new
-        if not rose:
-            break
-    members.destroy()
-    both = sums.sum(axis=0)
-    return child, round(float(norms.sum() - np.sqrt(both @ both)), 12)
+                    best = (BEST, float(gains[row]), int(group.ords[row]), int(to[row]), *group.cells(row))
+                if (goes := gains > EPSILON).any():
+                    yield said(group, at, goes, to, own)
+            if best:
+                yield told([best])
+
+        def read(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+            """Places and new parts of the documents that move, and what that adds to the composites (keys, values) and rests."""
+            at, to, keys, values, rests = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0)], np.zeros(k)
+            for kind, _, _, _, codes, w, _ in rows:
+                if kind >= 0:
+                    keys.append(np.frombuffer(codes, np.int64))
+                    values.append(np.frombuffer(w, np.float64))
+                elif kind == NUMBERS:
+                    at.append(np.frombuffer(codes, np.int64))
+                    to.append(np.frombuffer(w, np.int32))
+                elif kind == RESTS:
+                    rests += np.frombuffer(w, np.float64)
+            return *map(np.concatenate, (at, to, keys, values)), rests
+
+        child, sums = np.zeros(len(self.ords), np.int32), np.zeros((k, width))
+        flat, length = sums.reshape(-1), lambda rests: np.sqrt(np.maximum(0.0, np.array([x @ x for x in sums]) + rests))
+        at, to, keys, values, rests = read(self._ran(tuple(seeds), begin))
+        child[at], flat[keys] = to, values
+        norms = length(rests)
+        for _ in range(passes):
+            rows = self._ran((child, sums, norms), move)
+            at, to, keys, values, change = read(rows)
+            before = flat[keys]
+            flat[keys] += values
+            new = length(rests + change)
+            if new.sum() < norms.sum() - EPSILON:
+                flat[keys] = before
+                _, _, one, part, codes, w, rest = min((r for r in rows if r[0] == BEST), key=lambda r: (-r[1], r[2]))
+                at, to = np.array([np.searchsorted(self.ords, one)]), np.array([part], np.int32)
+                codes, w, old = np.frombuffer(codes, np.int32), np.frombuffer(w, np.float64), int(child[at[0]])
+                keys, values = summed(np.concatenate([part * width + codes.astype(np.int64), old * width + codes.astype(np.int64)]), np.concatenate([w, -w]))
+                change = np.bincount([part, old], [rest, -rest], k)
+                before = flat[keys]
+                flat[keys] += values
+                new = length(rests + change)
+            rose = new.sum() > norms.sum() + EPSILON
+            if new.sum() > norms.sum():
+                child[at], norms, rests = to, new, rests + change
+            else:
+                flat[keys] = before
+            if not rose:
+                break
+        self.members.destroy()
+        both = sums.sum(axis=0)
+        return child, norms, float(np.sqrt(both @ both + rests.sum()))
+
+
+def split_packed(packed: Packed, ords: np.ndarray, path: int, seed: int, passes: int) -> tuple[np.ndarray, float]:
+    """Child of every document (ords, ascending) of one cluster and the split's gain: ``Group.split`` with a job a pass."""
+    search = Search(packed, ords, 2, seed)
+    first = search.first(f"first|{path}")
+    second, _ = search.drawn(first, "second")
+    child, norms, whole = search.refined([first, second], passes)
+    return child, round(float(norms.sum()) - whole, 12)
+
+
+def kmeans_packed(packed: Packed, ords: np.ndarray, n: int, seed: int, passes: int) -> DataFrame:
+    """(ord, child) of all documents (ords, ascending): ``kmeans_group`` with a job a seed and a pass."""
+    search = Search(packed, ords, n, seed)
+    seeds, closest = [search.first("smart-0")], np.ones(len(ords)) * np.inf
+    for i in range(1, n):
+        found, closest = search.drawn(seeds[-1], f"smart-{i}", closest)
+        seeds.append(found)
+    child = search.refined(seeds, passes if n > 1 else 0)[0]
+    shared = packed.rows.sparkSession.sparkContext.broadcast((ords, child))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, part = shared.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["ord"], pa.array(part[np.searchsorted(known, batch["ord"].to_numpy())], pa.int32())], ["ord", "child"])
+
+    return packed.rows.select("ord").mapInArrow(parts, "ord long, child int")
 
 
 def cells_of(u: DataFrame, members: DataFrame) -> DataFrame:
@@ -777,8 +901,14 @@ def cluster(u: DataFrame | Packed, docs: DataFrame, method: str = "rb", n: int |
         return cut(repeated_bisection(None, docs, n, limit, seed, passes, u))
     if method == "rb" and (n is not None or limit is not None) and (packed := pack(u, docs)):
         return cut(repeated_bisection(u, docs, n, limit, seed, passes, packed))
-    if method == "kmeans" and u.count() + docs.count() <= most_cells(max(n, 2)):  # read by one search in a task
-        return cut(kmeans(u, docs, n, seed, passes))
+    if method == "kmeans":
+        total = docs.count()
+        if total < n or u.count() + total <= most_cells(max(n, 2)):  # read by one search in a task
+            return cut(kmeans(u, docs, n, seed, passes))
+        if packed := pack(u, docs, n):
+            ords = np.sort(packed.rows.select("ord").toArrow()["ord"].to_numpy())
+            if len(ords) == total:  # else documents are repeated
+                return cut(_numbered(cut(kmeans_packed(packed, ords, n, seed, passes))))
     held = u.repartition("ord").persist()  # every pass joins it with the state on ord
     try:
         return cut(repeated_bisection(held, docs, n, limit, seed, passes) if method == "rb" else kmeans(held, docs, n, seed, passes))

@@ -11,8 +11,8 @@ from quillon.operators import classify as cl
 from quillon.operators import cluster as cs
 from quillon.operators import refine as rf
 from quillon.operators import weights as wt
-from quillon.plans import clustering, topics
-from quillon.plans.iteration import number_rows
+from quillon.plans import clustering, iteration, topics
+from quillon.plans.iteration import number_rows, stage
 from quillon.sources import tsv
 from quillon.streaming.classify import classify_stream
 
@@ -74,6 +74,18 @@ def test_heaviest_idf_is_the_heaviest_of_idf(spark, monkeypatch):
     assert all("hashpartitioning(feature" not in line for line in found._jdf.queryExecution().executedPlan().toString().split("\n"))
 
 
+def test_many_counted_features_do_not_move_all_features(spark, monkeypatch):
+    """With more counted features than may be broadcast all features were shuffled to them."""
+    features = stage(queries.tables.token_features(spark, SMALL).filter("ord < 60"), "features")
+    rows = lambda df: sorted((r["ord"], r["feature"], r["value"]) for r in df.select("ord", "feature", "value").collect())
+    monkeypatch.setattr(iteration, "BROADCAST_ROWS", 300)
+    found = wt.heaviest_idf(features, 60, 7)
+    assert rows(found) == rows(wt.heaviest(wt.idf(features, 60), 7))
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+    monkeypatch.setattr(iteration, "BROADCAST_ROWS", 0)  # not even one df
+    assert rows(wt.heaviest_idf(features, 60, 7)) == rows(found)
+
+
 def test_clusters(spark, letters):
     docs, features = letters
     u = cs.unit(features)
@@ -325,6 +337,37 @@ def test_bisection_of_packed_vectors_is_alike_at_every_size(spark, monkeypatch,
     assert clustering.pack(u, docs) is None
 
 
+def test_kmeans_of_packed_vectors_takes_a_job_a_pass(spark, monkeypatch):
+    """A corpus too large for a task took several jobs a seed and a pass; the clusters are the same, with features of one document too."""
+    x, docs, u = some_vectors(spark)
+    alone = spark.createDataFrame([(i, f"own{i}", 0.5) for i in range(0, 60, 3)] + [(60, "own60", 0.8), (60, "more60", 0.6)], u.schema)
+    x = np.hstack([x, np.zeros((60, 22))])
+    for at, i in enumerate(range(0, 60, 3)):
+        x[i, 6 + at] = 0.5
+    x = np.vstack([x, np.append(np.zeros(26), [0.8, 0.6])])
+    u = u.union(alone)
+    want = brute_clusters.kmeans(x, list(range(61)), 6)
+    search = lambda method="kmeans": {r["ord"]: r["cluster_id"] for r in clustering.cluster(u, docs, method, 6).collect()}
+    assert search() == want
+    monkeypatch.setattr(clustering, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(clustering, "PACKED_CELLS", 100)
+    monkeypatch.setattr(clustering, "kmeans", never)
+    packed = clustering.pack(u, docs, 6)
+    assert packed.width == 6 and packed.rows.agg(F.sum("rest")).first()[0] == pytest.approx(20 * 0.25 + 1)
+    found, jobs = jobs_of(spark, "packed-kmeans", search)
+    assert found == want and jobs < 80
+    assert search("rb") == brute_clusters.bisect(x, list(range(61)), 6)
+
+
+def test_bisection_counts_shared_features_alone(spark, monkeypatch):
+    """Features of one document each counted against the bound on packed features, beyond which splits are joins."""
+    x, docs, u = some_vectors(spark)
+    alone = spark.createDataFrame([(i, f"own{i}", 0.5) for i in range(60)], u.schema)
+    monkeypatch.setattr(rf, "BROADCAST_CELLS", 70)  # 35 features before
+    monkeypatch.setattr(clustering, "COMPOSITE_CELLS", 70)
+    assert clustering.pack(u.union(alone), docs).width == 6
+
+
 def never(*args, **named):
     raise AssertionError("not to be called")
 
