@@ -34,7 +34,7 @@ DENSE_BYTES = 50
 SHARED_CELLS = 2_000_000
 #: Cells of a partition of packed vectors.
 PACKED_CELLS = 500_000
-#: Composites of at most this many numbers (200 MB) are held at once in a search with a job a pass.
+#: Composites of at most this many numbers that are not 0 are held at once in a search with a job a pass; a bound is known beforehand, most have far fewer.
 COMPOSITE_CELLS = 25_000_000
 LOG = logging.getLogger("quillon")
 #: A cluster of the bisection tree has its path as number (children 2p and 2p + 1); those below this have running numbers.
@@ -354,15 +354,15 @@ def pack_arrays(rows: DataFrame, u: DataFrame) -> Packed | None:
 
 
 def pack(u: DataFrame, docs: DataFrame, k: int = 2) -> Packed | None:
-    """The vectors of all docs; None with more documents, or more shared features times k parts, than may be broadcast, or with documents without ord."""
+    """The vectors of all docs; None with more documents, shared features or cells of k composites than may be broadcast, or with documents without ord."""
     both = u.select("ord", F.xxhash64("feature").alias("f"), "w").union(docs.select("ord", F.lit(None).cast("long"), F.lit(None).cast("double")))
     cells, total, named = both.agg(F.count("f"), F.count(F.when(F.col("f").isNull(), 1)), F.count("ord")).first()
     if total > rf.BROADCAST_CELLS or named < cells + total:
         return None
-    most = COMPOSITE_CELLS // k
-    shares = u.groupBy(F.xxhash64("feature").alias("f")).count().filter("count > 1").select("f")
-    table = np.sort(shares.limit(most + 1).toArrow()["f"].to_numpy())
-    if len(table) > most:
+    most = rf.BROADCAST_CELLS
+    shares = u.groupBy(F.xxhash64("feature").alias("f")).count().filter("count > 1").select("f", F.least("count", F.lit(k)).alias("n")).limit(most + 1).toArrow()
+    table = np.sort(shares["f"].to_numpy())
+    if len(table) > most or shares["n"].to_numpy().sum() > COMPOSITE_CELLS:
         return None
     shared = u.sparkSession.sparkContext.broadcast(table)
 
@@ -420,6 +420,38 @@ def sliced(keys: np.ndarray, values: np.ndarray, step: int) -> list[tuple]:
     return [(int(slices[a]), 0.0, 0, 0, keys[a:b].tobytes(), values[a:b].tobytes(), 0.0) for a, b in itertools.pairwise([*starts, len(keys)])]
 
 
+@dataclass
+class Composites:
+    """Composites of the parts: their cells that are not 0, by part and code (part * width + code) in order. Its items are full vectors, made when asked for."""
+
+    k: int
+    width: int
+    keys: np.ndarray
+    values: np.ndarray
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for j, mine in enumerate(self.parts()):
+            x = np.zeros(self.width)
+            x[self.keys[mine] - j * self.width] = self.values[mine]
+            yield x
+
+    def parts(self) -> list[slice]:
+        return [slice(a, b) for a, b in itertools.pairwise(np.searchsorted(self.keys, np.arange(self.k + 1) * self.width).tolist())]
+
+    def plus(self, keys: np.ndarray, values: np.ndarray) -> Composites:
+        keys, values = summed(np.concatenate([self.keys, keys]), np.concatenate([self.values, values]))
+        real = values != 0
+        return Composites(self.k, self.width, keys[real], values[real])
+
+    def norms(self, rests: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, np.array([self.values[mine] @ self.values[mine] for mine in self.parts()]) + rests))
+
+    def whole(self, rests: np.ndarray) -> float:
+        """Norm of the sum of all parts."""
+        both = np.bincount(self.keys % self.width, self.values, self.width)
+        return float(np.sqrt(both @ both + rests.sum()))
+
+
 @dataclass
 class Vector:
     """A document as ``Packed`` has it."""
@@ -551,37 +583,29 @@ class Search:
                     rests += np.frombuffer(w, np.float64)
             return *map(np.concatenate, (at, to, keys, values)), rests
 
-        child, sums = np.zeros(len(self.ords), np.int32), np.zeros((k, width))
-        flat, length = sums.reshape(-1), lambda rests: np.sqrt(np.maximum(0.0, np.array([x @ x for x in sums]) + rests))
+        child, sums = np.zeros(len(self.ords), np.int32), Composites(k, width, np.zeros(0, np.int64), np.zeros(0))
         at, to, keys, values, rests = read(self._ran(tuple(seeds), begin))
-        child[at], flat[keys] = to, values
-        norms = length(rests)
+        child[at], sums = to, sums.plus(keys, values)
+        norms = sums.norms(rests)
         for _ in range(passes):
             rows = self._ran((child, sums, norms), move)
             at, to, keys, values, change = read(rows)
-            before = flat[keys]
-            flat[keys] += values
-            new = length(rests + change)
+            tried = sums.plus(keys, values)
+            new = tried.norms(rests + change)
             if new.sum() < norms.sum() - EPSILON:
-                flat[keys] = before
                 _, _, one, part, codes, w, rest = min((r for r in rows if r[0] == BEST), key=lambda r: (-r[1], r[2]))
                 at, to = np.array([np.searchsorted(self.ords, one)]), np.array([part], np.int32)
-                codes, w, old = np.frombuffer(codes, np.int32), np.frombuffer(w, np.float64), int(child[at[0]])
-                keys, values = summed(np.concatenate([part * width + codes.astype(np.int64), old * width + codes.astype(np.int64)]), np.concatenate([w, -w]))
+                codes, w, old = np.frombuffer(codes, np.int32).astype(np.int64), np.frombuffer(w, np.float64), int(child[at[0]])
+                tried = sums.plus(np.concatenate([part * width + codes, old * width + codes]), np.concatenate([w, -w]))
                 change = np.bincount([part, old], [rest, -rest], k)
-                before = flat[keys]
-                flat[keys] += values
-                new = length(rests + change)
+                new = tried.norms(rests + change)
             rose = new.sum() > norms.sum() + EPSILON
             if new.sum() > norms.sum():
-                child[at], norms, rests = to, new, rests + change
-            else:
-                flat[keys] = before
+                child[at], sums, norms, rests = to, tried, new, rests + change
             if not rose:
                 break
         self.members.destroy()
-        both = sums.sum(axis=0)
-        return child, norms, float(np.sqrt(both @ both + rests.sum()))
+        return child, norms, sums.whole(rests)
 
 
 def split_packed(packed: Packed, ords: np.ndarray, path: int, seed: int, passes: int) -> tuple[np.ndarray, float]:

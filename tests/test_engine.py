@@ -364,7 +364,7 @@ def test_bisection_counts_shared_features_alone(spark, monkeypatch):
     x, docs, u = some_vectors(spark)
     alone = spark.createDataFrame([(i, f"own{i}", 0.5) for i in range(60)], u.schema)
     monkeypatch.setattr(rf, "BROADCAST_CELLS", 70)  # 35 features before
-    monkeypatch.setattr(clustering, "COMPOSITE_CELLS", 70)
+    monkeypatch.setattr(clustering, "COMPOSITE_CELLS", 12)
     assert clustering.pack(u.union(alone), docs).width == 6
 
 
